@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, storage, warc
+from . import bpe, langid, packing, storage, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_fold(folds: int) -> Column:
+    """crc32 of doc_id as text modulo ``folds``; a null doc_id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -27,6 +33,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pieces = langid.read_pieces(_tokenizer("piece_bpe_32k.model"))
+    model = langid.train(docs.where(id_fold(4) != 2), pieces)
+    return langid.predict(docs.withColumn("held_out", id_fold(4) == 2), model, carry=("held_out",))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs.where(id_fold(5) != 0), _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.withColumn("held_out", id_fold(5) == 0), model, carry=("held_out",))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
@@ -36,6 +55,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_packing": op5_packing,
+    "op6_langid": op6_langid,
+    "op8_toxicity": op8_toxicity,
     "op10_warc": op10_warc,
 }
 
