@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, storage, toxicity, warc
+from . import bpe, langid, packing, storage, substring_dedup, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -29,6 +29,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -54,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op8_toxicity": op8_toxicity,
@@ -61,6 +66,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []::VARCHAR[]) AS w FROM documents),
+        r AS (SELECT row_number() OVER () AS row_id, doc_id, w FROM d),
+        p AS (SELECT row_id, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM r WHERE len(w) >= 50),
+        h AS (SELECT row_id, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS win FROM p),
+        m AS (SELECT row_id, i FROM (SELECT row_id, i, doc_id, min(doc_id) OVER (PARTITION BY win) AS first_doc FROM h)
+              WHERE first_doc < doc_id OR (doc_id IS NULL AND first_doc IS NOT NULL)),
+        c AS (SELECT DISTINCT row_id, unnest(range(i, i + 50)) AS i FROM m),
+        g AS (SELECT row_id, list(i) AS gone FROM c GROUP BY row_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+                   ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+        FROM r LEFT JOIN g USING (row_id)
+    """,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),

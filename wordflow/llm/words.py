@@ -48,13 +48,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` consecutive words (one hash of all, if there are fewer)."""
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` consecutive words, by doubling: log2(size) passes."""
     n = len(hashes) - size + 1
     if n < 1:
-        size, n = len(hashes), 1
-    base = np.uint64(0x9E3779B97F4A7C15)
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = mix(out + hashes[k : k + n]) * base
-    return mix(out)
+        return np.empty(0, np.uint64)
+    out, have, power, length = None, 0, hashes, 1
+    while True:
+        if size & length:
+            part = power[have : have + n]
+            out = part + np.uint64(size) if out is None else mix(out * _BASE + part)
+            have += length
+        if 2 * length > size:
+            return mix(out)
+        power = mix(power[: len(power) - length] * _BASE + power[length:])
+        length *= 2
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Distinct hashes of all runs of ``size`` words, of all words as one if there are fewer."""
+    if not len(hashes):
+        return hashes
+    return np.unique(run_hashes(hashes, min(size, len(hashes))))
+
+
+def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick (minimum or maximum) over every ``width`` consecutive values."""
+    length = 1
+    while 2 * length <= width:
+        values = pick(values[: len(values) - length], values[length:])
+        length *= 2
+    rest = width - length
+    return pick(values[: len(values) - rest], values[rest:]) if rest else values
