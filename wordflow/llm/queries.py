@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, storage, substring_dedup, toxicity, warc
+from . import bpe, langid, lm, packing, storage, substring_dedup, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +25,11 @@ def id_fold(folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(_table(spark, sf_dir, "documents"), id_fold(5) != 1)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -57,6 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_lm": op1_ngram_lm,
     "op2_bpe": op2_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
