@@ -59,38 +59,21 @@ class ChunkEncoder:
         self.table[:] = ""
         for token, i in vocab.items():
             self.table[i] = token
-        self.cache: dict[bytes, tuple[str, bytes, str] | None] = {}
+        self.cache: dict[bytes, tuple[str, bytes, str] | str] = {}
         self.held = 0
-        self.spelled: dict[bytes, str] = {}
 
     def decode(self, ids: bytes) -> str:
         """The vocabularies in use have no decoder: tokens joined by blanks."""
-        return " ".join(self.table[np.frombuffer(ids, "<u4")])
-
-    def _spell(self, parts: list[bytes]) -> str:
-        spelled = self.spelled
-        if len(spelled) > tokens.MEMO_ENTRIES:
-            spelled.clear()
-        for p in set(parts).difference(spelled):
-            spelled[p] = self.decode(p)
-        text = " ".join(map(spelled.__getitem__, filter(None, parts)))
-        for p in parts:
-            if len(p) > 4 * tokens.MEMO_CHARS:
-                spelled.pop(p, None)
-        return text
-
-    def _run(self, words: list[str]) -> tuple[bytes, str]:
-        parts = self.words.lookup(words)
-        return b"".join(parts), self._spell(parts)
-
-    def _chunk(self, data: bytes) -> tuple[str, bytes, str, str] | str:
-        """(text before the first blank, ids and decoded text of what lies between, text after
-        the last blank); the text itself where there is no blank."""
+        return " ".join(self.table[np.frombuffer(ids, "<u4")].tolist())
+
+    def _chunk(self, data: bytes) -> tuple[str, bytes, str] | str:
+        """(text before the first blank, ids of what lies between, text after the last blank);
+        the text itself where there is no blank."""
         hit = self.cache.get(data)
         if hit is None:
             words = data.decode().split(" ")
-            hit = (words[0], *self._run(words[1:-1]), words[-1]) if len(words) > 1 else words[0]
-            size = 200 + 2 * len(data) + (len(hit[1]) + len(hit[2]) if len(words) > 1 else 0)
+            hit = (words[0], b"".join(self.words.lookup(words[1:-1])), words[-1]) if len(words) > 1 else words[0]
+            size = 200 + 2 * len(data) + (len(hit[1]) if len(words) > 1 else 0)
             if size < CACHE_BYTES // 64:
                 if self.held + size > CACHE_BYTES:
                     self.cache.clear()
@@ -99,31 +82,22 @@ class ChunkEncoder:
                 self.held += size
         return hit
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian uint32, decoded text)."""
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian uint32."""
         data = text.encode("utf-8")
         cuts = cut_points(data)
-        ids: list[bytes] = []
-        said: list[str] = []
-        open_word = [""]  # the text around the join at hand, back to the last blank
-
-        def repair() -> None:
-            got, spelled = self._run(["".join(open_word)])
-            ids.append(got)
-            said.append(spelled)
-
+        parts: list[bytes] = []
+        around = ""  # the text around the join at hand, back to the last blank
         for a, b in zip(cuts, cuts[1:]):
             hit = self._chunk(data[a:b])
             if isinstance(hit, str):  # no blank yet: the join's window grows over the next chunk
-                open_word.append(hit)
+                around += hit
                 continue
-            open_word.append(hit[0])
-            repair()
-            ids.append(hit[1])
-            said.append(hit[2])
-            open_word = [hit[3]]
-        repair()
-        return b"".join(ids), " ".join(filter(None, said))
+            parts += self.words.lookup([around + hit[0]])
+            parts.append(hit[1])
+            around = hit[2]
+        parts += self.words.lookup([around])
+        return b"".join(parts)
 
 
 _loaded: dict[int, ChunkEncoder] = {}
@@ -154,7 +128,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
         for batch in batches:
             n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
             for text in batch.column(1):
-                got, said = encoder.encode(text.as_py() or "")
+                got = encoder.encode(text.as_py() or "")
+                said = encoder.decode(got)
                 n.append(len(got) // 4)
                 ids_sha.append(sha(got).hexdigest())
                 text_sha.append(sha(said.encode("utf-8")).hexdigest())
