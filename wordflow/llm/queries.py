@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, near_dedup, packing, storage, substring_dedup, toxicity, warc
+from . import ann_ivfpq, bpe, knn_voronoi, langid, lm, near_dedup, packing, storage, substring_dedup, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -53,12 +53,20 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", id_fold(4) == 2), model, carry=("held_out",))
 
 
+def op7_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_voronoi.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs.where(id_fold(5) != 0), _table(spark, sf_dir, "labels"))
     return toxicity.score(docs.withColumn("held_out", id_fold(5) == 0), model, carry=("held_out",))
 
 
+def op9_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_ivfpq.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
@@ -72,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
+    "op7_voronoi_knn": op7_voronoi_knn,
     "op8_toxicity": op8_toxicity,
+    "op9_ivfpq": op9_ivfpq,
     "op10_warc": op10_warc,
 }
 
@@ -91,6 +101,15 @@ ORACLES: dict[str, str] = {
                    ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
         FROM r LEFT JOIN g USING (row_id)
     """,
+    "op7_voronoi_knn": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),
