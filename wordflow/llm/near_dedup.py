@@ -143,18 +143,30 @@ def link_chunks(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, sam
     return _forest(zip(nodes[left[at[ok]]].tolist(), nodes[right[to[ok]]].tolist()))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, sketch: int = SKETCH, chunk: int = CHUNK) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows that are near-duplicates of one with a smaller id; all columns stay.
+
+    Rows are told by id and text; of rows that share both, one stays.
+    """
+    judged = storage.written(near_duplicates(docs, id_col=id_col, text_col=text_col, mark=True, **how), "near-dedup")
+    gone = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left_anti")
+    repeated = judged.where("n_shingles > 0").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return left.dropDuplicates([id_col, text_col]) if repeated else left
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, sketch: int = SKETCH, chunk: int = CHUNK, mark: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Rows link if 100 * intersection >= percent * union of their shingle sets (A-Z lower-cased;
     all words as one shingle where there are fewer than ``shingle``). component_id is the
-    smallest id reachable; kept holds where it is the row's own. A null or wordless text has
+    smallest id reachable; kept holds where it is the row's own. ``mark`` adds a hash of the text. A null or wordless text has
     an empty set and links with nothing. A null id never names a component that has another;
     rows that share an id are judged each on its own. Other columns are ignored; an empty
     table gives an empty result.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("mark"))
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,9 +176,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 n.append(len(found))
                 node.append(node_of(found) if len(found) else None)
                 low.append(found[:sketch].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary())], ["doc_id", "mark", "n_shingles", "node", "sketch"])
 
-    rows = storage.written(source.mapInArrow(sketches, "doc_id long, n_shingles long, node long, sketch binary"), "sketches")
+    rows = storage.written(source.mapInArrow(sketches, "doc_id long, mark long, n_shingles long, node long, sketch binary"), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
 
     shards = blocks = storage.shuffle_parts(spark)
@@ -234,7 +246,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = member.groupBy("root").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
     placed = member.join(parts, "root").select("node", "root", "chunks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("own"))
     sought = placed.join(nodes.select("node", "first_id"), "node").select(F.col("node").alias("sought"), F.col("first_id").alias("id"), "root", "chunks", "own")
-    texts = source.join(sought.select("id").distinct(), source.doc_id.eqNullSafe(F.col("id")), "left_semi")
+    texts = source.drop("mark").join(sought.select("id").distinct(), source.doc_id.eqNullSafe(F.col("id")), "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,6 +269,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = nodes.select("node", "first_id", "copies").join(linked.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").where("copies > 1 or root is not null")
     least = named.where("root is not null").groupBy(F.col("root").alias("r_")).agg(F.min("first_id").alias("least"))
     named = named.join(least, F.col("root") == F.col("r_"), "left").select(F.col("node").alias("n_"), F.coalesce("least", "first_id").alias("named"))
-    out = rows.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("n_"), "left")
+    out = rows.select("doc_id", "mark", "n_shingles", "node").join(named, F.col("node") == F.col("n_"), "left")
     group = F.coalesce("named", "doc_id")
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
+    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), *["mark"] * mark)
