@@ -83,15 +83,18 @@ def fit(examples: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS, alpha:
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most about ``sample_rows`` labelled rows of each class, drawn by a hash of the id.
 
+    Only the drawn ids, bounded so, are broadcast to the documents.
     Labels other than 0 and 1, null ids and unlabelled documents teach nothing; of several
     labels of one id the largest counts. Without any labelled row every score is 0.5.
     """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("labelled")).agg(F.max(label_col).cast("int").alias("y"))
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(y, F.col("id") == F.col("labelled"))
-    sizes = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    cut = F.create_map(*[F.lit(v) for y_, n in sizes.items() for v in (y_, min(1 << 30, (sample_rows << 30) // n))]) if sizes else None
-    rows = marked.where(draw < cut[F.col("y")]).select("text", "y", F.xxhash64("id", F.lit(7)).alias("order")).collect() if sizes else []
+    sizes = {r.y: r.n for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return fit([])
+    cut = F.create_map(*[F.lit(v) for y_, n in sizes.items() for v in (y_, min(1 << 30, (sample_rows << 30) // n))])
+    drawn = y.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)) < cut[F.col("y")])  # about 2 * sample_rows ids
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("labelled"))
+    rows = found.select("text", "y", F.xxhash64("id", F.lit(7)).alias("order")).collect()
     rows.sort(key=lambda r: (r.order, r.text or ""))
     return fit([(np.unique(buckets(r.text)), r.y) for r in rows])
 
