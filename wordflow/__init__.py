@@ -1,0 +1,3 @@
+"""wordflow: text-quality analytics on PySpark DataFrames."""
+
+__version__ = "0.1.0"
