@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .text import chars
 
@@ -38,6 +41,42 @@ def osa_words(a: Column, b: Column) -> Column:
     return osa(chars(a), chars(b))
 
 
+def _table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words, one row each, and their lengths."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    width = max(1, int(sizes.max(initial=0)))
+    return np.array(words, dtype=f"U{width}").view(np.int32).reshape(len(words), width), sizes
+
+
+def osa_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """``osa`` of many pairs of words at once, a table cell at a time over all pairs."""
+    if not left:
+        return np.empty(0, np.int64)
+    (a, n), (b, m) = _table(left), _table(right)
+    rows = [np.broadcast_to(np.arange(b.shape[1] + 1, dtype=np.int16), (len(a), b.shape[1] + 1))]
+    out = np.where(n == 0, m, 0)
+    for i in range(1, a.shape[1] + 1):
+        row = np.empty((len(a), b.shape[1] + 1), np.int16)
+        row[:, 0] = i
+        same = a[:, i - 1 : i] == b
+        best = np.minimum(rows[-1][:, 1:] + 1, rows[-1][:, :-1] + ~same)
+        if i > 1:
+            swap = (a[:, i - 1 : i] == b[:, :-1]) & (a[:, i - 2 : i - 1] == b[:, 1:])
+            best[:, 1:] = np.where(swap, np.minimum(best[:, 1:], rows[-2][:, :-2] + 1), best[:, 1:])
+        for j in range(1, b.shape[1] + 1):
+            row[:, j] = np.minimum(best[:, j - 1], row[:, j - 1] + 1)
+        rows = [rows[-1], row]
+        done = n == i
+        out[done] = row[done, m[done]]
+    return out
+
+
+@F.pandas_udf(IntegerType())
+def osa_fast(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``osa`` of two word columns, batch by batch through Arrow."""
+    return pd.Series(osa_batch(a.tolist(), b.tolist()), dtype="int32")
+
+
 def _common(a: Column, b: Column, most: int, end: bool) -> Column:
     """Length of the common prefix (or suffix), at most ``most``."""
     part = (lambda w, k: F.right(w, F.lit(k))) if end else (lambda w, k: F.left(w, F.lit(k)))
