@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,13 +79,14 @@ def edit_sweep(queries: DataFrame, accepted: DataFrame, alphabet: str) -> DataFr
     return hits.withColumn("distance", D.osa_fast(F.col("query"), F.col("word"))).where("distance between 1 and 2").select("query", "word", "distance")
 
 
-def phonetic_pairs(queries: DataFrame, words: DataFrame) -> DataFrame:
+def phonetic_pairs(queries: DataFrame, words: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """query, word, distance: words of equal soundex code (none equals none) within two edits.
 
     The distance bounds the join by deletion keys; the code then filters, so a code
     that many words share makes no large group.
     """
-    return edit_pairs(queries, words, 2).where(T.soundex(F.col("query")).eqNullSafe(T.soundex(F.col("word"))))
+    near = edit_pairs(queries, words) if near is None else near
+    return near.where(T.soundex(F.col("query")).eqNullSafe(T.soundex(F.col("word"))))
 
 
 def keyboard_round(t: DataFrame) -> DataFrame:
@@ -102,16 +104,38 @@ def keyboard_round(t: DataFrame) -> DataFrame:
     return t.select("query", F.explode(F.array_distinct(made)).alias("variant"))
 
 
-def keyboard_pairs(queries: DataFrame, words: DataFrame, least_similarity: float = 0.70) -> DataFrame:
+def _keyboard_once(word: str) -> set[str]:
+    """``keyboard_round`` of one word."""
+    out = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+    for i, c in enumerate(word):
+        near = K.NEIGHBOURS.get(c.lower(), "").split()
+        if near:
+            out.add(word[:i] + word[i + 1 :])
+            out.update(word[:i] + n + word[i + 1 :] for n in near)
+            out.update(word[:i] + n + word[i:] for n in near)
+    return out
+
+
+def keyboard_pairs(queries: DataFrame, words: DataFrame, least_similarity: float = 0.70, near: DataFrame | None = None) -> DataFrame:
     """query, word, distance, similarity: words that exactly two keyboard operations reach.
 
-    The second round is never formed whole: variants of the first meet the words by the keys
-    of one operation back (deletions on either side), and only pairs that share one are mutated.
+    Only words within two edits may count, so the variants (some ten thousand a query) are
+    never joined: each query's candidates (``near``, by default ``edit_pairs``) are held
+    against its variants, which live for that query alone.
     """
-    first = keyboard_round(queries.select(F.col("word").alias("query"), F.lower("word").alias("variant"))).distinct()
-    second = keyboard_round(first).join(words.select(F.col("word").alias("variant")), "variant", "left_semi").distinct()
-    pairs = second.select("query", F.col("variant").alias("word")).where("query <> word")
-    pairs = pairs.withColumn("distance", D.osa_fast(F.col("query"), F.col("word"))).where("distance <= 2")
+    near = edit_pairs(queries, words) if near is None else near
+    asked = near.where("distance <= 2").groupBy("query").agg(F.collect_list(F.struct("word", "distance")).alias("found"))
+
+    def reached(batches):
+        for batch in batches:
+            rows = []
+            for query, found in zip(batch.column("query").to_pylist(), batch.column("found").to_pylist()):
+                second = set().union(*map(_keyboard_once, _keyboard_once(query.lower()))) if query else set()
+                rows += [(query, f["word"], f["distance"]) for f in found if f["word"] in second]
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["query", "word", "distance"])
+
+    pairs = asked.mapInArrow(reached, "query string, word string, distance int")
     return pairs.withColumn("similarity", D.typo_similarity(F.col("query"), F.col("word"))).where(F.col("similarity") >= least_similarity)
 
 
@@ -125,7 +149,8 @@ def ngram_pairs(queries: DataFrame, words: DataFrame, least: float = 0.3, least_
     def grammed(t: DataFrame, name: str) -> DataFrame:
         # the r-th copy of a gram is an element of its own, so that multisets become sets
         g = T.grams(F.col("word"), 3)
-        numbered = F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.concat(g[i - 1], F.lit("#"), F.size(F.filter(F.slice(g, F.lit(1), i), lambda x: x == g[i - 1])).cast("string")))
+        copy = lambda x, i: F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string")
+        numbered = F.transform(g, lambda x, i: F.concat(x, F.lit("#"), copy(x, i)))
         return t.where(F.length("word") >= 3).select(F.col("word").alias(name), numbered.alias("grams"))
 
     q, w = grammed(queries.select("word").distinct(), "query"), grammed(words.select("word").distinct(), "word")

@@ -365,7 +365,7 @@ def analyses(words: DataFrame, entries: DataFrame, affixes: DataFrame) -> DataFr
     """
     most = F.lit(affixes.agg(F.max(F.length("add"))).first()[0] or 0)
     side = lambda kind: affixes.where(F.col("kind") == kind).select(*[F.col(c).alias(f"{kind}_{c}") for c in ("affix_id", "flag", "crossproduct", "strip", "add", "cond_regex")])
-    ok = lambda kind, stem: (F.col(f"{kind}_cond_regex") == "") | stem.rlike(F.col(f"{kind}_cond_regex"))
+    ok = lambda kind, stem: (F.col(f"{kind}_cond_regex") == "") | F.rlike(stem, F.col(f"{kind}_cond_regex"))
     w = F.col("rest")
 
     def strip_suffix(t: DataFrame) -> DataFrame:

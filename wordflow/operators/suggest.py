@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,9 @@ def ranked_set(found: DataFrame, limit: int, *, source_matters: bool = False) ->
     return w.select(*COLUMNS, "rank")
 
 
-def edit_confidence(queries: DataFrame, words: DataFrame, ranks: DataFrame, alphabet: str = "", accepted: DataFrame | None = None) -> DataFrame:
+def edit_confidence(queries: DataFrame, words: DataFrame, ranks: DataFrame, alphabet: str = "", accepted: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """Edit candidates with score and confidence: 1 at a query's best score, 0 at its worst."""
-    pairs = C.edit_pairs(queries, words)
+    pairs = C.edit_pairs(queries, words) if near is None else near
     if alphabet:
         pairs = pairs.union(C.edit_sweep(queries, accepted if accepted is not None else words, alphabet)).groupBy("query", "word").agg(F.min("distance").alias("distance"))
     low = ranks.select(F.col("word").alias("low"), F.col("rank").alias("frequency"))
@@ -59,8 +60,8 @@ def edit_strategy(*args, **how) -> DataFrame:
     return ranked_set(found.select("query", "word", "distance", "confidence", F.lit("edit_distance").alias("source"), F.length("query").alias("length"), F.col("similarity").alias("ngram_score")), MOST)
 
 
-def phonetic_strategy(queries: DataFrame, words: DataFrame) -> DataFrame:
-    found = C.phonetic_pairs(queries, words)
+def phonetic_strategy(queries: DataFrame, words: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    found = C.phonetic_pairs(queries, words, near)
     return ranked_set(found.select("query", "word", F.lit(1).alias("distance"), F.lit(0.5).alias("confidence"), F.lit("phonetic").alias("source"), F.length("word").alias("length"), F.lit(0.0).alias("ngram_score")), MOST)
 
 
@@ -68,8 +69,8 @@ def _by_distance(found: DataFrame, source: str) -> DataFrame:
     return ranked_set(found.select("query", "word", "distance", (F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).alias("confidence"), F.lit(source).alias("source"), F.length("query").alias("length"), F.col("similarity").alias("ngram_score")), MOST)
 
 
-def keyboard_strategy(queries: DataFrame, words: DataFrame) -> DataFrame:
-    return _by_distance(C.keyboard_pairs(queries, words), "keyboard_proximity")
+def keyboard_strategy(queries: DataFrame, words: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    return _by_distance(C.keyboard_pairs(queries, words, near=near), "keyboard_proximity")
 
 
 def ngram_strategy(queries: DataFrame, words: DataFrame) -> DataFrame:
@@ -88,8 +89,9 @@ def suggest(queries: DataFrame, words: DataFrame, *, lexicon: DataFrame | None =
     q = queries.select(T.strip_vowel_marks(F.col("word")).alias("word")).where("word <> ''").distinct()
     q = q.join(accepted.select("word"), "word", "left_anti")
     ranks = lexicon if lexicon is not None else words.select("word", F.lit(None).cast("int").alias("rank"))
+    near = C.edit_pairs(q, words).persist(StorageLevel.DISK_ONLY)  # three strategies start from it; lineage stays
     pool = None
-    for order, t in enumerate([edit_strategy(q, words, ranks, alphabet, accepted), phonetic_strategy(q, words), keyboard_strategy(q, words), ngram_strategy(q, words)], 1):
+    for order, t in enumerate([edit_strategy(q, words, ranks, alphabet, accepted, near), phonetic_strategy(q, words, near), keyboard_strategy(q, words, near), ngram_strategy(q, words)], 1):
         t = t.withColumn("strategy", F.lit(order))
         pool = t if pool is None else pool.unionByName(t)
     if lexicon is None:
