@@ -30,12 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage, words
+from . import memos, storage, words
 from .ngram_trie import Trie
 
 HEAVY = 2000
 HEAVY_WEIGHT, RARE_WEIGHT, BETA = 20.0, 0.05, 2.0
-BLOCK_BYTES = 24 << 20
+#: A block of documents: text bytes, and at most so many texts (their places are 16-bit numbers).
+BLOCK_BYTES, BLOCK_TEXTS = 20 << 20, 60_000
+#: Entries of a shard that a task works on at once, at some 200 bytes each.
+SLICE = 400_000
 
 END = np.uint64(0x656E645F6F665F74)
 START = np.uint32(0x73746172)
@@ -60,6 +63,7 @@ def _tokens(text: str | None) -> list[bytes]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
     """(ids, training flags, texts), about BLOCK_BYTES at a time."""
+    memos.claim("words")
     ids, train, texts, held = [], [], [], 0
     for batch in batches:
         for d, t, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -67,7 +71,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, lis
             train.append(bool(t))
             texts.append(text or "")
             held += len(texts[-1]) + 50
-            if held >= BLOCK_BYTES:
+            if held >= BLOCK_BYTES or len(ids) >= BLOCK_TEXTS:
                 yield ids, train, texts
                 ids, train, texts, held = [], [], [], 0
     if ids:
@@ -149,7 +153,7 @@ def _send(shards: int, weights: Weights):
     """Every block's n-grams, by shard, and a record of its documents.
 
     Part 0: a: predicted words, b: entries of each, c: words before, d: words before those,
-    e: text, f: times in the text, g: training texts. Part 1: a: ids, b: null ids,
+    e: text, f: times in the text, g: training rows of each text. Part 1: a: ids, b: null ids,
     c: training, d: text of each document, e: tokens of each text, f: number of part 0 records.
     """
 
@@ -171,8 +175,8 @@ def _send(shards: int, weights: Weights):
             _, heavy = weights.is_heavy(c)
             to = (np.where(heavy, words.mix(c + b), words.mix(c)) % np.uint64(shards)).astype(np.uint64)
             bits = np.uint64(64 - max(1, shards - 1).bit_length())
-            order = np.argsort(to << bits | c >> (np.uint64(64) - bits))  # by shard, then roughly by word
-            c, b, a, owner, to = c[order], b[order], a[order], owner[order], to[order]
+            by_shard = np.argsort(to << bits | c >> (np.uint64(64) - bits))
+            c, b, a, owner, to = c[by_shard], b[by_shard], a[by_shard], owner[by_shard], to[by_shard]
             edges = np.searchsorted(to, np.arange(shards + 1, dtype=np.uint64))
             block = xxhash.xxh64_intdigest("\0".join(map(str, ids)) + "\1" + "\0".join(texts)) >> 1
             sent = 0
@@ -182,18 +186,15 @@ def _send(shards: int, weights: Weights):
                     continue
                 # equal n-grams of a text become one entry
                 key = words.mix(words.mix(c[x:y] + b[x:y]) + a[x:y]) + owner[x:y]
-                o = np.argsort(key)
-                at = _runs(key[o])
+                order = np.argsort(key)
+                key = key[order]
+                at = _runs(key)
                 times = np.diff(np.append(at, y - x)).astype("<u4")
-                o = o[at]
-                o = o[np.argsort(c[x:y][o], kind="stable")]
-                back = np.empty(y - x, np.int64)
+                by_word = np.argsort(c[x:y][order[at]], kind="stable")
+                o, times = order[at][by_word], times[by_word]
                 cs = c[x:y][o]
                 starts = _runs(cs)
-                # times follow the same order
-                back = np.argsort(np.argsort(key[o])) if len(o) else back[:0]
-                f = times[back]
-                yield _batch([(s, block, 0, cs[starts], np.diff(np.append(starts, len(cs))).astype("<u4"), b[x:y][o], a[x:y][o], owner[x:y][o], f, copies[owner[x:y][o]])])
+                yield _batch([(s, block, 0, cs[starts], np.diff(np.append(starts, len(cs))).astype("<u4"), b[x:y][o], a[x:y][o], owner[x:y][o].astype("<u2"), times, copies)])
                 sent += 1
             null = np.array([i is None for i in ids], np.uint8)
             yield _batch([(block % shards, block, 1, np.array([i or 0 for i in ids], "<i8"), null, np.array(train, np.uint8), ref.astype("<u4"), np.array(n_tokens, "<u4"), np.array([sent], "<u4"))])
@@ -204,7 +205,8 @@ def _send(shards: int, weights: Weights):
 def _score_shard(weights: Weights):
     """Build the shard's trie from training n-grams and score all n-grams by it.
 
-    Part 2: a: texts, b: known tokens, c: sums of log10(count + 0.5), d: sums of the model."""
+    Part 2, of each text: a: known tokens, b: sums of log10(count + 0.5), c: sums of the model.
+    A shard is worked on in slices of its words, so memory does not follow its size."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part").to_numpy()
@@ -213,71 +215,85 @@ def _score_shard(weights: Weights):
         out = head.to_batches()
         if not table.num_rows:
             return pa.Table.from_batches(out, _SCHEMA)
-        reps = [x.astype(np.int64) for x in _column(table, "b", "<u4")]
-        c = np.concatenate([np.repeat(k, r) for k, r in zip(_column(table, "a", "<u8"), reps)])
-        b, a, text, times, copies = (np.concatenate(_column(table, n, "<u4")) for n in "cdefg")
-        train = times.astype(np.float64) * copies
-
-        def level(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """(distinct keys, index of each entry, training count of each key)."""
-            order = np.argsort(key)
-            s = key[order]
-            at = _runs(s)
-            back = np.empty(len(key), np.int64)
-            back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(s))))
-            return s[at], back, np.add.reduceat(train[order], at)
-
-        word, i1, n1 = level(c)
-        at, heavy = weights.is_heavy(word)
-        n1[heavy] = weights.heavy_n[at[heavy]]
-        pair, i2, n2 = level(i1.astype(np.uint64) << np.uint64(32) | b)
-        triple, i3, n3 = level(i2.astype(np.uint64) << np.uint64(32) | a)
-        up2, b2 = (pair >> np.uint64(32)).astype(np.int64), pair.astype(np.uint32)
-        up3, a3 = (triple >> np.uint64(32)).astype(np.int64), triple.astype(np.uint32)
-
-        # weights of all trie nodes: numerators after backing off to each level, denominators of what follows
-        single = BETA * weights.unigram(n1)
-        own = weights.weight_of((word >> np.uint64(32)).astype(np.uint32))
-        after1 = own * n1 + BETA
-        double = weights.weight_of(b2) * n2 + single[up2]
-        after2 = n2 + after1[up2]
-        full = n3 + double[up3]
-        k1, k2, k3 = n1 > 0, n2 > 0, n3 > 0
-        new1, new2 = np.cumsum(k1) - 1, np.cumsum(k2) - 1
-        trie = Trie.build(
-            word[k1], [new1[up2[k2]], new2[up3[k3]]], [b2[k2], a3[k3]],
-            [np.log10(single[k1]), np.log10(double[k2]), np.log10(full[k3])], [np.log10(after1[k1]), np.log10(after2[k2])],
-        )
-
-        # queries: every distinct n-gram, known or not
-        r = trie.root(word)[up2]
-        d = trie.child(1, r, b2)
-        e = trie.child(2, d[up3], a3)
-        num2 = np.full(len(pair), math.log10(BETA * float(weights.unigram(np.zeros(1))[0])))
-        den2 = np.full(len(pair), math.log10(BETA))
-        num2[r >= 0], den2[r >= 0] = trie.weight(0, r[r >= 0]), trie.next(0, r[r >= 0])
-        num2[d >= 0], den2[d >= 0] = trie.weight(1, d[d >= 0]), trie.next(1, d[d >= 0])
-        den2[word[up2] == END] = 0
-        score3 = num2[up3]
-        score3[e >= 0] = trie.weight(2, e[e >= 0])
-        score3 -= den2[up3]
-
-        base, known = np.log10(n1 + 0.5)[i1] * times, (n1 > 0)[i1] * times
-        score = score3[i3] * times
-        rows, x = [], 0
-        for block, r_ in zip(table.column("block").to_pylist(), reps):
-            y = x + int(r_.sum())
-            t = text[x:y]
-            some = np.unique(t)
-            size = int(some[-1]) + 1
-            sums = [np.bincount(t, v[x:y], size)[some] for v in (known, base, score)]
-            rows.append((block % (1 << 31), block, 2, some, sums[0].astype("<u4"), sums[1], sums[2]))
-            x = y
+        columns = [_column(table, n, t) for n, t in zip("abcdefg", ("<u8", "<u4", "<u4", "<u4", "<u2", "<u4", "<u4"))]
+        records = list(zip(*columns))
+        sums = [np.zeros((3, len(r[6]))) for r in records]
+        slices = -(-sum(len(r[2]) for r in records) // SLICE)
+        for i in range(slices):
+            _score_slice(weights, records, sums, i * (1 << 64) // slices, (i + 1) * (1 << 64) // slices)
+        rows = [(block % (1 << 31), block, 2, t[0].astype("<u4"), t[1], t[2].astype("<f4")) for block, t in zip(table.column("block").to_pylist(), sums)]
         return pa.Table.from_batches([*out, _batch(rows)], _SCHEMA)
 
     return run
 
 
+def _score_slice(weights: Weights, records: list[tuple], sums: list[np.ndarray], low: int, high: int) -> None:
+    """Add the known tokens and both scores of the words from ``low`` to below ``high`` to each record's texts."""
+    cut = []
+    for keys, reps, *_ in records:
+        x, y = np.searchsorted(keys, np.uint64(low)), len(keys) if high >> 64 else np.searchsorted(keys, np.uint64(high))
+        ends = np.concatenate([[0], np.cumsum(reps, dtype=np.int64)])
+        cut.append((x, y, int(ends[x]), int(ends[y])))
+    c = np.concatenate([np.repeat(r[0][x:y], r[1][x:y]) for r, (x, y, _, _) in zip(records, cut)])
+    if not len(c):
+        return
+    b, a, text, times = (np.concatenate([r[k][p:q] for r, (_, _, p, q) in zip(records, cut)]) for k in (2, 3, 4, 5))
+    train = np.concatenate([r[6][r[4][p:q]] * r[5][p:q].astype(np.float64) for r, (_, _, p, q) in zip(records, cut)])
+
+    def level(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys, index of each entry, training count of each key)."""
+        order = np.argsort(key)
+        s = key[order]
+        at = _runs(s)
+        back = np.empty(len(key), np.int64)
+        back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(s))))
+        return s[at], back, np.add.reduceat(train[order], at)
+
+    word, i1, n1 = level(c)
+    at, heavy = weights.is_heavy(word)
+    n1[heavy] = weights.heavy_n[at[heavy]]
+    pair, i2, n2 = level(i1.astype(np.uint64) << np.uint64(32) | b)
+    triple, i3, n3 = level(i2.astype(np.uint64) << np.uint64(32) | a)
+    up2, b2 = (pair >> np.uint64(32)).astype(np.int64), pair.astype(np.uint32)
+    up3, a3 = (triple >> np.uint64(32)).astype(np.int64), triple.astype(np.uint32)
+
+    # weights of all trie nodes: numerators after backing off to each level, denominators of what follows
+    single = BETA * weights.unigram(n1)
+    own = weights.weight_of((word >> np.uint64(32)).astype(np.uint32))
+    after1 = own * n1 + BETA
+    double = weights.weight_of(b2) * n2 + single[up2]
+    after2 = n2 + after1[up2]
+    full = n3 + double[up3]
+    k1, k2, k3 = n1 > 0, n2 > 0, n3 > 0
+    new1, new2 = np.cumsum(k1) - 1, np.cumsum(k2) - 1
+    trie = Trie.build(
+        word[k1], [new1[up2[k2]], new2[up3[k3]]], [b2[k2], a3[k3]],
+        [np.log10(single[k1]), np.log10(double[k2]), np.log10(full[k3])], [np.log10(after1[k1]), np.log10(after2[k2])],
+    )
+
+    # queries: every distinct n-gram, known or not
+    r = trie.root(word)[up2]
+    d = trie.child(1, r, b2)
+    e = trie.child(2, d[up3], a3)
+    num2 = np.full(len(pair), math.log10(BETA * float(weights.unigram(np.zeros(1))[0])))
+    den2 = np.full(len(pair), math.log10(BETA))
+    num2[r >= 0], den2[r >= 0] = trie.weight(0, r[r >= 0]), trie.next(0, r[r >= 0])
+    num2[d >= 0], den2[d >= 0] = trie.weight(1, d[d >= 0]), trie.next(1, d[d >= 0])
+    den2[word[up2] == END] = 0
+    score3 = num2[up3]
+    score3[e >= 0] = trie.weight(2, e[e >= 0])
+    score3 -= den2[up3]
+
+    base, known = np.log10(n1 + 0.5)[i1] * times, (n1 > 0)[i1] * times
+    score = score3[i3] * times
+    x = 0
+    for total, (_, _, p, q) in zip(sums, cut):
+        y = x + q - p
+        for k, v in enumerate((known, base, score)):
+            total[k] += np.bincount(text[x:y], v[x:y], total.shape[1])
+        x = y
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("score_sum", pa.float64())])
 
 
@@ -290,10 +306,10 @@ def _gather(table: pa.Table) -> pa.Table:
     if table.num_rows != int(sent[0]) * head.num_rows:
         raise RuntimeError("a block of documents lacks scores: the input changed between attempts")
     known, base, score = np.zeros(len(sizes)), np.zeros(len(sizes)), np.zeros(len(sizes))
-    for t, k, x, y in zip(*(_column(table, n, kind) for n, kind in zip("abcd", ("<u4", "<u4", "<f8", "<f8")))):
-        known[t] += k
-        base[t] += x
-        score[t] += y
+    for k, x, y in zip(*(_column(table, n, kind) for n, kind in zip("abc", ("<u4", "<f8", "<f4")))):
+        known += k
+        base += x
+        score += y
     if head.num_rows > 1:  # blocks that are equal to the last row share their sums
         known, base, score = known / head.num_rows, base / head.num_rows, score / head.num_rows
     one = [pa.array(ids, mask=null.astype(bool)), pa.array(train.astype(bool)), pa.array(sizes[ref].astype(np.int64)), pa.array(known[ref].astype(np.int64)), pa.array(base[ref]), pa.array(score[ref])]
@@ -311,9 +327,9 @@ def score(docs: DataFrame, train_when, *, id_col: str = "doc_id", text_col: str
     rows every token is unknown.
     """
     spark = docs.sparkSession
-    shards = shards or storage.shuffle_parts(spark)
+    parts = storage.shuffle_parts(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train_when, F.lit(False)).alias("training"), F.col(text_col).cast("string").alias("text"))
-    counted = storage.checkpoint(source.mapInArrow(_count_words(shards), _DDL).groupBy("shard").applyInArrow(_sum_words, _DDL))
+    counted = storage.checkpoint(source.mapInArrow(_count_words(parts), _DDL).groupBy("shard").applyInArrow(_sum_words, _DDL))
     totals = np.zeros(4, np.int64)
     for r in counted.select("a").collect():
         totals += np.frombuffer(r.a, "<i8")
@@ -327,6 +343,7 @@ def score(docs: DataFrame, train_when, *, id_col: str = "doc_id", text_col: str
 
     heavy = sorted((r.word % (1 << 64), r.n) for r in counted.mapInArrow(frequent, "word long, n long").collect())
     texts = source.where("training").count()
+    shards = shards or parts
     weights = Weights(totals, np.array([w for w, _ in heavy], np.uint64), np.array([n for _, n in heavy], np.int64), texts)
     scored = source.mapInArrow(_send(shards, weights), _DDL).groupBy("shard").applyInArrow(_score_shard(weights), _DDL)
     rows = scored.groupBy("block").applyInArrow(_gather, "doc_id long, training boolean, n_tokens long, n_known long, base_sum double, score_sum double")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO_ENTRIES = 400_000
+from . import memos
+
+MEMO_ENTRIES = 300_000
 MEMO_BYTES = 64
 
 #: ASCII characters other than letters become blanks; all other bytes stay.
@@ -34,6 +36,7 @@ class WordHasher(dict):
 
 #: One a worker process, kept for its later tasks.
 HASHER = WordHasher()
+memos.register("words", HASHER.clear)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
