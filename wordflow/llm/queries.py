@@ -87,6 +87,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_near_dedup": """
+        WITH RECURSIVE t AS (SELECT row_number() OVER () AS row_id, doc_id,
+            coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []::VARCHAR[]) AS w FROM documents),
+        s AS (SELECT row_id, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM t),
+        e AS (SELECT row_id, unnest(g) AS g FROM s),
+        p AS (SELECT a.row_id AS x, b.row_id AS y, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.row_id <> b.row_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN s a ON a.row_id = x JOIN s b ON b.row_id = y WHERE 100 * n >= 80 * (len(a.g) + len(b.g) - n)),
+        r AS (SELECT row_id, doc_id FROM s UNION SELECT l.y, r.doc_id FROM r JOIN l ON l.x = r.row_id),
+        c AS (SELECT row_id, min(doc_id) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (row_id)
+    """,
     "op4_substring_dedup": """
         WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []::VARCHAR[]) AS w FROM documents),
         r AS (SELECT row_number() OVER () AS row_id, doc_id, w FROM d),
