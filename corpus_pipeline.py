@@ -19,24 +19,30 @@ from wordflow.llm.queries import id_fold
 ORACLE_SQL = None
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row, so that no name of docs can clash."""
-    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+def _with_rest(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns as one, so that no name of docs can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+
+
+def _unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` again."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in like.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as toxic go; null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs.where(id_fold(5) != 0), labels)
-    return toxicity.score(_with_row(docs), model, carry=("row",)).where("predicted = 0").select("row.*")
+    return _unpacked(toxicity.score(_with_rest(docs), model, carry=("text", "rest")).where("predicted = 0"), docs)
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: no letter, or a posterior under one half."""
     pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     model = langid.train(docs.where(id_fold(4) != 2), pieces)
-    told = langid.predict(_with_row(docs), model, carry=("row",))
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 0.5)).select("row.*")
+    told = langid.predict(_with_rest(docs), model, carry=("text", "rest"))
+    return _unpacked(told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 0.5)), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

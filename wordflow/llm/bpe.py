@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import memos, tokens
 
 WINDOW = 8
 CHUNK_BITS = 9  # about 512 bytes a chunk
@@ -101,9 +101,11 @@ class ChunkEncoder:
 
 
 _loaded: dict[int, ChunkEncoder] = {}
+memos.register("bpe", _loaded.clear)
 
 
 def _encoder(spec: str) -> ChunkEncoder:
+    memos.claim("bpe")
     if hash(spec) not in _loaded:
         _loaded.clear()
         _loaded[hash(spec)] = ChunkEncoder(spec)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import memos, words
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 250  # whole documents a language
@@ -224,9 +224,12 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     learned; ties go to the language that is first in text order. Ids pass through, null
     or repeated; other columns are ignored; an empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *carry)
+    text = F.col(text_col).cast("string").alias("__text")
+    source = docs.select(F.col(id_col).alias("doc_id"), text, *[c for c in carry if c != text_col])
+    place = {c: "__text" if c == text_col else c for c in ("doc_id", *carry)}  # the text goes through once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.claim("langid")
         scorer = model.scorer()
         for batch in batches:
             langs, scores = [], []
@@ -241,7 +244,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                     langs.append(model.langs[best[i]] if known else UNDETERMINED)
                     scores.append(float(post[i]) if known else 0.0)
             kept = ["doc_id", *carry]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(place[c]) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     kinds = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)) + ", lang_pred string, score double")
+    return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[place[c]]}" for c in ("doc_id", *carry)) + ", lang_pred string, score double")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage, words
+from . import memos, storage, words
 from .components import components
 
 SHINGLE = 5
@@ -151,7 +151,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     judged = storage.written(near_duplicates(docs, id_col=id_col, text_col=text_col, mark=True, **how), "near-dedup")
     gone = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
     left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left_anti")
-    repeated = judged.where("n_shingles > 0").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    repeated = judged.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return left.dropDuplicates([id_col, text_col]) if repeated else left
 
 
@@ -169,6 +169,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("mark"))
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.claim("words")
         for batch in batches:
             n, node, low = [], [], []
             for text in batch.column("text"):

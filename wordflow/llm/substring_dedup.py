@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage, words
+from . import memos, storage, words
 
 WINDOW = 50
 K = 26
 PICKS = WINDOW - K + 1
-#: Text bytes a block aims at.
-BLOCK_BYTES = 16 << 20
+#: Text bytes a block aims at; a task holds one block with about 25 times that in arrays.
+BLOCK_BYTES = 8 << 20
 
 _NO_ID = np.iinfo(np.int64).max  # a null doc_id comes after all others
 _NONE = np.uint64(2**64 - 1)
@@ -145,7 +145,7 @@ def _column(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py() or b"", kind) for x in table.column(name)]
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int | None = None, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int | None = None, keep_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Remove every word that a window of ``window`` words covers whose words also start in a
     document with a smaller id. Windows are judged on the input.
 
@@ -160,12 +160,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     k = k or max(1, (window + 2) // 2)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(storage.shuffle_parts(spark), -(-size // BLOCK_BYTES))
+    blocks = max(storage.shuffle_parts(spark), -(-size // block_bytes))
     shards = storage.shuffle_parts(spark)
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         """One record a shard: distinct edges, least and largest document, labels of both sides."""
+        memos.claim("words")
         graph = Graph(_open(table), window, k)
         if not len(graph.at):
             return _records([])

@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+from . import memos
+
 #: A blank next to other white space is no certain border for byte-level
 #: patterns, which may hold runs of white space together.
 _LONE_BLANK = re.compile(r"(?<!\s) (?!\s)")
@@ -23,10 +25,11 @@ _LONE_BLANK = re.compile(r"(?<!\s) (?!\s)")
 _PLAIN = "!-&(-~À-ÖØ-öø-ÿ"
 _RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-MEMO_ENTRIES = 1_200_000
+MEMO_ENTRIES = 800_000
 MEMO_CHARS = 64
 
 _loaded: dict[tuple[int, bool], "SegmentEncoder"] = {}
+memos.register("tokens", _loaded.clear)
 
 
 def read_spec(path: str) -> str:
@@ -37,6 +40,7 @@ def read_spec(path: str) -> str:
 
 def encoder_for(spec: str, blanks_join: bool) -> "SegmentEncoder":
     """One encoder a worker process, kept for its later tasks."""
+    memos.claim("tokens")
     key = (hash(spec), blanks_join)
     if key not in _loaded:
         _loaded.clear()

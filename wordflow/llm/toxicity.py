@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import memos, words
 
 BITS = 20
 SAMPLE_ROWS = 4000
@@ -105,14 +105,17 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     Null and empty texts score the intercept alone. Ids pass through, null or repeated;
     other columns are ignored; an empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *carry)
+    text = F.col(text_col).cast("string").alias("__text")
+    source = docs.select(F.col(id_col).alias("doc_id"), text, *[c for c in carry if c != text_col])
+    place = {c: "__text" if c == text_col else c for c in ("doc_id", *carry)}  # the text goes through once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.claim("words")
         of = model.scorer()
         for batch in batches:
             s = np.array([of(x.as_py()) for x in batch.column("__text")], np.float64)
             kept = ["doc_id", *carry]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(place[c]) for c in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
     kinds = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)) + ", score double, predicted int")
+    return source.mapInArrow(run, ", ".join(f"`{c}` {kinds[place[c]]}" for c in ("doc_id", *carry)) + ", score double, predicted int")
