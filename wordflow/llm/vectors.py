@@ -28,7 +28,7 @@ def sample(rows: DataFrame, n: int, total: int) -> np.ndarray:
     """About ``n`` vectors, drawn by a hash of the id, in a fixed order."""
     drawn = rows if total <= n else rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < (n << 30) // total)
     found = sorted((r.id, tuple(r.vector)) for r in drawn.collect())
-    return np.array([v for _, v in found], float).reshape(len(found), -1)
+    return np.array([v for _, v in found], float) if found else np.zeros((0, 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
