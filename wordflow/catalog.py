@@ -16,6 +16,7 @@ from .functions import vectors as V
 from .operators import candidates as C
 from .operators import dictionary, grammar, rerank, suggest, typo
 from .operators import lexicon as L
+from .sources import artifacts
 from .streaming import spelling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,6 +255,17 @@ DEMO_AFF = "SET UTF-8\nTRY esianrtolcdugmphbyfvkw\nCOMPOUNDMIN 2\nCOMPOUNDFLAG C
 DEMO_DIC = "8\nthe/C\nand\nin/CR\ner/CS\non/C\ntion/CS\nen/C\nre/C\n"
 
 
+@query(f"""WITH {BASE}, c AS (SELECT word, unnest(range(3, length(word) - 2)) AS k FROM q)
+    SELECT word, word[1:k] AS head, word[k + 1:] AS tail FROM c WHERE word[1:k] IN (SELECT word FROM lex) AND word[k + 1:] IN (SELECT word FROM lex)""")
+def two_part_compounds(spark, sf):
+    """Unknown words that two lexicon words of three letters or more make up."""
+    lex = docs_lexicon(spark, sf)
+    w, k = F.col("word"), F.col("k")
+    cuts = unknown_words(spark, sf, lex).where("length(word) >= 6").select("word", F.explode(F.sequence(F.lit(3), F.length(w) - 3)).alias("k"))
+    cuts = cuts.select("word", F.left(w, k).alias("head"), F.substring(w, k + 1, F.length(w)).alias("tail"))
+    return cuts.join(lex.select(F.col("word").alias("head")), "head", "left_semi").join(lex.select(F.col("word").alias("tail")), "tail", "left_semi").select("word", "head", "tail")
+
+
 @query()
 def compound_check(spark, sf):
     return dictionary.correct(L.tokens(table(spark, sf, "conversations")), DEMO_AFF, DEMO_DIC)
@@ -299,6 +311,25 @@ def semantic_neighbors(spark, sf):
     return rerank.semantic_neighbors(tier, tier).withColumn("score", F.round("score", 4))
 
 
+@query(f"""WITH {BASE}, t AS (SELECT word, rank, embedding::DOUBLE[] AS v FROM lex JOIN embeddings ON rank - 1 = vec_id)
+    SELECT a.word AS word, b.word AS other, round({_COS}, 6) AS similarity FROM t a JOIN t b ON b.rank = a.rank + 1""")
+def word_similarity(spark, sf):
+    """Of neighbours in rank."""
+    lex = docs_lexicon(spark, sf)
+    tier = rerank.tier(table(spark, sf, "embeddings"), lex).withColumn("vec", F.col("vec").cast("array<double>"))
+    a = tier.select("word", "row_id", F.col("vec").alias("v"))
+    b = tier.select(F.col("word").alias("other"), (F.col("row_id") - 1).alias("row_id"), F.col("vec").alias("u"))
+    return a.join(b, "row_id").select("word", "other", F.round(V.cosine(F.col("v"), F.col("u")), 6).alias("similarity"))
+
+
+_REGISTRY = '{"spec": "x.resources/v1", "resources": {"en-mini": {"language": "en", "tier": "mini", "sha256": "AB12", "url": "u"}, "de-mini": {"language": "de", "tier": "mini", "sha256": "cd", "url": "v"}}}'
+
+
+@query("SELECT * FROM (VALUES ('en-mini', 'en', 'mini', 'ab12', 'u'), ('de-mini', 'de', 'mini', 'cd', 'v')) t(id, language, tier, sha256, url)")
+def registry_resolve(spark, sf):
+    return artifacts.resolve(spark.createDataFrame([(_REGISTRY,), ('{"spec": "other"}',)], "registry string"))
+
+
 @query("""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE / 127 AS scale FROM embeddings)
     SELECT vec_id, list_transform(v, lambda x: round(x / scale)::INTEGER) AS q, round(scale, 9) AS scale FROM s""")
 def int8_quantize(spark, sf):
@@ -350,6 +381,15 @@ def context_score(spark, sf):
     return rerank.context_score(rows, tier, "word", "context", "conv_id", "turn").select("conv_id", "turn", F.round("mean", 6).alias("mean"))
 
 
+@query(f"""WITH {BASE}, {_CTX}, m AS (SELECT conv_id, turn, lower(regexp_extract(text, '{_CW}')) AS word, context FROM x JOIN conversations USING (conv_id, turn))
+    SELECT conv_id, count(*)::BIGINT AS n, avg(CASE WHEN list_contains(context, word) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS top1 FROM m GROUP BY 1""")
+def hit_rates(spark, sf):
+    """How often a turn's first word is among the words around it, by conversation."""
+    first = table(spark, sf, "conversations").select("conv_id", "turn", F.lower(F.regexp_extract("text", T.CONTEXT_WORD, 0)).alias("word"))
+    rows = _contexts(spark, sf).select("conv_id", "turn", rerank.context_words(F.col("before"), F.col("after")).alias("context")).join(first, ["conv_id", "turn"])
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg(F.array_contains("context", F.col("word")).cast("double")).alias("top1"))
+
+
 @query()
 def oov_embedding(spark, sf):
     lex = docs_lexicon(spark, sf)
