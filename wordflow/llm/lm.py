@@ -36,9 +36,9 @@ from .ngram_trie import Trie
 HEAVY = 2000
 HEAVY_WEIGHT, RARE_WEIGHT, BETA = 20.0, 0.05, 2.0
 #: A block of documents: text bytes, and at most so many texts (their places are 16-bit numbers).
-BLOCK_BYTES, BLOCK_TEXTS = 20 << 20, 60_000
+BLOCK_BYTES, BLOCK_TEXTS = 10 << 20, 60_000
 #: Entries of a shard that a task works on at once, at some 200 bytes each.
-SLICE = 400_000
+SLICE = 250_000
 
 END = np.uint64(0x656E645F6F665F74)
 START = np.uint32(0x73746172)

@@ -10,6 +10,8 @@ import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _clear: dict[str, Callable[[], None]] = {}
 _owner: list[str] = []
 
@@ -27,6 +29,7 @@ def claim(name: str) -> None:
         if other != name:
             clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
