@@ -37,7 +37,7 @@ WINDOW = 50
 K = 26
 PICKS = WINDOW - K + 1
 #: Text bytes a block aims at; a task holds one block with about 25 times that in arrays.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 
 _NO_ID = np.iinfo(np.int64).max  # a null doc_id comes after all others
 _NONE = np.uint64(2**64 - 1)
