@@ -299,10 +299,11 @@ def _tier(spark, sf):
     return rerank.tier(table(spark, sf, "embeddings"), docs_lexicon(spark, sf))
 
 
-_COS = "list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))"
+#: Squares of single-precision components, summed in double, as in ``vectors.cosine``.
+_COS, _NORM = "list_inner_product(a.v, b.v) / (a.norm * b.norm)", "sqrt(list_sum(list_transform(embedding, lambda x: (x * x)::DOUBLE))) AS norm"
 
 
-@query(f"""WITH {BASE}, t AS (SELECT word, embedding::DOUBLE[] AS v FROM lex JOIN embeddings ON rank - 1 = vec_id),
+@query(f"""WITH {BASE}, t AS (SELECT word, embedding::DOUBLE[] AS v, {_NORM} FROM lex JOIN embeddings ON rank - 1 = vec_id),
     s AS (SELECT a.word AS query, b.word, round({_COS}, 4) AS score, {_COS} AS exact FROM t a JOIN t b ON a.word <> b.word),
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, word)::INTEGER AS rank FROM s)
     SELECT query, rank, word, score FROM r WHERE rank <= 5""")
@@ -311,7 +312,7 @@ def semantic_neighbors(spark, sf):
     return rerank.semantic_neighbors(tier, tier).withColumn("score", F.round("score", 4))
 
 
-@query(f"""WITH {BASE}, t AS (SELECT word, rank, embedding::DOUBLE[] AS v FROM lex JOIN embeddings ON rank - 1 = vec_id)
+@query(f"""WITH {BASE}, t AS (SELECT word, rank, embedding::DOUBLE[] AS v, {_NORM} FROM lex JOIN embeddings ON rank - 1 = vec_id)
     SELECT a.word AS word, b.word AS other, round({_COS}, 6) AS similarity FROM t a JOIN t b ON b.rank = a.rank + 1""")
 def word_similarity(spark, sf):
     """Of neighbours in rank."""
@@ -367,7 +368,7 @@ def context_window_words(spark, sf):
     return _contexts(spark, sf).select("conv_id", "turn", rerank.context_words(F.col("before"), F.col("after")).alias("context"))
 
 
-@query(f"""WITH {BASE}, {_CTX}, t AS (SELECT word, embedding::DOUBLE[] AS v FROM lex JOIN embeddings ON rank - 1 = vec_id),
+@query(f"""WITH {BASE}, {_CTX}, t AS (SELECT word, embedding::DOUBLE[] AS v, {_NORM} FROM lex JOIN embeddings ON rank - 1 = vec_id),
     m AS (SELECT conv_id, turn, context, lower(regexp_extract(text, '{_CW}')) AS word FROM x JOIN conversations USING (conv_id, turn)),
     e AS (SELECT conv_id, turn, word, unnest(context) AS cw FROM m),
     s AS (SELECT conv_id, turn, avg({_COS}) AS mean FROM e JOIN t a ON a.word = e.word JOIN t b ON b.word = cw GROUP BY 1, 2)
