@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from wordflow import catalog
+from wordflow.plans import inspect
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,5 +49,10 @@ def test_keyboard_candidates_are_two_operations_away(spark):
 
 def test_plans_have_no_nested_loops(spark):
     for name in ("edit_candidates", "symspell_slate", "ngram_candidates", "osa_within_1"):
-        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+        assert inspect.quadratic_nodes(catalog.QUERIES[name](spark, SF)) == []
+
+
+def test_scans_read_only_what_they_use(spark):
+    assert inspect.read_columns(catalog.token_counts_by_lang(spark, SF)) == ["lang", "text"]
+    assert inspect.exchanges(catalog.token_counts_by_lang(spark, SF)) == 1
+    assert inspect.exchanges(catalog.content_digest(spark, SF)) == 0
