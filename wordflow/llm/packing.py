@@ -23,6 +23,7 @@ from . import tokens
 
 END_ID = 1
 MAX_LEN = 2048
+MEMO_ENTRIES = 1_200_000
 
 _FIELDS = [
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -37,7 +38,7 @@ def binary_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
     return [max_len] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, end_id: int = END_ID, keep_ids: bool = False, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens,
     bucket (log2 of length), sequence_id, offset, and ``ids`` if ``keep_ids``.
 
@@ -54,7 +55,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     top = max_len
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder_for(spec, True)
+        encoder = tokens.encoder_for(spec, True, memo_entries)
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             doc, start, length, crc, total, bucket = cols

@@ -25,6 +25,7 @@ _LONE_BLANK = re.compile(r"(?<!\s) (?!\s)")
 _PLAIN = "!-&(-~À-ÖØ-öø-ÿ"
 _RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ]+")
 
+#: Runs of letters that a worker remembers, at some 200 bytes each.
 MEMO_ENTRIES = 800_000
 MEMO_CHARS = 64
 
@@ -38,13 +39,14 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encoder_for(spec: str, blanks_join: bool) -> "SegmentEncoder":
+def encoder_for(spec: str, blanks_join: bool, memo_entries: int = MEMO_ENTRIES) -> "SegmentEncoder":
     """One encoder a worker process, kept for its later tasks."""
     memos.claim("tokens")
     key = (hash(spec), blanks_join)
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = SegmentEncoder(spec, blanks_join)
+    _loaded[key].memo_entries = memo_entries
     return _loaded[key]
 
 
@@ -63,6 +65,7 @@ class SegmentEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.blanks_join = blanks_join
+        self.memo_entries = MEMO_ENTRIES
         #: Added tokens are matched before all else: what may begin one is not plain.
         special = "".join({t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.simple = re.compile(rf"(?:\n(?!\n)|(?![{re.escape(special)}])[{_PLAIN}])+" if special else rf"(?:\n(?!\n)|[{_PLAIN}])+").fullmatch
@@ -87,9 +90,9 @@ class SegmentEncoder:
         """
         memo = self.memo
         inner = self.first if self.blanks_join else memo
-        if len(memo) > MEMO_ENTRIES:
+        if len(memo) > self.memo_entries:
             memo.clear()
-        if len(inner) > MEMO_ENTRIES:
+        if len(inner) > self.memo_entries:
             inner.clear()
         need = set(words).difference(memo)
         if not need:
