@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wordflow.llm import ann_ivfpq, bpe, components, knn_voronoi, langid, lm, near_dedup, ngram_trie, packing, substring_dedup, tokens, toxicity, warc, words
+from wordflow.llm import ann_ivfpq, bpe, components, knn_voronoi, langid, lm, near_dedup, ngram_trie, packing, skew, substring_dedup, tokens, toxicity, warc, words
 
 ODD = [None, "", " ", "a  b", " a\n b <|endoftext|> c<|startoftext|>d ", "é éx y  z ", "'s it's I'LL don't  \t x", "x" * 3000, "a b\u0085 c", "12,5 a1b2 '' \n\n z", "ÀB Straße İI 　 q", "tail "]
 
@@ -201,6 +201,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_keyed_is_a_join(spark, how):
+    rows = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 7), (3, 8), (None, 9)], "k long, v int")
+    side = spark.createDataFrame([(1, 9, "a"), (2, 1, "b")], "k long, n long, w string")
+    want = sorted(map(str, rows.join(side.drop("n"), "k", how).collect()))
+    for least in (0, 3, 100):
+        assert sorted(map(str, skew.join_keyed(rows, side, "k", "n", 12, how, least).collect())) == want
+
+
 def brute_dedup(texts, ids, window):
     tokens_ = [(t or "").encode().split() for t in texts]
     big = 1 << 62

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import memos, storage, words
 from .components import components
+from .skew import join_keyed
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
@@ -244,8 +245,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     listed = dealt.groupBy("block").cogroup(back.repartition(blocks, "block").groupBy("block")).applyInArrow(prefixes, _REC_DDL)
     member = storage.checkpoint(components(listed.groupBy("shard").applyInArrow(families, "a long, b long")))
 
-    parts = member.groupBy("root").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
-    placed = member.join(parts, "root").select("node", "root", "chunks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("own"))
+    parts = member.groupBy("root").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"), F.count("*").alias("size"))
+    placed = join_keyed(member, parts, "root", "size", member.count()).select("node", "root", "chunks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("own"))
     sought = placed.join(nodes.select("node", "first_id"), "node").select(F.col("node").alias("sought"), F.col("first_id").alias("id"), "root", "chunks", "own")
     texts = source.drop("mark").join(sought.select("id").distinct(), source.doc_id.eqNullSafe(F.col("id")), "left_semi")
 
@@ -269,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = components(tasks.groupBy("root", "x", "y").applyInArrow(link, "a long, b long"))
     named = nodes.select("node", "first_id", "copies").join(linked.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").where("copies > 1 or root is not null")
     least = named.where("root is not null").groupBy(F.col("root").alias("r_")).agg(F.min("first_id").alias("least"))
-    named = named.join(least, F.col("root") == F.col("r_"), "left").select(F.col("node").alias("n_"), F.coalesce("least", "first_id").alias("named"))
-    out = rows.select("doc_id", "mark", "n_shingles", "node").join(named, F.col("node") == F.col("n_"), "left")
+    named = named.join(least, F.col("root") == F.col("r_"), "left").select("node", "copies", F.coalesce("least", "first_id").alias("named"))
+    out = join_keyed(rows.select("doc_id", "mark", "n_shingles", "node"), named, "node", "copies", rows.count(), "left")
     group = F.coalesce("named", "doc_id")
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), *["mark"] * mark)
