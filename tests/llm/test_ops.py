@@ -341,6 +341,37 @@ def test_ivfpq(spark, vecs):
     assert ann_ivfpq.search(vectors_of(spark, []), F.lit(True)).count() == 0
 
 
+def recall_of(rows, data):
+    """Share of the brute-force 20 (ties to the smaller id) found, for all ids divisible by 20, and the lists of both."""
+    ids = np.array(sorted(data))
+    x = np.array([data[i] for i in ids.tolist()])
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got[r.query_id].append(r.vec_id)
+    want = {}
+    for q in ids[ids % 20 == 0].tolist():
+        score = np.einsum("d,nd->n", data[q], x)
+        want[q] = [i for i in ids[np.lexsort((ids, -score))].tolist() if i != q][:20]
+    return sum(len(set(want[q]) & set(got[q])) for q in want) / (20 * len(want)), got, want
+
+
+def on_sphere(n, dims, seed):
+    x = np.random.default_rng(seed).normal(size=(n, dims))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+
+
+def test_ivfpq_copies(spark):
+    x = on_sphere(1500, 16, 5)
+    same = np.random.default_rng(6).permutation(1500)[:500]
+    x[same] = x[same[0]]
+    data = dict(enumerate(x))
+    rows = ann_ivfpq.search(vectors_of(spark, [(i, v.tolist()) for i, v in data.items()]), F.col("id") % 20 == 0, cells=16, probes=12).collect()
+    recall, got, want = recall_of(rows, data)
+    assert recall >= 0.9
+    hot = [q for q in want if q in set(same.tolist())]
+    assert hot and all(got[q] == want[q] == [i for i in sorted(same.tolist()) if i != q][:20] for q in hot)
+
+
 # 10 ------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ Coarse centroids and the codebooks of residuals are fitted on a bounded sample;
 every row is indexed. A query visits the ``probes`` cells whose centroids have
 the largest products with it; in each, asymmetric distance tables estimate all
 products from the codes alone, and the best ``rerank`` of a block are scored
-exactly on the original vectors.
+exactly on the original vectors, with all whose estimate equals the last of these.
 
 Cells are cut into blocks of bounded size, queries of a cell likewise, and each
 pair of blocks is solved by itself.
@@ -28,6 +28,7 @@ PARTS = 16
 SAMPLE = 8192
 RERANK = 64
 SPREAD = 4
+GATHER = 4 << 20  # components scored exactly at a time
 
 
 @dataclass
@@ -112,6 +113,18 @@ def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", ve
     queries = indexed.where("query").select("id", "v", vectors.chunk_of(2, chunks).alias("chunk")).groupBy("chunk").applyInArrow(gather, "q_cell int, q_ids binary, q binary")
     queries = queries.withColumn("q_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
 
+    def ranked(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """The exact best k of the rows ``at`` (in the order of ids) of each query."""
+        exact = np.einsum("qd,qmd->qm", q, d[at])
+        own = q_ids[:, None] == d_ids[at]
+        exact[own] = -np.inf
+        pick = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(q_ids)), pick.shape[1])
+        col = pick.reshape(-1)
+        ok = ~own[row, col]
+        row, col = row[ok], col[ok]
+        return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(d_ids[at[row, col]]), pa.array(exact[row, col])], ["query_id", "vec_id", "score"])
+
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell, q_ids, q, d_ids, codes, d in zip(*(batch.column(c).to_pylist() for c in ("cell", "q_ids", "q", "d_ids", "codes", "d"))):
@@ -119,18 +132,13 @@ def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", ve
                 q, d = np.frombuffer(q).reshape(len(q_ids), -1), np.frombuffer(d).reshape(len(d_ids), -1)
                 guess = index.estimate(q, cell, np.frombuffer(codes, np.uint8).reshape(len(d_ids), -1))
                 guess[q_ids[:, None] == d_ids] = -np.inf
-                m = min(rerank, len(d_ids))
-                at = np.argpartition(-guess, m - 1, axis=1)[:, :m]
-                at.sort(axis=1)
-                exact = np.einsum("qd,qmd->qm", q, d[at])
-                own = q_ids[:, None] == d_ids[at]
-                exact[own] = -np.inf
-                pick = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(q_ids)), pick.shape[1])
-                col = pick.reshape(-1)
-                ok = ~own[row, col]
-                row, col = row[ok], col[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(d_ids[at[row, col]]), pa.array(exact[row, col])], ["query_id", "vec_id", "score"])
+                m = min(max(rerank, k), len(d_ids))
+                near = guess >= -np.partition(-guess, m - 1, axis=1)[:, m - 1 : m]
+                width = near.sum(1)
+                for n in np.unique(width).tolist():  # more than m where estimates tie at the edge
+                    some, step = np.flatnonzero(width == n), max(1, GATHER // (n * d.shape[1]))
+                    for a in range(0, len(some), step):
+                        yield ranked(q_ids[some[a : a + step]], q[some[a : a + step]], d_ids, d, np.nonzero(near[some[a : a + step]])[1].reshape(-1, n))
 
     pairs = blocks.join(queries, (F.col("cell") == F.col("q_cell")) & (F.col("spread") == F.col("q_spread"))).select("cell", "q_ids", "q", "d_ids", "codes", "d")
     return vectors.top(pairs.mapInArrow(solve, "query_id long, vec_id long, score double"), k)
