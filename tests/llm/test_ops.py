@@ -372,6 +372,32 @@ def test_ivfpq_copies(spark):
     assert hot and all(got[q] == want[q] == [i for i in sorted(same.tolist()) if i != q][:20] for q in hot)
 
 
+def test_ivfpq_probes_at_any_size(spark):
+    """One probe of two cells: a small table is cut as a large one; cells with too few go on to the next."""
+    far = [(i, [1.0, 0.001 * i]) for i in range(1, 31)]
+    low = [(i, [0.0, 5 + 0.001 * i]) for i in range(31, 60)]
+    outlier = [(60, [1.5, 5.0])]  # the largest product, in the cell not probed
+    rows = ann_ivfpq.search(vectors_of(spark, far + low + outlier), F.col("id") == 10, cells=2, probes=1, k=20)
+    x = {i: np.float32(v).astype(float) for i, v in far + low + outlier}
+    index = ann_ivfpq.Index.fit(np.array([x[i] for i in sorted(x)]), 2, 16)
+    cell = {i: int(c) for i, c in zip(sorted(x), ann_ivfpq.vectors.nearest(np.array([x[i] for i in sorted(x)]), index.centres))}
+    first = int(np.argmax(index.centres @ x[10]))
+    mine = [i for i in x if cell[i] == first and i != 10]
+    assert len(mine) >= 20 and len(set(cell.values())) == 2
+    assert {r.vec_id for r in rows.collect()} <= set(mine)
+
+    single = [(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(120)]
+    found = ann_ivfpq.search(vectors_of(spark, single + [(0, single[1][1])] * 3), F.col("id") % 20 == 0, cells=100, probes=1, k=2).groupBy("query_id").count().collect()
+    assert len(found) == 6 and all(r["count"] == 2 for r in found)
+
+
+def test_ivfpq_recall_where_probes_and_rerank_cut(spark):
+    data = dict(enumerate(on_sphere(3000, 16, 7)))
+    rows = ann_ivfpq.search(vectors_of(spark, [(i, v.tolist()) for i, v in data.items()]), F.col("id") % 20 == 0, cells=16, probes=11).collect()
+    recall, got, want = recall_of(rows, data)
+    assert 0.9 <= recall and all(len(got[q]) == 20 for q in want)
+
+
 # 10 ------------------------------------------------------------------------
 
 

@@ -62,7 +62,8 @@ def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", ve
     """query_id, rank, vec_id, score (the inner product in double) of each query's ``k`` nearest found.
 
     ``is_query``: a Column over ``id``. Candidates are all rows with another id. Ties go to the
-    smaller id. If the probed cells hold fewer than k candidates, those come. Null, zero and
+    smaller id. Empty cells are no probes; while the probed cells hold fewer than k candidates,
+    the next are probed too, at any size of the table. Null, zero and
     non-finite vectors take no part, nor do null ids or vectors of another length than most.
     Repeated ids are queries and candidates row by row. Other columns are ignored; an empty
     table gives an empty result.
@@ -74,7 +75,6 @@ def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", ve
     if not len(drawn):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = Index.fit(drawn, cells, parts)
-    probes = min(probes, len(index.centres)) if total > 40 * k else len(index.centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +87,9 @@ def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", ve
             )
 
     indexed = storage.written(data.withColumn("query", F.coalesce(is_query, F.lit(False))).mapInArrow(assign, "id long, query boolean, cell int, code binary, v binary"), "ivfpq")
-    sizes = {r.cell: -(-r.n // vectors.BLOCK_ROWS) for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    held = {r.cell: r.n for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()}
+    sizes = {c: -(-n // vectors.BLOCK_ROWS) for c, n in held.items()}
+    live, counts = np.array(list(held)), np.array(list(held.values()))
     asked = indexed.where("query").count()
 
     def pack(table: pa.Table) -> pa.Table:
@@ -102,15 +104,20 @@ def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", ve
         """A block of queries, and one row for each of the cells that some of them visit."""
         ids = table.column("id").to_numpy()
         q = np.frombuffer(b"".join(table.column("v").to_pylist())).reshape(len(ids), -1)
-        visit = np.argsort(-(q @ index.centres.T), axis=1, kind="stable")[:, :probes]
-        mine = np.zeros((len(ids), len(index.centres)), bool)
-        np.put_along_axis(mine, visit, True, axis=1)
-        out = [(c, ids[m].tobytes(), q[m].tobytes()) for c, m in enumerate(mine.T) if m.any() and c in sizes]
+        order = np.argsort(-(q @ index.centres[live].T), axis=1, kind="stable")
+        _, one = np.unique(ids, return_inverse=True)  # all rows of an id are in the block
+        own = np.zeros((one.max() + 1, len(live)), np.int64)
+        np.add.at(own, (one, np.searchsorted(live, table.column("cell").to_numpy())), 1)
+        others = np.cumsum(np.take_along_axis(counts - own[one], order, axis=1), axis=1)
+        visited = np.maximum(probes, (others < k).sum(1) + 1)
+        mine = np.zeros(order.shape, bool)
+        np.put_along_axis(mine, order, np.arange(len(live)) < visited[:, None], axis=1)
+        out = [(c, ids[m].tobytes(), q[m].tobytes()) for c, m in zip(live.tolist(), mine.T) if m.any()]
         cols = list(zip(*out)) if out else [[]] * 3
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], ["q_cell", "q_ids", "q"])
 
     chunks = F.lit(max(1, -(-asked // vectors.QUERY_ROWS)))
-    queries = indexed.where("query").select("id", "v", vectors.chunk_of(2, chunks).alias("chunk")).groupBy("chunk").applyInArrow(gather, "q_cell int, q_ids binary, q binary")
+    queries = indexed.where("query").select("id", "cell", "v", vectors.chunk_of(2, chunks).alias("chunk")).groupBy("chunk").applyInArrow(gather, "q_cell int, q_ids binary, q binary")
     queries = queries.withColumn("q_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
 
     def ranked(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
