@@ -328,6 +328,16 @@ def test_voronoi(spark, vecs):
     assert knn_voronoi.search(vectors_of(spark, vecs[:3]), F.lit(True)).count() == 6
 
 
+@pytest.mark.parametrize("copies", [2, 30])
+def test_voronoi_repeated_query_id(spark, copies):
+    x = on_sphere(500, 64, 3)
+    rows = list(enumerate(x)) + [(40, x[40])] * (copies - 1)
+    got = knn_voronoi.search(vectors_of(spark, [(i, v.tolist()) for i, v in rows]), F.col("id") == 40).collect()
+    data = [(i, np.floor(64 * v).astype(int)) for i, v in rows]
+    want = sorted((-int(data[40][1] @ v), i) for i, v in data if i != 40 for _ in range(copies))[:20]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+
+
 def test_ivfpq(spark, vecs):
     data = {i: np.float32(v).astype(float) for i, v in vecs if i is not None and v is not None and len(v) == 6 and None not in v and np.isfinite(v).all() and any(v)}
     hits = total = 0

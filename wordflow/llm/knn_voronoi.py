@@ -5,8 +5,8 @@ the same length, so that the largest product is the smallest distance:
 x' = (x, sqrt(M - |x|^2)), q' = (q, 0).
 
 1. Pivots from a bounded sample cut data and queries into Voronoi cells.
-2. Summaries of each cell (k + 1 smallest distances of data to the pivot, the
-   queries' largest distance) bound the distance that any query of a cell can
+2. Summaries of each cell (k + 1 smallest distances to the pivot of data of different
+   ids, the queries' largest distance) bound the distance that any query of a cell can
    need; there are as many summaries as pivots, so they fit the driver.
 3. Data go in blocks to just those query cells whose bound they can meet.
 4. Each pair of a data and a query block is solved by itself, exactly in
@@ -42,6 +42,14 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x.astype(np.int64) @ y.T.astype(np.int64)
 
 
+def _least(ids: np.ndarray, far: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` different ids of the smallest distances, and these distances, ascending."""
+    order = np.lexsort((ids, far))
+    _, first = np.unique(ids[order], return_index=True)
+    at = order[np.sort(first)[:n]]
+    return ids[at], far[at]
+
+
 class Pivots:
     """Distances in the lifted space."""
 
@@ -92,25 +100,28 @@ def search(rows: DataFrame, is_query, *, k: int = 20, scale: int = 64, id_col: s
     placed = storage.written(placed, "voronoi")
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            cell, far = batch.column("cell").to_numpy(), batch.column("far").to_numpy()
+            ids, cell, far = (batch.column(c).to_numpy() for c in ("id", "cell", "far"))
             for j in np.unique(cell).tolist():
-                kept[j] = np.sort(np.append(kept.get(j, np.empty(0)), far[cell == j]))[: k + 1]
-        pairs = [(j, d) for j, ds in kept.items() for d in ds.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.float64())], ["cell", "far"])
-
-    close = placed.select("cell", "far").mapInArrow(smallest, "cell int, far double")
-    close = close.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("far")), 1, k + 1).alias("far"))
-    near = {r.cell: np.array(r.far) for r in close.collect()}
+                had = kept.get(j, (np.empty(0, np.int64), np.empty(0)))
+                kept[j] = _least(np.append(had[0], ids[cell == j]), np.append(had[1], far[cell == j]), k + 1)
+        rows = [(j, *r) for j, (ids, far) in kept.items() for r in zip(ids.tolist(), far.tolist())]
+        cols = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64()))], ["cell", "id", "far"])
+
+    close = placed.select("id", "cell", "far").mapInArrow(smallest, "cell int, id long, far double").groupBy("cell", "id").agg(F.min("far").alias("far"))
+    close = close.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("near"))
+    near = {r.cell: (np.array([x.id for x in r.near]), np.array([x.far for x in r.near])) for r in close.collect()}
     sizes = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     asked = {r.q_cell: (r.n, r.far) for r in placed.where("q_cell >= 0").groupBy("q_cell").agg(F.count("*").alias("n"), F.max("q_far").alias("far")).collect()}
 
     limit = {}
     apart = np.sqrt(np.maximum(((space.points[:, None, :] - space.points[None, :, :]) ** 2).sum(2), 0))
     for i, (_, far) in asked.items():
-        bounds = np.sort(np.concatenate([apart[i, j] + far + d for j, d in near.items()]))
-        # a data point within `limit` of the cell's pivot may be among the k + 1 nearest of one of its queries
+        _, bounds = _least(np.concatenate([ids for ids, _ in near.values()]), np.concatenate([apart[i, j] + far + d for j, (_, d) in near.items()]), k + 1)
+        # a data point within `limit` of the cell's pivot may be among the k nearest of one of its
+        # queries: of k + 1 different ids that near, a query's own is one at most
         limit[i] = (bounds[k] if len(bounds) > k else np.inf) + far
     targets = sorted(limit)
     reach_of = np.array([limit[i] for i in targets]) * (1 + 1e-9) + 1e-6
