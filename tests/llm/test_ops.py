@@ -186,6 +186,18 @@ def test_near_duplicates(spark, corpus, chunk):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), find(i), find(i) == i)
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    r = random.Random(4)
+    base = [["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(120)] for _ in range(4)]
+    near = [[" ".join(b), " ".join(b[:-1] + ["x"]), " ".join(b[:-1] + ["y"])] for b in base]
+    texts = near[0] + near[1] + near[2] + near[3] + ["", " "]
+    ids = [5, 5, 6] + [None] * 3 + [5, 5, 5] + [None, None, 9] + [5, 5]  # groups 0 and 2 share an id, not a text
+    left = near_dedup.keep_one(docs_of(spark, texts, ids)).collect()
+    kept = [[x.doc_id for x in left if x.text in n] for n in near]
+    assert kept == [[5], [None], [5], [9]]
+    assert sorted(x.text for x in left if not x.text.strip()) == ["", " "]
+
+
 def test_near_duplicates_odd(spark):
     text = " ".join(f"w{i}" for i in range(40))
     got = near_dedup.near_duplicates(docs_of(spark, [text, text, text, None, ""], [None, 7, 7, 3, None])).collect()

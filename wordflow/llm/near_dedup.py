@@ -145,12 +145,17 @@ def link_chunks(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, sam
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows that are near-duplicates of one with a smaller id; all columns stay.
+    """``docs`` with one row of each group of near-duplicates; all columns stay.
 
-    Rows are told by id and text; of rows that share both, one stays.
+    The row with the smallest id stays (null last), of repeated ids the one with the smallest
+    hash of its text. Rows are told by id and text; of rows that share both, one stays.
     """
     judged = storage.written(near_duplicates(docs, id_col=id_col, text_col=text_col, mark=True, **how), "near-dedup")
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    # several rows of a group are marked kept where they share the smallest id, or all have none
+    several = judged.where("kept and root is not null").groupBy("root").agg(F.min(row).alias("one"), F.max(row).alias("other")).where("one <> other").select(F.col("root").alias("r_"), "one")
+    losers = judged.where("kept").join(several, F.col("root") == F.col("r_")).where(row != F.col("one"))
+    gone = judged.where("not kept").select("doc_id", "mark").union(losers.select("doc_id", "mark")).toDF("__id", "__mark").distinct()
     left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left_anti")
     repeated = judged.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return left.dropDuplicates([id_col, text_col]) if repeated else left
@@ -161,7 +166,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Rows link if 100 * intersection >= percent * union of their shingle sets (A-Z lower-cased;
     all words as one shingle where there are fewer than ``shingle``). component_id is the
-    smallest id reachable; kept holds where it is the row's own. ``mark`` adds a hash of the text. A null or wordless text has
+    smallest id reachable; kept holds where it is the row's own. ``mark`` adds a hash of the text
+    and the group's root, which is null where a row has no equal or near set. A null or wordless text has
     an empty set and links with nothing. A null id never names a component that has another;
     rows that share an id are judged each on its own. Other columns are ignored; an empty
     table gives an empty result.
@@ -270,7 +276,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = components(tasks.groupBy("root", "x", "y").applyInArrow(link, "a long, b long"))
     named = nodes.select("node", "first_id", "copies").join(linked.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").where("copies > 1 or root is not null")
     least = named.where("root is not null").groupBy(F.col("root").alias("r_")).agg(F.min("first_id").alias("least"))
-    named = named.join(least, F.col("root") == F.col("r_"), "left").select("node", "copies", F.coalesce("least", "first_id").alias("named"))
+    named = named.join(least, F.col("root") == F.col("r_"), "left").select("node", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("least", "first_id").alias("named"))
     out = join_keyed(rows.select("doc_id", "mark", "n_shingles", "node"), named, "node", "copies", rows.count(), "left")
     group = F.coalesce("named", "doc_id")
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), *["mark"] * mark)
+    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), *["mark", "root"] * mark)
