@@ -263,6 +263,13 @@ def test_run_hashes():
 # 6, 8 ----------------------------------------------------------------------
 
 
+def test_langid_takes_long_pieces():
+    pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    word = " представ".encode()
+    assert word in pieces
+    assert any(n == len(word) and pieces[p] == word for _, n, _, at in langid.Lattice(pieces).edges([word]) for p in at.tolist())
+
+
 def test_langid(spark):
     r = random.Random(2)
     make = lambda parts: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(40))

@@ -28,7 +28,6 @@ from . import memos, words
 UNDETERMINED = "und"
 SAMPLE_DOCS = 250  # whole documents a language
 EM_ROUNDS = 3
-PIECE_BYTES = 16  # longer pieces of the vocabulary are left out
 WORD_BYTES = 48  # longer words are scored as consecutive words of this length
 MEMO_WORDS = 300_000
 #: Probabilities are scaled by SCALE a byte so that products of many stay in range.
@@ -47,9 +46,7 @@ def read_pieces(model_path: str) -> list[bytes]:
     found = {bytes([b]) for b in range(256)}
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
-            piece = sp.id_to_piece(i).replace("▁", " ").lower().encode("utf-8")
-            if len(piece) <= PIECE_BYTES:
-                found.add(piece)
+            found.add(sp.id_to_piece(i).replace("▁", " ").lower().encode("utf-8"))
     return sorted(found)
 
 
