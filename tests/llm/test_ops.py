@@ -357,6 +357,34 @@ def test_voronoi_repeated_query_id(spark, copies):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
 
 
+def test_voronoi_prunes_clusters(spark):
+    """Clustered vectors: data go to few groups, and the rows are still those of brute force."""
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(8, 12))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = (centres[r.integers(0, 8, 1600)] * 4 + r.normal(size=(1600, 12)) * 0.05).astype(np.float32).astype(float)
+    table = vectors_of(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    assert knn_voronoi.replicated_share(table, F.lit(True), pivots=8) < 0.5
+    got = defaultdict(list)
+    for row in knn_voronoi.search(table, F.lit(True), pivots=8).collect():
+        got[row.query_id].append((row["rank"], row.vec_id, row.score))
+    y = np.floor(64 * x).astype(int)
+    ids, scores = np.arange(1600), y @ y.T
+    for q in range(0, 1600, 7):
+        want = [i for i in ids[np.lexsort((ids, -scores[q]))].tolist() if i != q][:20]
+        assert sorted(got[q]) == [(n, i, int(scores[q, i])) for n, i in enumerate(want, 1)]
+
+
+def test_voronoi_refuses_what_may_overflow(spark):
+    rows = [(i, [1e30 if i == 5 else 1.0, 2.0]) for i in range(30)]
+    with pytest.raises(OverflowError):
+        knn_voronoi.search(vectors_of(spark, rows), F.lit(True))
+    large = [(i, [float(2**22 + 2 * i), 1.0]) for i in range(30)]  # products beyond a double's exact integers
+    got = knn_voronoi.search(vectors_of(spark, large), F.col("id") == 0, k=2).collect()
+    y = [int(64 * v[0]) for _, v in large]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 29, y[0] * y[29] + 4096), (2, 28, y[0] * y[28] + 4096)]
+
+
 def test_ivfpq(spark, vecs):
     data = {i: np.float32(v).astype(float) for i, v in vecs if i is not None and v is not None and len(v) == 6 and None not in v and np.isfinite(v).all() and any(v)}
     hits = total = 0
@@ -427,6 +455,30 @@ def test_ivfpq_recall_where_probes_and_rerank_cut(spark):
     assert 0.9 <= recall and all(len(got[q]) == 20 for q in want)
 
 
+def test_ivfpq_recall_at_20000(spark):
+    """The default cells, probes and bar, where all of them cut."""
+    data = dict(enumerate(on_sphere(20000, 64, 8)))
+    rows = ann_ivfpq.search(vectors_of(spark, [(i, v.tolist()) for i, v in data.items()]), F.col("id") % 400 == 0).collect()
+    ids, x = np.array(list(data)), np.array(list(data.values()))
+    hits = total = 0
+    for q in range(0, 20000, 400):
+        score = x @ x[q]
+        score[q] = -9
+        want = set(ids[np.lexsort((ids, -score))][:20].tolist())
+        mine = {r.vec_id for r in rows if r.query_id == q}
+        assert len(mine) == 20
+        hits, total = hits + len(want & mine), total + 20
+    assert hits / total >= 0.9
+
+
+def test_ivfpq_visits_follow_the_data():
+    r = np.random.default_rng(4)
+    clustered = r.normal(size=(16, 8))[r.integers(0, 16, 2000)] * 5 + r.normal(size=(2000, 8)) * 0.01
+    for points, most in ((clustered, 4), (on_sphere(2000, 8, 4), 32)):
+        index = ann_ivfpq.Index.fit(points, 32, 4)
+        assert 1 <= ann_ivfpq.visits(points, index, 10) <= most
+
+
 # 10 ------------------------------------------------------------------------
 
 

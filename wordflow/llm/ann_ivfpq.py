@@ -1,17 +1,22 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids and the codebooks of residuals are fitted on a bounded sample;
-every row is indexed. A query visits the ``probes`` cells whose centroids have
-the largest products with it; in each, asymmetric distance tables estimate all
-products from the codes alone, and the best ``rerank`` of a block are scored
-exactly on the original vectors, with all whose estimate equals the last of these.
-
-Cells are cut into blocks of bounded size, queries of a cell likewise, and each
-pair of blocks is solved by itself.
+1. Coarse centroids (about the square root of the number of rows) and codebooks of residuals
+   are fitted on a bounded sample; every row is indexed: a cell, and one byte a part.
+2. How many cells a query visits is measured on the sample: as many as hold TARGET of the
+   nearest neighbours of its rows. So clustered vectors need few cells, vectors spread evenly
+   over a sphere most. The rule is the same at any size.
+3. A query estimates its products with all rows of the visited cells by asymmetric distance
+   tables from the codes alone. How good an estimate must be for the exact test is a number of
+   the whole search, not of a block: the estimate that about ``rerank`` rows reach, read off
+   the sample's codes. All rows that reach it are scored on their original vectors.
+
+Cells go in blocks of bounded size, large cells in several; a query goes once to each block
+that holds a cell it visits. A pair of a data block and a block of queries is solved by itself.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +27,14 @@ from pyspark.sql import functions as F
 
 from . import storage, vectors
 
-CELLS = 128
-PROBES = 88
+#: Bounds of the fit: most cells, sample rows, and sample rows that act as queries.
+MOST_CELLS, SAMPLE, TRIALS = 1024, 16384, 256
 PARTS = 16
-SAMPLE = 8192
-RERANK = 64
-SPREAD = 4
-GATHER = 4 << 20  # components scored exactly at a time
+TARGET = 0.98
+#: Rows that a query scores exactly, as a multiple of the root of the table's rows.
+RERANK_ROOT = 2.0
+DATA_ROWS, QUERY_ROWS, DEAL = 8192, 1024, 16
+CELLS_AT_ONCE = 2 << 20  # estimates, or components scored exactly, at a time
 
 
 @dataclass
@@ -50,31 +56,57 @@ class Index:
         rest = x - self.centres[cell]
         return np.column_stack([vectors.nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]).astype(np.uint8)
 
-    def estimate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Products of each query with each coded row of a cell, by tables."""
-        out = np.repeat((q @ self.centres[cell])[:, None], len(codes), axis=1).astype(np.float32)
-        for part, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out += (q[:, a:b] @ book.T).astype(np.float32)[:, codes[:, part]]
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """Products of each query's parts with each book's entries."""
+        return [(q[:, a:b] @ book.T).astype(np.float32) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
+
+    def estimate(self, near: np.ndarray, tables: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+        """Products of each query with coded rows, whose centroids' products are ``near``."""
+        out = np.empty((len(near), len(codes)), np.float32)
+        out[:] = near
+        for part, table in enumerate(tables):
+            out += table[:, codes[:, part]]
         return out
 
 
-def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", cells: int = CELLS, probes: int = PROBES, rerank: int = RERANK, parts: int = PARTS) -> DataFrame:
+def visits(points: np.ndarray, index: Index, k: int, target: float = TARGET) -> int:
+    """How many of the best cells hold ``target`` of the ``k`` nearest of different sample points."""
+    points = np.unique(points, axis=0)
+    at = np.linspace(0, len(points) - 1, min(TRIALS, len(points))).astype(int)
+    some = points[at]
+    scores = some @ points.T
+    scores[np.arange(len(at)), at] = -np.inf
+    found = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    place = np.empty((len(some), len(index.centres)), np.int64)
+    np.put_along_axis(place, np.argsort(-(some @ index.centres.T), axis=1, kind="stable"), np.arange(len(index.centres))[None], axis=1)
+    depth = np.sort(np.take_along_axis(place, vectors.nearest(points, index.centres)[found], axis=1).reshape(-1))
+    return int(depth[min(len(depth) - 1, math.ceil(target * len(depth)))]) + 1
+
+
+def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, probes: int | None = None, rerank: int | None = None, parts: int = PARTS) -> DataFrame:
     """query_id, rank, vec_id, score (the inner product in double) of each query's ``k`` nearest found.
 
     ``is_query``: a Column over ``id``. Candidates are all rows with another id. Ties go to the
     smaller id. Empty cells are no probes; while the probed cells hold fewer than k candidates,
-    the next are probed too, at any size of the table. Null, zero and
-    non-finite vectors take no part, nor do null ids or vectors of another length than most.
-    Repeated ids are queries and candidates row by row. Other columns are ignored; an empty
-    table gives an empty result.
+    the next are probed too, at any size of the table. ``cells`` (by default the root of the
+    rows, at most MOST_CELLS), ``probes`` (measured) and ``rerank`` (RERANK_ROOT times the root
+    of the rows) may be given. Null, zero and non-finite vectors take no part, nor do null ids
+    or vectors of another length than most. Repeated ids are queries and candidates row by
+    row. Other columns are ignored; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     data = vectors.valid(rows, id_col, vector_col, zero_ok=False)
     total = data.count()
-    drawn = vectors.sample(data, SAMPLE, max(total, 1))
-    if not len(drawn):
+    s_ids, points = vectors.sample(data, SAMPLE, max(total, 1))
+    if not len(points):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = Index.fit(drawn, cells, parts)
+    root = math.isqrt(max(total, 1) - 1) + 1
+    index = Index.fit(points, cells or min(MOST_CELLS, root), parts)
+    probes = probes or visits(points, index, k)
+    goal = rerank or max(k, math.ceil(RERANK_ROOT * root))
+    s_cell = vectors.nearest(points, index.centres)
+    s_codes = index.encode(points, s_cell)
+    passing = max(k, math.ceil(goal * len(points) / total))  # sample rows that reach the bar
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,65 +119,110 @@ def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", ve
             )
 
     indexed = storage.written(data.withColumn("query", F.coalesce(is_query, F.lit(False))).mapInArrow(assign, "id long, query boolean, cell int, code binary, v binary"), "ivfpq")
-    held = {r.cell: r.n for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()}
-    sizes = {c: -(-n // vectors.BLOCK_ROWS) for c, n in held.items()}
-    live, counts = np.array(list(held)), np.array(list(held.values()))
-    asked = indexed.where("query").count()
+    sizes = {r.cell: (r.n, r.asked) for r in indexed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("query").alias("asked")).collect()}
+    # neighbouring cells lie in a block: in the order of the centroids' main direction
+    live = np.array(sorted(sizes), np.int64)
+    middle = index.centres[live] - index.centres[live].mean(0)
+    live = live[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
+    counts = np.array([sizes[c][0] for c in live.tolist()])
+    first, pieces, at, room = {}, {}, 0, 0  # block of each cell, and in how many it lies
+    for c, n in zip(live.tolist(), counts.tolist()):
+        if n > DATA_ROWS:
+            at += room > 0
+            first[c], pieces[c], room = at, -(-n // DATA_ROWS), 0
+            at += pieces[c]
+        else:
+            if room + n > DATA_ROWS:
+                at, room = at + 1, 0
+            first[c], pieces[c] = at, 1
+            room += n
+    blocks_of = [np.arange(first[c], first[c] + pieces[c]) for c in live.tolist()]
+    asked = sum(n for _, n in sizes.values())
+    chunks = max(1, -(-asked // QUERY_ROWS))
+    deals = -(-chunks // DEAL)
 
     def pack(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        """A block of data, by cell and id."""
+        ids, cell = table.column("id").to_numpy(), table.column("cell").to_numpy()
+        order = np.lexsort((ids, cell))
         table = table.take(pa.array(order))
-        ids = table.column("id").to_numpy()
-        return pa.Table.from_arrays([table.column("cell")[:1], pa.array([int(ids[0]) % SPREAD], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), b"".join(table.column("code").to_pylist()), b"".join(table.column("v").to_pylist())))], ["cell", "spread", "d_ids", "codes", "d"])
+        cols = [ids[order].tobytes(), cell[order].astype("<i4").tobytes(), *(b"".join(table.column(c).to_pylist()) for c in ("code", "v"))]
+        return pa.Table.from_arrays([table.column("block")[:1], *(pa.array([x], pa.binary()) for x in cols)], ["block", "d_ids", "d_cell", "codes", "d"])
+
+    block = vectors.lookup(first, "cell", 0) + vectors.chunk_of(1, vectors.lookup(pieces, "cell", 1))
+    blocks = indexed.select("id", "cell", "code", "v", block.alias("block")).groupBy("block").applyInArrow(pack, "block int, d_ids binary, d_cell binary, codes binary, d binary")
+    blocks = blocks.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
 
-    blocks = indexed.select("id", "cell", "code", "v", vectors.chunk_of(1, vectors.lookup(sizes, "cell", 1)).alias("chunk")).groupBy("cell", "chunk").applyInArrow(pack, "cell int, spread int, d_ids binary, codes binary, d binary")
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        """A chunk of queries, once for each block that some of them visit.
 
-    def gather(table: pa.Table) -> pa.Table:
-        """A block of queries, and one row for each of the cells that some of them visit."""
+        bar: the estimate that a row must reach; mine: (query, cell) of all visits there."""
         ids = table.column("id").to_numpy()
         q = np.frombuffer(b"".join(table.column("v").to_pylist())).reshape(len(ids), -1)
-        order = np.argsort(-(q @ index.centres[live].T), axis=1, kind="stable")
-        _, one = np.unique(ids, return_inverse=True)  # all rows of an id are in the block
+        near = (q @ index.centres.T).astype(np.float32)
+        order = np.argsort(-near[:, live], axis=1, kind="stable")
+        _, one = np.unique(ids, return_inverse=True)  # all rows of an id are in the chunk
         own = np.zeros((one.max() + 1, len(live)), np.int64)
-        np.add.at(own, (one, np.searchsorted(live, table.column("cell").to_numpy())), 1)
+        place = np.empty(len(index.centres), np.int64)
+        place[live] = np.arange(len(live))
+        np.add.at(own, (one, place[table.column("cell").to_numpy()]), 1)
         others = np.cumsum(np.take_along_axis(counts - own[one], order, axis=1), axis=1)
-        visited = np.maximum(probes, (others < k).sum(1) + 1)
-        mine = np.zeros(order.shape, bool)
-        np.put_along_axis(mine, order, np.arange(len(live)) < visited[:, None], axis=1)
-        out = [(c, ids[m].tobytes(), q[m].tobytes()) for c, m in zip(live.tolist(), mine.T) if m.any()]
-        cols = list(zip(*out)) if out else [[]] * 3
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], ["q_cell", "q_ids", "q"])
-
-    chunks = F.lit(max(1, -(-asked // vectors.QUERY_ROWS)))
-    queries = indexed.where("query").select("id", "cell", "v", vectors.chunk_of(2, chunks).alias("chunk")).groupBy("chunk").applyInArrow(gather, "q_cell int, q_ids binary, q binary")
-    queries = queries.withColumn("q_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-
-    def ranked(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        """The exact best k of the rows ``at`` (in the order of ids) of each query."""
-        exact = np.einsum("qd,qmd->qm", q, d[at])
-        own = q_ids[:, None] == d_ids[at]
-        exact[own] = -np.inf
-        pick = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(q_ids)), pick.shape[1])
-        col = pick.reshape(-1)
-        ok = ~own[row, col]
-        row, col = row[ok], col[ok]
-        return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(d_ids[at[row, col]]), pa.array(exact[row, col])], ["query_id", "vec_id", "score"])
+        mine = np.zeros((len(ids), len(index.centres)), bool)
+        np.put_along_axis(mine, live[order], np.arange(len(live)) < np.maximum(probes, (others < k).sum(1) + 1)[:, None], axis=1)
+        bar = np.full(len(ids), -np.inf)
+        for a in range(0, len(ids), step := max(1, CELLS_AT_ONCE // len(points))):
+            x = slice(a, a + step)
+            guess = index.estimate(near[x][:, s_cell], index.tables(q[x]), s_codes)
+            guess[~mine[x][:, s_cell] | (ids[x][:, None] == s_ids)] = -np.inf
+            if passing <= guess.shape[1]:
+                bar[x] = np.partition(guess, guess.shape[1] - passing, axis=1)[:, -passing]
+        bar -= 1e-5 * np.abs(np.where(np.isfinite(bar), bar, 0))  # estimates may differ by rounding
+        to: dict[int, list[int]] = {}
+        for i, c in enumerate(live.tolist()):
+            for b in blocks_of[i].tolist():
+                to.setdefault(b, []).append(c)
+        deal, out = key[0].as_py() % deals, []
+        for b, own_cells in to.items():
+            some = np.flatnonzero(mine[:, own_cells].any(1))
+            if len(some):
+                seen = np.argwhere(mine[some][:, own_cells]).astype("<i4")
+                seen[:, 1] = np.array(own_cells)[seen[:, 1]]
+                out.append((b, deal, ids[some].tobytes(), q[some].tobytes(), bar[some].tobytes(), seen.tobytes()))
+        cols = list(zip(*out)) if out else [[]] * 6
+        return pa.Table.from_arrays([pa.array(x, pa.int32() if i < 2 else pa.binary()) for i, x in enumerate(cols)], ["q_block", "q_deal", "q_ids", "q", "bar", "seen"])
+
+    queries = indexed.where("query").select("id", "cell", "v", vectors.chunk_of(2, F.lit(chunks)).alias("chunk")).groupBy("chunk").applyInArrow(gather, "q_block int, q_deal int, q_ids binary, q binary, bar binary, seen binary")
+
+    def pairs_of(near: np.ndarray, tables: list[np.ndarray], bar: np.ndarray, q_ids: np.ndarray, d_ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) whose estimate reaches the query's bar."""
+        guess = index.estimate(near[:, None], tables, codes)
+        return np.nonzero((guess >= bar[:, None]) & (q_ids[:, None] != d_ids))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("d_ids", "d_cell", "codes", "d", "q_ids", "q", "bar", "seen")
         for batch in batches:
-            for cell, q_ids, q, d_ids, codes, d in zip(*(batch.column(c).to_pylist() for c in ("cell", "q_ids", "q", "d_ids", "codes", "d"))):
-                q_ids, d_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(d_ids, "<i8")
-                q, d = np.frombuffer(q).reshape(len(q_ids), -1), np.frombuffer(d).reshape(len(d_ids), -1)
-                guess = index.estimate(q, cell, np.frombuffer(codes, np.uint8).reshape(len(d_ids), -1))
-                guess[q_ids[:, None] == d_ids] = -np.inf
-                m = min(max(rerank, k), len(d_ids))
-                near = guess >= -np.partition(-guess, m - 1, axis=1)[:, m - 1 : m]
-                width = near.sum(1)
-                for n in np.unique(width).tolist():  # more than m where estimates tie at the edge
-                    some, step = np.flatnonzero(width == n), max(1, GATHER // (n * d.shape[1]))
-                    for a in range(0, len(some), step):
-                        yield ranked(q_ids[some[a : a + step]], q[some[a : a + step]], d_ids, d, np.nonzero(near[some[a : a + step]])[1].reshape(-1, n))
-
-    pairs = blocks.join(queries, (F.col("cell") == F.col("q_cell")) & (F.col("spread") == F.col("q_spread"))).select("cell", "q_ids", "q", "d_ids", "codes", "d")
+            for d_ids, d_cell, codes, d, q_ids, q, bar, seen in zip(*(batch.column(c) for c in names)):
+                d_ids, d_cell, q_ids = (np.frombuffer(x.as_buffer(), t) for x, t in ((d_ids, "<i8"), (d_cell, "<i4"), (q_ids, "<i8")))
+                codes, d = np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(d_ids), -1), np.frombuffer(d.as_buffer()).reshape(len(d_ids), -1)
+                q, bar, seen = np.frombuffer(q.as_buffer()).reshape(len(q_ids), -1), np.frombuffer(bar.as_buffer()), np.frombuffer(seen.as_buffer(), "<i4").reshape(-1, 2)
+                near, tables = (q @ index.centres.T).astype(np.float32), index.tables(q)
+                who, row, score = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+                edges = np.searchsorted(d_cell, [np.arange(len(index.centres)), np.arange(1, len(index.centres) + 1)])
+                for c in np.unique(d_cell).tolist():
+                    x, y = int(edges[0, c]), int(edges[1, c])
+                    visitors, step = seen[seen[:, 1] == c, 0], max(1, CELLS_AT_ONCE // (y - x) // q.shape[1])
+                    for a in range(0, len(visitors), step):
+                        v = visitors[a : a + step]
+                        i, j = pairs_of(near[v, c], [t[v] for t in tables], bar[v], q_ids[v], d_ids[x:y], codes[x:y])
+                        i, j = v[i], j + x
+                        exact = np.einsum("pd,pd->p", q[i], d[j])
+                        top = vectors.best(i, exact, d_ids[j], k)
+                        who.append(i[top])
+                        row.append(j[top])
+                        score.append(exact[top])
+                who, row, score = np.concatenate(who), np.concatenate(row), np.concatenate(score)
+                top = vectors.best(who, score, d_ids[row], k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[who[top]]), pa.array(d_ids[row[top]]), pa.array(score[top])], ["query_id", "vec_id", "score"])
+
+    pairs = blocks.join(queries, (F.col("block") == F.col("q_block")) & (F.col("deal") == F.col("q_deal"))).select("d_ids", "d_cell", "codes", "d", "q_ids", "q", "bar", "seen")
     return vectors.top(pairs.mapInArrow(solve, "query_id long, vec_id long, score double"), k)

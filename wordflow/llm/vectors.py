@@ -24,11 +24,12 @@ def valid(rows: DataFrame, id_col: str, vector_col: str, *, zero_ok: bool) -> Da
     return out.where(F.size(v) == (lengths[0].n if lengths else 0))
 
 
-def sample(rows: DataFrame, n: int, total: int) -> np.ndarray:
-    """About ``n`` vectors, drawn by a hash of the id, in a fixed order."""
-    drawn = rows if total <= n else rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < (n << 30) // total)
+def sample(rows: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of about ``n`` rows, each drawn by itself, so that copies can't exceed the bound."""
+    drawn = rows if total <= n else rows.where(F.rand(7) < F.lit(n / total))
     found = sorted((r.id, tuple(r.vector)) for r in drawn.collect())
-    return np.array([v for _, v in found], float) if found else np.zeros((0, 0))
+    ids = np.array([i for i, _ in found], np.int64)
+    return ids, np.array([v for _, v in found], float) if found else np.zeros((0, 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -39,12 +40,15 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Index of the nearest centre of each point."""
-    return np.argmin((centres**2).sum(1) - 2 * points @ centres.T, axis=1)
+    """Index of the nearest centre of each point, some points at a time."""
+    square, step = (centres**2).sum(1), max(1, (4 << 20) // max(1, len(centres)))
+    parts = [np.argmin(square - 2 * points[a : a + step] @ centres.T, axis=1) for a in range(0, len(points), step)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 def k_means(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Lloyd's algorithm from evenly spread start points; never more centres than points."""
+    """Lloyd's algorithm from evenly spread start points; never more centres than different points."""
+    points = np.unique(points, axis=0)
     centres = points[np.linspace(0, len(points) - 1, min(k, len(points))).astype(int)].copy()
     for _ in range(rounds):
         at = nearest(points, centres)
@@ -54,17 +58,14 @@ def k_means(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of each row's ``k`` largest scores, ties to the smaller id; ``ids`` ascend."""
-    n = scores.shape[1]
-    if n <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(scores), k), np.int64)
-    for i, row in enumerate(scores):
-        some = np.flatnonzero(row >= edge[i])
-        out[i] = some[np.argsort(-row[some], kind="stable")[:k]]
-    return out
+def best(owner: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores of each owner, ties to the smaller id, by owner and rank."""
+    order = np.lexsort((ids, -scores, owner))
+    o = owner[order]
+    new = np.concatenate([[True], o[1:] != o[:-1]]) if len(o) else np.empty(0, bool)
+    start = np.flatnonzero(new)
+    rank = np.arange(len(o)) - np.repeat(start, np.diff(np.append(start, len(o))))
+    return order[rank < k]
 
 
 def chunk_of(salt: int, counts: Column) -> Column:
