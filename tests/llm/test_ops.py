@@ -56,7 +56,14 @@ def test_elias_fano_and_codebook():
     r = np.random.default_rng(0)
     for values in ([], [0], [5, 5, 9], np.sort(r.integers(0, 1 << 50, 3000)), np.zeros(7)):
         values = np.array(values, np.uint64)
-        assert ngram_trie.EliasFano.encode(values).values().tolist() == values.tolist()
+        packed = ngram_trie.EliasFano.encode(values)
+        assert packed.get(np.arange(len(values))).tolist() == values.tolist()
+        keys = np.concatenate([values, values + np.uint64(1), values[1:] - np.uint64(1), r.integers(0, 1 << 51, 200).astype(np.uint64), np.array([0], np.uint64)])
+        assert packed.successor(keys).tolist() == np.searchsorted(values, keys).tolist()
+        first, last = np.sort(r.integers(0, len(values) + 1, (2, len(keys))), axis=0)
+        want = [a + int(np.searchsorted(values[a:b], k)) for a, b, k in zip(first.tolist(), last.tolist(), keys)]
+        assert packed.successor(keys, first, last).tolist() == want
+    assert ngram_trie.EliasFano.encode(np.sort(r.integers(0, 1 << 50, 3000)).astype(np.uint64)).low.nbytes < 3000 * 40 // 8
     codes, levels = ngram_trie.Codebook.quantise(r.normal(size=5000))
     assert len(levels) <= 256 and codes.dtype == np.uint8
 
@@ -91,18 +98,73 @@ def test_lm_base_and_probability(spark, corpus):
     assert base["model"] > base["base"]
 
 
-def test_lm_sums_to_one(spark):
-    """All continuations of a context: every known word, the end, and one unknown."""
-    train = ["a b a c a b", "b a b", "c c a"]
-    vocab = ["a", "b", "c"]
-    tails = ["a b " + x for x in [*vocab, "unseen"]] + ["a b"]
-    docs = docs_of(spark, [*train, *tails], range(8))
-    s = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") < 3, shards=2).collect()}
-    head = sum(10 ** s[i] for i in (7,))  # "a b" + end
-    # P(x, end | a b) differs by what follows x, so compare with one-word texts instead
-    one = docs_of(spark, [*train, "", *vocab, "unseen"], range(8))
-    t = {r.doc_id: r.score for r in lm.score(one, F.col("doc_id") < 3, shards=2).collect()}
-    assert head > 0 and 10 ** t[3] + sum(10 ** t[i] for i in range(4, 8)) < 1
+def plain_trigram(train, heavy_share=2000):
+    """The model's formula over Python counters: a function to P(word | two words before)."""
+    rows = [["<s>", "<s>", *t, None] for t in train]
+    n1, n2, n3, n0 = Counter(), Counter(), Counter(), Counter()
+    for r in rows:
+        n1.update(r[2:])
+        n2.update(zip(r[1:], r[2:]))
+        n3.update(zip(r, r[1:], r[2:]))
+    total, vocab = sum(n1.values()), len(n1)
+    once, twice = sum(v == 1 for v in n1.values()), sum(v == 2 for v in n1.values())
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    n0.update(n1)
+    n0["<s>"] = len(rows)
+    before2 = Counter()  # pairs as contexts: followed by something
+    for r in rows:
+        before2.update(zip(r[:-1], r[1:-1]))
+
+    def weight(b):
+        n = n1[b] if b != "<s>" else 0
+        return lm.HEAVY_WEIGHT / n if n * heavy_share > total else lm.RARE_WEIGHT
+
+    def p(a, b, c):
+        uni = (n1[c] - d if n1[c] else d * vocab) / total
+        return (n3[a, b, c] + weight(b) * n2[b, c] + lm.BETA * uni) / (before2[a, b] + weight(b) * n0[b] + lm.BETA)
+
+    return p, list(n1)
+
+
+def test_lm_score_is_the_plain_trigram_model(spark, corpus):
+    texts = corpus[:60] + ["to be or not to be"] * 5 + ["new words here to be"]
+    split = [(t or "").lower().split() for t in texts]
+    p, _ = plain_trigram([t for i, t in enumerate(split) if i % 5 != 1])
+    # a shard of few words has at most 256 weights a level, which are kept; more are quantised
+    for shards, error in ((40, 1e-5), (1, 1e-2)):
+        got = {r.doc_id: r.score for r in lm.score(docs_of(spark, texts), F.col("doc_id") % 5 != 1, shards=shards).collect()}
+        for i, t in enumerate(split):
+            w = ["<s>", "<s>", *t, None]
+            want = sum(math.log10(p(*w[k : k + 3])) for k in range(len(w) - 2))
+            assert got[i] == pytest.approx(want, rel=error)
+
+
+def test_lm_frequent_ngrams(spark, monkeypatch):
+    """A passage that most texts share: its pairs and triples are scored without a shard, alike."""
+    r = random.Random(3)
+    texts = [f"{r.choice('abcdefgh')} x y z x y {r.choice('klmnop')}" for _ in range(80)] + ["x y z", "q x y"]
+    split = [t.split() for t in texts]
+    p, _ = plain_trigram([t for i, t in enumerate(split) if i % 3])
+    for heavy in (2000, 12):  # all are frequent, and only the passage
+        monkeypatch.setattr(lm, "HEAVY", heavy)
+        p, _ = plain_trigram([t for i, t in enumerate(split) if i % 3], heavy)
+        got = {row.doc_id: row.score for row in lm.score(docs_of(spark, texts), F.col("doc_id") % 3 != 0, shards=2).collect()}
+        for i, t in enumerate(split):
+            w = ["<s>", "<s>", *t, None]
+            assert got[i] == pytest.approx(sum(math.log10(p(*w[k : k + 3])) for k in range(len(w) - 2)), abs=1e-3)
+
+
+def test_lm_sums_to_one(corpus):
+    """The formula sums to one over all known words, the end, and one class of unknown ones, after any context."""
+    p, known = plain_trigram([(t or "").lower().split() for t in corpus])
+    for a, b in (("<s>", "<s>"), ("<s>", "same"), ("same", "same"), ("never", "seen"), ("same", "never")):
+        assert sum(p(a, b, c) for c in [*known, "an unknown word"]) == pytest.approx(1)
+
+
+def test_lm_long_text(spark):
+    long = "a b c d " * 60_000
+    r = lm.score(docs_of(spark, [long, "a b", None]), F.lit(True), shards=2).orderBy("doc_id").collect()
+    assert [x.n_tokens for x in r] == [240_001, 3, 1] and r[0].n_known == 240_001 and r[0].score / 240_001 > -0.01
 
 
 def test_lm_empty(spark):

@@ -10,13 +10,18 @@ one in HEAVY tokens. P(c) discounts absolutely and leaves the rest to one class
 words. Numerator and denominator need counts around one word each, so the log
 probability of a text is a sum of parts that shards of words know by themselves.
 
-Pass 1 counts words (totals and the heavy words, at most HEAVY of them, come
-back). Pass 2 sends every document's n-grams to the shard of the predicted
-word once; the shard builds its trie from the training n-grams and scores
-all documents' n-grams by it; partial sums go back to the documents' block.
-n-grams of heavy words are dealt by the word before too, so no word makes a
-shard hot; equal texts of a block are sent once.
-Words are told apart by 64-bit hashes, contexts in a shard by 32-bit ones.
+1. Words are counted; frequent ones come back, at most HEAVY (more with more shards, so that
+   no other word outgrows a shard). Two more scans count pairs and triples of frequent words.
+2. Every document's n-grams go to the shard of the predicted word once; the shard builds its
+   trie from the training n-grams and scores all documents' n-grams by it; partial sums go
+   back to the documents' block, for the texts that have n-grams there.
+A frequent word's n-grams are dealt by the word before too, a frequent pair's by the word
+before that; frequent triples, whose counts all are known, are scored where they stand. So no
+n-gram makes a shard hot. Equal texts of a block are sent once. The number of shards follows
+the bytes of the table; a shard is scored in slices of its words.
+
+Words are told apart by 64-bit hashes. The contexts of one word in one shard are told apart
+by 32 bits: of m contexts about m * m / 2**33 collide (one in 8,600 of a million).
 """
 
 from __future__ import annotations
@@ -33,18 +38,22 @@ from pyspark.sql import functions as F
 from . import memos, storage, words
 from .ngram_trie import Trie
 
-HEAVY = 2000
+#: A word of more than one in HEAVY tokens has a weight of its own; n-grams of more than one in
+#: max(HEAVY, 4 * shards) are dealt apart or broadcast, at most MOST_HEAVY of each order.
+HEAVY, MOST_HEAVY = 2000, 200_000
 HEAVY_WEIGHT, RARE_WEIGHT, BETA = 20.0, 0.05, 2.0
 #: A block of documents: text bytes, and at most so many texts (their places are 16-bit numbers).
 BLOCK_BYTES, BLOCK_TEXTS = 10 << 20, 60_000
+#: Text bytes a shard is made for; its n-grams take about three times that.
+SHARD_BYTES = 16 << 20
 #: Entries of a shard that a task works on at once, at some 200 bytes each.
 SLICE = 250_000
 
 END = np.uint64(0x656E645F6F665F74)
 START = np.uint32(0x73746172)
 
-_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("part", pa.int8()), *[(x, pa.binary()) for x in "abcdefg"]])
-_DDL = "shard int, block long, part byte, " + ", ".join(f"{x} binary" for x in "abcdefg")
+_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("part", pa.int8()), *[(x, pa.binary()) for x in "abcdefgh"]])
+_DDL = "shard int, block long, part byte, " + ", ".join(f"{x} binary" for x in "abcdefgh")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -98,33 +107,39 @@ def _count_words(shards: int):
 
 
 def _sum_words(table: pa.Table) -> pa.Table:
-    """Totals of a shard (a: tokens, distinct, once, twice), and its frequent words (b, c)."""
+    """Totals of a shard (a: tokens, distinct, once, twice), and its words by count (b, c), the MOST_HEAVY largest."""
     keys = np.concatenate(_column(table, "a", "<u8"))
     n = np.concatenate(_column(table, "b", "<u4"))
     order = np.argsort(keys)
     at = _runs(keys[order])
     keys, n = keys[order][at], np.add.reduceat(n[order].astype(np.int64), at)
-    some = n * HEAVY > n.sum()
+    some = (n * MOST_HEAVY > n.sum()) | (keys == END)
     totals = np.array([n.sum(), len(n), (n == 1).sum(), (n == 2).sum()], "<i8")
     return pa.Table.from_batches([_batch([(0, 0, 0, totals, keys[some], n[some])])])
 
 
 class Weights:
-    """Everything of the model but the n-gram counts."""
+    """Everything of the model but the n-gram counts: totals, and frequent n-grams with their counts."""
 
     def __init__(self, totals: np.ndarray, heavy: np.ndarray, heavy_n: np.ndarray, texts: int):
         self.n, self.v, once, twice = (int(x) for x in totals)
         self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        self.heavy, self.heavy_n, self.texts = heavy, heavy_n, texts
+        self.heavy, self.heavy_n, self.texts, self.share = heavy, heavy_n, texts, HEAVY
         fp = (heavy >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(fp)
         fp, n = fp[order], heavy_n[order]
         at = _runs(fp)
         self.heavy_fp, self.heavy_fp_n = fp[at], np.maximum.reduceat(n, at) if len(at) else n
+        self.pair, self.pair_n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.triple, self.triple_score = np.empty(0, np.uint64), np.empty(0)
 
     def is_heavy(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _find(self.heavy, word)
 
+    def before_heavy(self, fingerprint: np.ndarray) -> np.ndarray:
+        """Whether a word before may be frequent, by its fingerprint; the start of a text may."""
+        return _find(self.heavy_fp, fingerprint)[1] | (fingerprint == START)
+
     def unigram(self, n: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.ones(len(n))
@@ -134,14 +149,82 @@ class Weights:
         """w(b): by the fingerprint alone, so that both sides of a fraction agree."""
         at, ok = _find(self.heavy_fp, fingerprint)
         out = np.full(len(fingerprint), RARE_WEIGHT)
+        ok[ok] = self.heavy_fp_n[at[ok]] * self.share > self.n
         out[ok] = HEAVY_WEIGHT / self.heavy_fp_n[at[ok]]
         return out
 
+    def parts(self, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 of numerator over the denominator of what follows, for triples with all counts known."""
+        single = BETA * self.unigram(n1)
+        after = n2 + self.weight_of((word >> np.uint64(32)).astype(np.uint32)) * n1 + BETA
+        full = n3 + self.weight_of(before) * n2 + single
+        return np.log10(full) - np.where(word == END, 0, np.log10(after))
+
     def start_log(self) -> float:
         w = float(self.weight_of(np.array([START]))[0])
         return math.log10(self.texts + w * self.texts + BETA)
 
 
+def _pair_key(c: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return words.mix(c + b)
+
+
+def _triple_key(c: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    return words.mix(_pair_key(c, b) + a)
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Predicted words, words before them, words before those, and how many tokens each text has."""
+    c, b, a, sizes = [], [], [], []
+    for t in texts:
+        h = np.append(words.HASHER.array(_tokens(t)), END)
+        fp = np.concatenate([[START, START], (h[:-1] >> np.uint64(32)).astype(np.uint32)]).astype(np.uint32)
+        c.append(h)
+        b.append(fp[1:])
+        a.append(fp[:-1])
+        sizes.append(len(h))
+    return np.concatenate(c), np.concatenate(b), np.concatenate(a), sizes
+
+
+def _count_frequent(parts: int, weights: Weights, order: int):
+    """Training counts of pairs of frequent words (order 2), or of triples of two frequent pairs (3).
+
+    a: keys, b: counts, and for triples c: predicted words, d: words before, e: words before those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, train, texts in _blocks(batches):
+            mine = [t for t, y in zip(texts, train) if y]
+            if not mine:
+                continue
+            c, b, a, _ = _grams(mine)
+            some = weights.is_heavy(c)[1] & weights.before_heavy(b)
+            if order == 3:
+                some &= _find(weights.pair, _pair_key(c, b))[1]
+                some[1:] &= (b[1:] == START) | _find(weights.pair, _pair_key(c[:-1], b[:-1]))[1]  # the pair before
+            key = (_pair_key(c[some], b[some]) if order == 2 else _triple_key(c[some], b[some], a[some])).astype(np.uint64)
+            found, at, n = np.unique(key, return_index=True, return_counts=True)
+            to = (found % np.uint64(parts)).astype(np.int64)
+            more = () if order == 2 else (c[some][at], b[some][at], a[some][at])
+            yield _batch([(s, 0, 0, found[to == s], n[to == s].astype("<u4"), *(x[to == s] for x in more)) for s in np.unique(to).tolist()])
+
+    return run
+
+
+def _sum_frequent(least: int):
+    """Keys of more than ``least`` occurrences in all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [np.concatenate(_column(table, n, t)) for n, t in zip("abcde", ("<u8", "<u4", "<u8", "<u4", "<u4"))]
+        order = np.argsort(columns[0])
+        at = _runs(columns[0][order])
+        n = np.add.reduceat(columns[1][order].astype(np.int64), at)
+        first = order[at][n > least]
+        more = [x[first] for x in columns[2:]] if len(columns[2]) else [None] * 3
+        return pa.Table.from_batches([_batch([(0, 0, 0, columns[0][first], n[n > least], *more)])])
+
+    return run
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -153,8 +236,9 @@ def _send(shards: int, weights: Weights):
     """Every block's n-grams, by shard, and a record of its documents.
 
     Part 0: a: predicted words, b: entries of each, c: words before, d: words before those,
-    e: text, f: times in the text, g: training rows of each text. Part 1: a: ids, b: null ids,
-    c: training, d: text of each document, e: tokens of each text, f: number of part 0 records.
+    e: text, as a place in g, f: times in the text, g: texts that have entries here, h: training
+    rows of each. Part 1: a: ids, b: null ids, c: training, d: text of each document, e: tokens
+    of each text, f: number of records with scores to come back. Part 2: see ``_score_shard``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,39 +246,38 @@ def _send(shards: int, weights: Weights):
             place: dict[str, int] = {}
             ref = np.array([place.setdefault(t, len(place)) for t in texts], np.int64)
             copies = np.bincount(ref, np.array(train, float), len(place)).astype(np.uint32)
-            c_, b_, a_, n_tokens = [], [], [], []
-            for t in place:
-                h = np.append(words.HASHER.array(_tokens(t)), END)
-                fp = np.concatenate([[START, START], (h[:-1] >> np.uint64(32)).astype(np.uint32)]).astype(np.uint32)
-                c_.append(h)
-                b_.append(fp[1:])
-                a_.append(fp[:-1])
-                n_tokens.append(len(h))
-            c, b, a = np.concatenate(c_), np.concatenate(b_), np.concatenate(a_)
+            c, b, a, n_tokens = _grams(list(place))
             owner = np.repeat(np.arange(len(place), dtype=np.uint32), n_tokens)
-            _, heavy = weights.is_heavy(c)
-            to = (np.where(heavy, words.mix(c + b), words.mix(c)) % np.uint64(shards)).astype(np.uint64)
-            bits = np.uint64(64 - max(1, shards - 1).bit_length())
-            by_shard = np.argsort(to << bits | c >> (np.uint64(64) - bits))
-            c, b, a, owner, to = c[by_shard], b[by_shard], a[by_shard], owner[by_shard], to[by_shard]
-            edges = np.searchsorted(to, np.arange(shards + 1, dtype=np.uint64))
             block = xxhash.xxh64_intdigest("\0".join(map(str, ids)) + "\1" + "\0".join(texts)) >> 1
             sent = 0
+            at, known = _find(weights.triple, _triple_key(c, b, a))
+            if known.any():  # every count is known: no shard is asked
+                score, base = weights.triple_score[at[known]], weights.triple_base[at[known]]
+                who, o = np.unique(owner[known], return_inverse=True)
+                yield _batch([(block % shards, block, 2, who.astype("<u2"), np.bincount(o).astype("<u4"), np.bincount(o, base), np.bincount(o, score))])
+                sent += 1
+                c, b, a, owner = c[~known], b[~known], a[~known], owner[~known]
+            # equal n-grams of a text become one entry
+            key = _triple_key(c, b, a) + owner
+            order = np.argsort(key)
+            at = _runs(key[order])
+            times = np.diff(np.append(at, len(key))).astype("<u4")
+            o = order[at]
+            c, b, a, owner = c[o], b[o], a[o], owner[o]
+            pair = _pair_key(c, b)
+            to = np.where(weights.is_heavy(c)[1], pair, words.mix(c))
+            to = np.where(_find(weights.pair, pair)[1], words.mix(pair + a), to) % np.uint64(shards)
+            o = np.lexsort((c, to))
+            c, b, a, owner, times, to = c[o], b[o], a[o], owner[o], times[o], to[o]
+            edges = np.searchsorted(to, np.arange(shards + 1, dtype=np.uint64))
             for s in range(shards):
                 x, y = int(edges[s]), int(edges[s + 1])
                 if x == y:
                     continue
-                # equal n-grams of a text become one entry
-                key = words.mix(words.mix(c[x:y] + b[x:y]) + a[x:y]) + owner[x:y]
-                order = np.argsort(key)
-                key = key[order]
-                at = _runs(key)
-                times = np.diff(np.append(at, y - x)).astype("<u4")
-                by_word = np.argsort(c[x:y][order[at]], kind="stable")
-                o, times = order[at][by_word], times[by_word]
-                cs = c[x:y][o]
+                cs = c[x:y]
                 starts = _runs(cs)
-                yield _batch([(s, block, 0, cs[starts], np.diff(np.append(starts, len(cs))).astype("<u4"), b[x:y][o], a[x:y][o], owner[x:y][o].astype("<u2"), times, copies)])
+                who, mine = np.unique(owner[x:y], return_inverse=True)
+                yield _batch([(s, block, 0, cs[starts], np.diff(np.append(starts, len(cs))).astype("<u4"), b[x:y], a[x:y], mine.astype("<u2"), times[x:y], who.astype("<u2"), copies[who])])
                 sent += 1
             null = np.array([i is None for i in ids], np.uint8)
             yield _batch([(block % shards, block, 1, np.array([i or 0 for i in ids], "<i8"), null, np.array(train, np.uint8), ref.astype("<u4"), np.array(n_tokens, "<u4"), np.array([sent], "<u4"))])
@@ -205,23 +288,22 @@ def _send(shards: int, weights: Weights):
 def _score_shard(weights: Weights):
     """Build the shard's trie from training n-grams and score all n-grams by it.
 
-    Part 2, of each text: a: known tokens, b: sums of log10(count + 0.5), c: sums of the model.
-    A shard is worked on in slices of its words, so memory does not follow its size."""
+    Part 2, of each text with entries here: a: the text, b: known tokens, c: sums of
+    log10(count + 0.5), d: sums of the model. A shard is worked on in slices of its words."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part").to_numpy()
-        head = table.filter(pa.array(part == 1))
+        out = table.filter(pa.array(part != 0)).to_batches()
         table = table.filter(pa.array(part == 0))
-        out = head.to_batches()
         if not table.num_rows:
             return pa.Table.from_batches(out, _SCHEMA)
-        columns = [_column(table, n, t) for n, t in zip("abcdefg", ("<u8", "<u4", "<u4", "<u4", "<u2", "<u4", "<u4"))]
+        columns = [_column(table, n, t) for n, t in zip("abcdefgh", ("<u8", "<u4", "<u4", "<u4", "<u2", "<u4", "<u2", "<u4"))]
         records = list(zip(*columns))
         sums = [np.zeros((3, len(r[6]))) for r in records]
         slices = -(-sum(len(r[2]) for r in records) // SLICE)
         for i in range(slices):
             _score_slice(weights, records, sums, i * (1 << 64) // slices, (i + 1) * (1 << 64) // slices)
-        rows = [(block % (1 << 31), block, 2, t[0].astype("<u4"), t[1], t[2].astype("<f4")) for block, t in zip(table.column("block").to_pylist(), sums)]
+        rows = [(block % (1 << 31), block, 2, r[6], t[0].astype("<u4"), t[1], t[2]) for block, r, t in zip(table.column("block").to_pylist(), records, sums)]
         return pa.Table.from_batches([*out, _batch(rows)], _SCHEMA)
 
     return run
@@ -238,7 +320,7 @@ def _score_slice(weights: Weights, records: list[tuple], sums: list[np.ndarray],
     if not len(c):
         return
     b, a, text, times = (np.concatenate([r[k][p:q] for r, (_, _, p, q) in zip(records, cut)]) for k in (2, 3, 4, 5))
-    train = np.concatenate([r[6][r[4][p:q]] * r[5][p:q].astype(np.float64) for r, (_, _, p, q) in zip(records, cut)])
+    train = np.concatenate([r[7][r[4][p:q]] * r[5][p:q].astype(np.float64) for r, (_, _, p, q) in zip(records, cut)])
 
     def level(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct keys, index of each entry, training count of each key)."""
@@ -255,6 +337,8 @@ def _score_slice(weights: Weights, records: list[tuple], sums: list[np.ndarray],
     pair, i2, n2 = level(i1.astype(np.uint64) << np.uint64(32) | b)
     triple, i3, n3 = level(i2.astype(np.uint64) << np.uint64(32) | a)
     up2, b2 = (pair >> np.uint64(32)).astype(np.int64), pair.astype(np.uint32)
+    at, heavy = _find(weights.pair, _pair_key(word[up2], b2))
+    n2[heavy] = weights.pair_n[at[heavy]]
     up3, a3 = (triple >> np.uint64(32)).astype(np.int64), triple.astype(np.uint32)
 
     # weights of all trie nodes: numerators after backing off to each level, denominators of what follows
@@ -306,46 +390,65 @@ def _gather(table: pa.Table) -> pa.Table:
     if table.num_rows != int(sent[0]) * head.num_rows:
         raise RuntimeError("a block of documents lacks scores: the input changed between attempts")
     known, base, score = np.zeros(len(sizes)), np.zeros(len(sizes)), np.zeros(len(sizes))
-    for k, x, y in zip(*(_column(table, n, kind) for n, kind in zip("abc", ("<u4", "<f8", "<f4")))):
-        known += k
-        base += x
-        score += y
+    for who, k, x, y in zip(*(_column(table, n, kind) for n, kind in zip("abcd", ("<u2", "<u4", "<f8", "<f8")))):
+        known[who] += k
+        base[who] += x
+        score[who] += y
     if head.num_rows > 1:  # blocks that are equal to the last row share their sums
         known, base, score = known / head.num_rows, base / head.num_rows, score / head.num_rows
     one = [pa.array(ids, mask=null.astype(bool)), pa.array(train.astype(bool)), pa.array(sizes[ref].astype(np.int64)), pa.array(known[ref].astype(np.int64)), pa.array(base[ref]), pa.array(score[ref])]
     return pa.concat_tables([pa.Table.from_arrays(one, schema=_OUT)] * head.num_rows)
 
 
-def score(docs: DataFrame, train_when, *, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+def _frequent(spark, counted: DataFrame, columns: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The records' columns end to end, sorted by the first."""
+    rows = counted.select(*columns).collect()
+    found = [np.concatenate([np.frombuffer(r[i] or b"", t) for r in rows] or [np.empty(0, t)]) for i, t in enumerate(kinds)]
+    order = np.argsort(found[0])
+    return [x[order] if len(x) else x for x in found]
+
+
+def score(docs: DataFrame, train_when, *, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Train on the rows where ``train_when`` (a Column) holds, score all rows.
 
     Returns doc_id, training, n_tokens (words and the end), n_known, train_tokens,
     base_score (log10 of the add-half unigram model) and score (log10 of the trigram model).
     Words are runs without ASCII white space after A-Z are lower-cased. A null text is empty:
-    the end alone. A null ``train_when`` counts as false. Ids pass through, null or repeated;
-    other columns are ignored; an empty table gives an empty result, and without training
-    rows every token is unknown.
+    the end alone. Texts of any length are scored whole; one text's n-grams must fit a worker,
+    at about 100 bytes a word. A null ``train_when`` counts as false. Ids pass through, null or
+    repeated; other columns are ignored; an empty table gives an empty result, and without
+    training rows every token is unknown.
     """
     spark = docs.sparkSession
     parts = storage.shuffle_parts(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train_when, F.lit(False)).alias("training"), F.col(text_col).cast("string").alias("text"))
+    size, texts = source.agg(F.sum(F.octet_length("text")), F.count_if("training")).first()
+    shards = shards or max(1, -(-(size or 0) // shard_bytes))
     counted = storage.checkpoint(source.mapInArrow(_count_words(parts), _DDL).groupBy("shard").applyInArrow(_sum_words, _DDL))
     totals = np.zeros(4, np.int64)
     for r in counted.select("a").collect():
         totals += np.frombuffer(r.a, "<i8")
-    at_least = int(totals[0])
+    least = int(totals[0]) // min(MOST_HEAVY, max(HEAVY, 4 * shards))
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, n in zip(_column(batch, "b", "<u8"), _column(batch, "c", "<i8")):
-                some = (n * HEAVY > at_least) | (k == END)
+                some = (n > least) | (k == END)
                 yield pa.RecordBatch.from_arrays([pa.array(k[some].view(np.int64)), pa.array(n[some])], ["word", "n"])
 
     heavy = sorted((r.word % (1 << 64), r.n) for r in counted.mapInArrow(frequent, "word long, n long").collect())
-    texts = source.where("training").count()
-    shards = shards or parts
     weights = Weights(totals, np.array([w for w, _ in heavy], np.uint64), np.array([n for _, n in heavy], np.int64), texts)
-    scored = source.mapInArrow(_send(shards, weights), _DDL).groupBy("shard").applyInArrow(_score_shard(weights), _DDL)
+
+    def recount(order: int) -> DataFrame:
+        return source.mapInArrow(_count_frequent(parts, weights, order), _DDL).groupBy("shard").applyInArrow(_sum_frequent(least), _DDL)
+
+    weights.pair, weights.pair_n = _frequent(spark, recount(2), "ab", ("<u8", "<i8"))
+    if len(weights.pair):
+        weights.triple, n3, word, before, _ = _frequent(spark, recount(3), "abcde", ("<u8", "<i8", "<u8", "<u4", "<u4"))
+        n1, n2 = weights.heavy_n[weights.is_heavy(word)[0]], weights.pair_n[_find(weights.pair, _pair_key(word, before))[0]]
+        weights.triple_score, weights.triple_base = weights.parts(n1, n2, n3, word, before), np.log10(n1 + 0.5)
+    sent = source.mapInArrow(_send(shards, weights), _DDL).repartition(shards, "shard")
+    scored = sent.groupBy("shard").applyInArrow(_score_shard(weights), _DDL)
     rows = scored.groupBy("block").applyInArrow(_gather, "doc_id long, training boolean, n_tokens long, n_known long, base_sum double, score_sum double")
     unit = math.log10(weights.n + 0.5 * (weights.v + 1))
     return rows.select(

@@ -4,7 +4,8 @@ The trie is kept in prediction order: level 1 holds predicted words, level 2
 the words seen before them, level 3 the words before those. A level stores a
 monotone sequence of pointers to its children's ranges, and the children's ids
 as offsets by parent, which makes the whole level monotone too. Queries walk
-down by a successor search inside the parent's range.
+down by a successor search inside the parent's range, on the packed bits: no
+level is ever unpacked.
 """
 
 from __future__ import annotations
@@ -24,21 +25,59 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(np.unpackbits(as_bytes, axis=1, bitorder="little")[:, :bits].reshape(-1), bitorder="little")
 
 
-def _unpack(data: np.ndarray, bits: int, n: int) -> np.ndarray:
-    if not bits or not n:
-        return np.zeros(n, np.uint64)
-    flat = np.unpackbits(data, count=bits * n, bitorder="little").reshape(n, bits)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, : (bits + 7) // 8] = np.packbits(flat, axis=1, bitorder="little")
-    return wide.view("<u8").reshape(-1)
+def _words64(data: np.ndarray) -> np.ndarray:
+    """Packed bytes as 64-bit words, with one more at the end."""
+    padded = np.zeros(len(data) + 8 + (-len(data)) % 8, np.uint8)
+    padded[: len(data)] = data
+    return padded.view("<u8")
+
+
+#: Ones of each byte, and the place of each byte's n-th one.
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
+_PLACE = np.zeros((256, 8), np.int64)
+for _b in range(256):
+    _set = [i for i in range(8) if _b >> i & 1]
+    _PLACE[_b, : len(_set)] = _set
+del _b, _set
+_U1, _U6, _U63, _U64 = np.uint64(1), np.uint64(6), np.uint64(63), np.uint64(64)
+
+
+class Select:
+    """Places of the n-th one (or zero) of a bit vector, without unpacking it.
+
+    The directory holds the number of ones before every 8 bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.bytes = _words64(data).view(np.uint8)
+        each = _ONES[self.bytes].reshape(-1, 8).sum(1)
+        self.before = np.concatenate([[0], np.cumsum(each)])
+
+    def nth(self, n: np.ndarray, one: bool = True) -> np.ndarray:
+        """Bit index of each ``n``-th (from 0) one or zero; a place past the end if there are fewer zeros."""
+        before = self.before if one else np.arange(len(self.before)) * 64 - self.before
+        word = np.minimum(np.searchsorted(before, n, side="right") - 1, len(before) - 2)
+        left, at = n - before[word], word * 8
+        go = np.ones(len(n), bool)
+        for _ in range(7):  # on to the byte that holds it
+            ones = _ONES[self.bytes[at]]
+            here = ones if one else 8 - ones
+            go &= left >= here
+            left = left - here * go
+            at = at + go
+        byte = self.bytes[at] if one else ~self.bytes[at]
+        return at * 8 + _PLACE[byte, np.minimum(left, 7)]
 
 
 class EliasFano:
-    """A monotone sequence in about 2 + log2(universe / n) bits a value."""
+    """A monotone sequence in about 2 + log2(universe / n) bits a value.
+
+    Each value's low bits are packed, its high part is a one in a bit vector, after as many
+    zeros as the high part says. Reading a value is a select of its one; a successor search
+    selects the zeros around a high part and compares low bits between them."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.bits, self.low, self.high = n, bits, low, high
-        self._open: np.ndarray | None = None
+        self._select: Select | None = None
 
     @classmethod
     def encode(cls, values: np.ndarray) -> "EliasFano":
@@ -50,27 +89,65 @@ class EliasFano:
         marks[places] = 1
         return cls(n, bits, _pack(values, bits), np.packbits(marks, bitorder="little"))
 
-    def values(self) -> np.ndarray:
-        """All values, unpacked once for a batch of queries."""
-        if self._open is None:
-            ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-            self._open = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.bits) | _unpack(self.low, self.bits, self.n)
-        return self._open
-
-    def successor(self, keys: np.ndarray) -> np.ndarray:
-        """Index of the first value >= each key."""
-        return np.searchsorted(self.values(), keys)
+    @property
+    def select(self) -> Select:
+        if self._select is None:
+            self._select, self._low = Select(self.high), _words64(self.low)
+            self._top = int(self._select.nth(np.array([self.n - 1]))[0]) - self.n + 1 if self.n else 0  # the last value's high part
+        return self._select
+
+    def low_bits(self, at: np.ndarray) -> np.ndarray:
+        """Low bits of the values at these places."""
+        if not self.bits:
+            return np.zeros(len(at), np.uint64)
+        self.select  # opens the words
+        bit = at.astype(np.uint64) * np.uint64(self.bits)
+        word, shift = (bit >> _U6).astype(np.int64), bit & _U63
+        value = self._low[word] >> shift
+        over = shift + np.uint64(self.bits) > _U64
+        value[over] |= self._low[word[over] + 1] << (_U64 - shift[over])
+        return value & np.uint64((1 << self.bits) - 1)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        high = (self.select.nth(at) - at).astype(np.uint64)
+        return high << np.uint64(self.bits) | self.low_bits(at)
+
+    def successor(self, keys: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first value >= each key among those from ``first`` to below ``last``; ``last`` if there is none."""
+        keys = keys.astype(np.uint64)
+        low = np.zeros(len(keys), np.int64) if first is None else first.astype(np.int64)
+        high = np.full(len(keys), self.n, np.int64) if last is None else last.astype(np.int64)
+        if not self.n:
+            return low
+        select = self.select
+        part = np.minimum(keys >> np.uint64(self.bits), np.uint64(self._top + 1)).astype(np.int64)
+        begin = np.where(part > 0, select.nth(np.maximum(part - 1, 0), one=False) - part + 1, 0)
+        end = select.nth(part, one=False) - part
+        low, high = np.minimum(np.maximum(low, begin), high), np.maximum(np.minimum(high, end), np.minimum(np.maximum(low, begin), high))
+        wanted = keys & np.uint64((1 << self.bits) - 1)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            less = self.low_bits(middle) < wanted[open_]
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        return low
 
 
 class Codebook:
-    """Up to 256 levels of a weight: the values themselves if they are few, else quantile means."""
+    """Up to 256 levels of a weight: the values themselves if they are few, else the means of bins.
+
+    Half the bins' edges are quantiles, half are spaced evenly, so that no weight is off by more
+    than a 128th of the range."""
 
     @staticmethod
     def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, levels)."""
         some, codes = np.unique(values, return_inverse=True)
         if len(some) > 256:
-            edges = np.unique(np.quantile(values, np.linspace(0, 1, 257)[1:-1]))
+            edges = np.unique(np.concatenate([np.quantile(values, np.linspace(0, 1, 129)[1:-1]), np.linspace(some[0], some[-1], 130)[1:-1]]))
             codes = np.searchsorted(edges, values, side="right")
             count = np.bincount(codes, minlength=len(edges) + 1)
             some = np.bincount(codes, values, len(edges) + 1) / np.maximum(count, 1)
@@ -141,19 +218,23 @@ class Trie:
         return cls(buffer)
 
     def child(self, k: int, parent: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
-        """Node of level ``k`` under each parent (-1: none) with the given context, or -1."""
-        known = self.contexts.values()
+        """Node of level ``k`` under each parent (-1: none) with the given context, or -1.
+
+        The search stays inside the parent's range, between two of its pointers."""
         out = np.full(len(parent), -1, np.int64)
-        if not len(known):
+        if not self.contexts.n:
+            return out
+        rank = self.contexts.successor(fingerprint.astype(np.uint64))
+        rows = np.flatnonzero((parent >= 0) & (rank < self.contexts.n))
+        rows = rows[self.contexts.get(rank[rows]) == fingerprint[rows]]
+        if not len(rows):
             return out
-        rank = np.minimum(np.searchsorted(known, fingerprint), len(known) - 1)
-        rows = np.flatnonzero((parent >= 0) & (known[rank] == fingerprint))
         level, p = self.levels[k], parent[rows]
-        pointers, ids = level["pointers"].values(), level["ids"].values()
+        first, last = (level["pointers"].get(x).astype(np.int64) for x in (p, p + 1))
         key = p.astype(np.uint64) * np.uint64(self.universe) + rank[rows].astype(np.uint64)
-        at = level["ids"].successor(key)
-        ok = (at >= pointers[p].astype(np.int64)) & (at < pointers[p + 1].astype(np.int64))
-        ok[ok] = ids[at[ok]] == key[ok]
+        at = level["ids"].successor(key, first, last)
+        ok = np.flatnonzero(at < last)
+        ok = ok[level["ids"].get(at[ok]) == key[ok]]
         out[rows[ok]] = at[ok]
         return out
 
