@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from . import storage, vectors
 
-#: Bounds of the fit: most cells, sample rows, and sample rows that act as queries.
-MOST_CELLS, SAMPLE, TRIALS = 1024, 16384, 256
+#: Bounds of the fit: most cells, sample rows, sample rows that act as queries, and that set the bar.
+MOST_CELLS, SAMPLE, TRIALS, BAR_ROWS = 1024, 16384, 256, 8192
 PARTS = 16
 TARGET = 0.98
 #: Rows that a query scores exactly, as a multiple of the root of the table's rows.
 RERANK_ROOT = 2.0
-DATA_ROWS, QUERY_ROWS, DEAL = 8192, 1024, 16
+DATA_ROWS, QUERY_ROWS, DEAL = 4096, 256, 32
 CELLS_AT_ONCE = 2 << 20  # estimates, or components scored exactly, at a time
 
 
@@ -104,6 +104,8 @@ def search(rows: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", ve
     index = Index.fit(points, cells or min(MOST_CELLS, root), parts)
     probes = probes or visits(points, index, k)
     goal = rerank or max(k, math.ceil(RERANK_ROOT * root))
+    some = np.linspace(0, len(points) - 1, min(BAR_ROWS, len(points))).astype(int)
+    s_ids, points = s_ids[some], points[some]
     s_cell = vectors.nearest(points, index.centres)
     s_codes = index.encode(points, s_cell)
     passing = max(k, math.ceil(goal * len(points) / total))  # sample rows that reach the bar
