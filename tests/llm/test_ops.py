@@ -227,6 +227,35 @@ def test_packing(spark, corpus):
 
 # 3, 4 ----------------------------------------------------------------------
 
+def test_union_sketch_estimates():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 300, n)).astype(np.uint32) for n in (3, 20, 60, 64, 150, 250)]
+    sets += [np.unique(np.append(sets[4][5:], [900, 901])).astype(np.uint32)]
+    narrow = np.full((len(sets), 64), near_dedup._PAD, np.uint32)
+    for row, s in zip(narrow, sets):
+        row[: min(64, len(s))] = s[:64]
+    x, y = np.nonzero(np.ones((len(sets), len(sets))))
+    for i, j, e in zip(x.tolist(), y.tolist(), near_dedup.estimates(narrow[x], narrow[y])):
+        top = sorted({*sets[i].tolist(), *sets[j].tolist()})[:64]
+        assert e == pytest.approx(len([v for v in top if v in sets[i] and v in sets[j]]) / len(top))
+
+
+@pytest.mark.parametrize("short", [32, 2])
+def test_shared_values_alone_make_no_family(monkeypatch, short):
+    """Lists that overlap into one chain of all nodes: only pairs whose sketches are alike join."""
+    monkeypatch.setattr(near_dedup, "SHORT", short)
+    r = np.random.default_rng(5)
+    n = 600
+    sketches = np.sort(r.integers(0, 2**32 - 2, (n, 64)).astype(np.uint32), axis=1)
+    sketches[100:140] = sketches[100]
+    sketches[np.arange(100, 140), r.integers(0, 64, 40)] = 7
+    sketches = np.sort(sketches, axis=1)
+    owner = np.concatenate([np.arange(i, min(i + 50, n)) for i in range(0, n, 25)])
+    key = np.concatenate([np.full(min(i + 50, n) - i, i) for i in range(0, n, 25)]).astype(np.uint64)
+    root = near_dedup.sketch_families(key, owner, np.full(n, 500), sketches)
+    assert set(root[100:140].tolist()) == {100}
+    assert (np.delete(root, np.arange(100, 140)) == np.delete(np.arange(n), np.arange(100, 140))).all()
+
 
 @pytest.mark.parametrize("chunk", [1200, 7])
 def test_near_duplicates(spark, corpus, chunk):

@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from . import storage
 
 
+def _with_least(around: DataFrame, least: DataFrame) -> DataFrame:
+    """``around`` with the least neighbour of each u.
+
+    The second key follows from the first; it gives the join a shuffle of its own, apart from
+    that of the aggregate, so that adaptive execution can split the rows of a hub."""
+    again = F.xxhash64("u").alias("again")
+    return around.select("u", "v", again).join(least.select("u", "m", again), ["u", "again"])
+
+
 def _star(edges: DataFrame, both: bool) -> DataFrame:
     """Every node's neighbours link to the least of them; edges have a > b."""
     if both:  # large star: larger neighbours go to the least neighbour or the node itself
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = around.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = _with_least(around.where("v > u"), least).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:  # small star: the node and its smaller neighbours go to the least of them
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = around.groupBy("u").agg(F.min("v").alias("m"))
-        out = around.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        out = _with_least(around, least).select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 

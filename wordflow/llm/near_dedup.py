@@ -7,16 +7,19 @@
    frequencies come back. Two sets at the threshold share at least half of a
    sketch (theta * n values of small, whole sets), so they share one of the
    rarest values of each, and only that prefix is listed. Boilerplate that
-   many documents share is frequent and stays out of the prefixes. Nodes that
-   share a listed value form families.
-3. Families are compared in pairs of bounded chunks, each a task of its own:
-   sketch overlaps from inverted lists, the union-sketch estimate as a filter,
-   exact Jaccard on the full sets. A chunk pair gives at most a spanning
-   forest of its links, never all pairs.
-4. Components of the links, named by their smallest document.
-
-Shingles are told apart by 64-bit hashes. The chance that sketches hide a link
-at the threshold is below 1e-7 with the default size and filter.
+   many documents share is frequent and stays out of the prefixes.
+3. Nodes that share a listed value are compared by the estimate of their union
+   sketch: of the SKETCH smallest values of both, the share that both hold. Only
+   pairs that reach ESTIMATE join a family, so a shared value alone joins nothing.
+   Lists of more than CHUNK nodes are compared in pairs of chunks.
+4. Families are compared in pairs of bounded chunks, each a task of its own:
+   sketch overlaps from inverted lists as a filter, exact Jaccard on the full
+   sets. A chunk pair gives at most a spanning forest of its links, never all pairs.
+5. Components of the links, named by their smallest document.
+
+Shingles are told apart by 64-bit hashes, in estimates by 32 bits, which can only
+raise them. A link at the threshold (80 %) is lost if fewer than 32 of the 64 smallest
+values of a union are shared: binomially 2e-8, less for closer texts.
 """
 
 from __future__ import annotations
@@ -41,8 +44,12 @@ ESTIMATE = 0.5
 CHUNK = 1200  # nodes of a family a side of a task
 CELLS = 24 << 20  # of a dense block
 
-_REC = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-_REC_DDL = "shard int, block int, a binary, b binary"
+#: Nodes a block; lists of at most so many nodes are compared pair by pair, longer ones by matrices.
+BLOCK_NODES, SHORT = 100_000, 32
+_PAD = np.uint32(2**32 - 1)
+
+_REC = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *[(x, pa.binary()) for x in "abcde"]])
+_REC_DDL = "shard int, block int, " + ", ".join(f"{x} binary" for x in "abcde")
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -61,7 +68,8 @@ def least_overlap(n: int, sketch: int, percent: int) -> int:
 
 
 def _records(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[]] * 4
+    rows = [(*r, *[None] * (len(_REC) - len(r))) for r in rows]
+    cols = list(zip(*rows)) if rows else [[]] * len(_REC)
     return pa.Table.from_arrays([pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in c], f.type) for c, f in zip(cols, _REC)], schema=_REC)
 
 
@@ -114,6 +122,88 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Share of each pair's union sketch that both hold; rows are sketches of 32-bit values, padded at the end."""
+    width = left.shape[1]
+    both = np.sort(np.concatenate([left, right], axis=1), axis=1)
+    again = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)  # the second of two equal values
+    place = np.arange(1, 2 * width) - np.cumsum(again, axis=1)  # among the union's different values
+    shared = (again & (place < width)).sum(1)
+    union = (both != _PAD).sum(1) - again.sum(1)
+    return shared / np.maximum(np.minimum(union, width), 1)
+
+
+class _Families:
+    """Union-find over the nodes of a shard, joined by what their sketches say."""
+
+    def __init__(self, size: np.ndarray, sketches: np.ndarray, percent: int):
+        self.size, self.sketches, self.percent = size, sketches, percent
+        self.parent = np.arange(len(size))
+
+    def roots(self) -> np.ndarray:
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+        return self.parent
+
+    def join(self, x: np.ndarray, y: np.ndarray, step: int = 50_000) -> None:
+        """Join those of the pairs whose sizes and estimate allow a link."""
+        n, m = self.size[x], self.size[y]
+        near = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+        x, y = x[near], y[near]
+        for i in range(0, len(x), step):
+            ok = estimates(self.sketches[x[i : i + step]], self.sketches[y[i : i + step]]) >= ESTIMATE
+            for a, b in zip(x[i : i + step][ok].tolist(), y[i : i + step][ok].tolist()):
+                a, b = self.find(a), self.find(b)
+                self.parent[max(a, b)] = min(a, b)
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def long_list(self, nodes: np.ndarray) -> None:
+        """All pairs of a long list that no earlier pair has joined: one leader first, then the rest by matrices."""
+        root = self.roots()[nodes]
+        free = nodes[root != root[0]]
+        self.join(np.full(len(free), nodes[0]), free)
+        root = self.roots()[nodes]
+        found, back, n = np.unique(root, return_inverse=True, return_counts=True)
+        if len(found) == 1:
+            return
+        rest = nodes[back != n.argmax()]  # each pair across components has an end outside the largest
+        values = [s[s != _PAD] for s in self.sketches[nodes]]
+        place = np.flatnonzero(back != n.argmax())
+        for i in range(0, len(rest), 256):
+            shared = overlaps([values[j] for j in place[i : i + 256]], values)
+            x, y = np.nonzero(shared >= ESTIMATE * np.minimum(self.sketches.shape[1], np.maximum(self.size[rest[i : i + 256]][:, None], self.size[nodes][None, :])))
+            x, y = rest[i : i + 256][x], nodes[y]
+            root = self.roots()
+            other = root[x] != root[y]
+            self.join(x[other], y[other])
+
+
+def sketch_families(key: np.ndarray, owner: np.ndarray, size: np.ndarray, sketches: np.ndarray, percent: int = SIMILARITY) -> np.ndarray:
+    """Root of each node: nodes that share a key join if their sizes and union sketches allow a link."""
+    found = _Families(size, sketches, percent)
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    length = np.diff(np.append(start, len(key)))
+    short = np.repeat(length <= SHORT, length)
+    for lag in range(1, min(SHORT, int(length.max(initial=1)))):
+        x, y = owner[:-lag], owner[lag:]
+        same = (key[lag:] == key[:-lag]) & short[lag:] & (x != y)
+        x, y = x[same], y[same]
+        root = found.roots()
+        apart = root[x] != root[y]
+        pair = np.unique(x[apart].astype(np.int64) * len(size) + y[apart])
+        found.join(pair // len(size), pair % len(size))
+    for i in np.flatnonzero(length > SHORT).tolist():
+        found.long_list(np.unique(owner[start[i] : start[i] + length[i]]))
+    return found.roots()
+
+
 def link_chunks(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool, sketch: int = SKETCH, percent: int = SIMILARITY) -> list[tuple[int, int]]:
     """Spanning forest of the links between two chunks (``side`` 0 and 1), or within one."""
     left = np.flatnonzero(side == 0)
@@ -121,7 +211,6 @@ def link_chunks(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, sam
     if not len(left) or not len(right):
         return []
     size = np.array([len(s) for s in sets], np.int64)
-    # union sketch: the smallest values of both; those that stand in both sketches estimate
     a, b = [sets[i][:sketch] for i in left], [sets[i][:sketch] for i in right]
     n, m = size[left][:, None], size[right][None, :]
     near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
@@ -189,7 +278,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = storage.written(source.mapInArrow(sketches, "doc_id long, mark long, n_shingles long, node long, sketch binary"), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
 
-    shards = blocks = storage.shuffle_parts(spark)
+    total = rows.count()
+    shards = blocks = max(storage.shuffle_parts(spark), -(-total // BLOCK_NODES))
     dealt = nodes.select("node", "n", "sketch", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
 
     def values(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -218,7 +308,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return _records(out)
 
     def prefixes(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-        """List every node under those of its rarest values that it may share."""
+        """List every node under those of its rarest values that it may share.
+
+        a: keys of lists, b: their nodes, as places in c; c: nodes, d: sizes of their sets, e: sketches."""
+        key_of_block = key[0]
         if not table.num_rows:
             return _records([])
         node, v, lengths = values(table)
@@ -234,25 +327,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rank = np.arange(len(v)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         keep = np.array([m - least_overlap(int(x), sketch, percent) + 1 for m, x in zip(lengths, n)])
         order = order[(rank < keep[owner]) & (f[order] > 1)]
-        v, who = v[order], node[owner[order]]
-        to = (words.mix(v) % np.uint64(shards)).astype(np.int64)
-        return _records([(s, key[0].as_py(), v[to == s], who[to == s]) for s in np.unique(to).tolist()])
+        narrow = np.full((len(node), sketch), _PAD, np.uint32)
+        narrow[owner, np.arange(len(v)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.minimum(v >> np.uint64(32), _PAD - 1)
+        # a value of many nodes has a list for each pair of chunks of them
+        v, f, who = v[order], f[order], owner[order]
+        chunks = -(-f.astype(np.int64) // chunk)
+        own = (words.mix(node.view(np.uint64)[who] + np.uint64(9)) % chunks.astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(v)), chunks)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        low, high = np.minimum(own[at], other), np.maximum(own[at], other)
+        key, who = words.mix(v[at] + words.mix((low * chunk + high).astype(np.uint64))), who[at]
+        to = (key % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        key, who, to = key[order], who[order], to[order]
+        edges = np.searchsorted(to, np.arange(shards + 1))
+        out = []
+        for s in np.unique(to).tolist():
+            x, y = int(edges[s]), int(edges[s + 1])
+            some, mine = np.unique(who[x:y], return_inverse=True)
+            out.append((s, key_of_block.as_py(), key[x:y], mine.astype("<u4"), node[some], n[some].astype("<i8"), narrow[some]))
+        return _records(out)
 
     def families(table: pa.Table) -> pa.Table:
-        """Spanning forest of nodes that share a listed value."""
-        v = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table.column("a")])
-        who = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("b")])
-        order = np.argsort(v)
-        v, who = v[order], who[order]
-        same = v[1:] == v[:-1]
-        return _edges(_forest(zip(who[:-1][same].tolist(), who[1:][same].tolist())))
+        """Spanning forest of nodes whose union sketches allow a link."""
+        columns = [[np.frombuffer(x.as_py(), t) for x in table.column(c)] for c, t in zip("abcde", ("<u8", "<u4", "<i8", "<i8", "<u4"))]
+        before = np.cumsum([0, *map(len, columns[2])])
+        owner = np.concatenate([o + b for o, b in zip(columns[1], before[:-1])])
+        node, size, narrow = np.concatenate(columns[2]), np.concatenate(columns[3]), np.concatenate(columns[4]).reshape(-1, sketch)
+        root = sketch_families(np.concatenate(columns[0]), owner.astype(np.int64), size, narrow, percent)
+        some = np.flatnonzero(root != np.arange(len(root)))
+        return _edges(list(zip(node[some].tolist(), node[root[some]].tolist())))
 
     back = dealt.groupBy("block").applyInArrow(send, _REC_DDL).groupBy("shard").applyInArrow(count, _REC_DDL)
     listed = dealt.groupBy("block").cogroup(back.repartition(blocks, "block").groupBy("block")).applyInArrow(prefixes, _REC_DDL)
     member = storage.checkpoint(components(listed.groupBy("shard").applyInArrow(families, "a long, b long")))
 
     parts = member.groupBy("root").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"), F.count("*").alias("size"))
-    placed = join_keyed(member, parts, "root", "size", member.count()).select("node", "root", "chunks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("own"))
+    placed = join_keyed(member, parts, "root", "size", total).select("node", "root", "chunks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("own"))
     sought = placed.join(nodes.select("node", "first_id"), "node").select(F.col("node").alias("sought"), F.col("first_id").alias("id"), "root", "chunks", "own")
     texts = source.drop("mark").join(sought.select("id").distinct(), source.doc_id.eqNullSafe(F.col("id")), "left_semi")
 
@@ -264,19 +375,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     sets = texts.mapInArrow(full, "node long, shingles binary").join(sought, F.col("node") == F.col("sought"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    tasks = sets.select("node", "shingles", "root", "own", other).select(
-        "node", "shingles", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+    tasks = sets.select("node", "shingles", "root", "chunks", "own", other).select(
+        "node", "shingles", "root", (F.col("chunks") > 1).alias("multi"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
 
     def link(table: pa.Table) -> pa.Table:
         node, at = np.unique(table.column("node").to_numpy(), return_index=True)  # rows that share id and text
         table = table.take(pa.array(at))
-        return _edges(link_chunks(node, [np.frombuffer(x.as_py(), "<u8") for x in table.column("shingles")], table.column("side").to_numpy(), table.column("x")[0] == table.column("y")[0], sketch, percent))
+        found = _edges(link_chunks(node, [np.frombuffer(x.as_py(), "<u8") for x in table.column("shingles")], table.column("side").to_numpy(), table.column("x")[0] == table.column("y")[0], sketch, percent))
+        return found.append_column("multi", pa.array([table.column("multi")[0].as_py()] * found.num_rows, pa.bool_()))
 
-    linked = components(tasks.groupBy("root", "x", "y").applyInArrow(link, "a long, b long"))
+    # a family of one chunk has its components already; those of several are joined
+    edges = storage.checkpoint(tasks.groupBy("root", "x", "y").applyInArrow(link, "a long, b long, multi boolean"))
+    whole = edges.where("not multi").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    linked = components(edges.where("multi").select("a", "b")).unionByName(whole.union(whole.select("root", "root").distinct()))
     named = nodes.select("node", "first_id", "copies").join(linked.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").where("copies > 1 or root is not null")
     least = named.where("root is not null").groupBy(F.col("root").alias("r_")).agg(F.min("first_id").alias("least"))
     named = named.join(least, F.col("root") == F.col("r_"), "left").select("node", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("least", "first_id").alias("named"))
-    out = join_keyed(rows.select("doc_id", "mark", "n_shingles", "node"), named, "node", "copies", rows.count(), "left")
+    out = join_keyed(rows.select("doc_id", "mark", "n_shingles", "node"), named, "node", "copies", total, "left")
     group = F.coalesce("named", "doc_id")
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), *["mark", "root"] * mark)
