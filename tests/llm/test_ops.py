@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wordflow.llm import ann_ivfpq, bpe, components, knn_voronoi, langid, lm, near_dedup, ngram_trie, packing, skew, substring_dedup, tokens, toxicity, warc, words
+from wordflow.llm import ann_ivfpq, bpe, components, knn_voronoi, langid, lm, near_dedup, ngram_trie, packing, skew, storage, substring_dedup, tokens, toxicity, warc, words
 
 ODD = [None, "", " ", "a  b", " a\n b <|endoftext|> c<|startoftext|>d ", "é éx y  z ", "'s it's I'LL don't  \t x", "x" * 3000, "a b\u0085 c", "12,5 a1b2 '' \n\n z", "ÀB Straße İI 　 q", "tail "]
 
@@ -147,6 +147,7 @@ def test_lm_frequent_ngrams(spark, monkeypatch):
     p, _ = plain_trigram([t for i, t in enumerate(split) if i % 3])
     for heavy in (2000, 12):  # all are frequent, and only the passage
         monkeypatch.setattr(lm, "HEAVY", heavy)
+        monkeypatch.setattr(lm, "HOT", heavy // 2)
         p, _ = plain_trigram([t for i, t in enumerate(split) if i % 3], heavy)
         got = {row.doc_id: row.score for row in lm.score(docs_of(spark, texts), F.col("doc_id") % 3 != 0, shards=2).collect()}
         for i, t in enumerate(split):
@@ -161,6 +162,12 @@ def test_lm_sums_to_one(corpus):
         assert sum(p(a, b, c) for c in [*known, "an unknown word"]) == pytest.approx(1)
 
 
+def test_even_keys(spark):
+    for n in (1, 7, 64):
+        keys = spark.createDataFrame([(int(k),) for k in storage.even_keys(n)], "k int").repartition(n, "k")
+        assert sorted(r.n for r in keys.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) == [1] * n
+
+
 def test_lm_long_text(spark):
     long = "a b c d " * 60_000
     r = lm.score(docs_of(spark, [long, "a b", None]), F.lit(True), shards=2).orderBy("doc_id").collect()

@@ -10,14 +10,15 @@ one in HEAVY tokens. P(c) discounts absolutely and leaves the rest to one class
 words. Numerator and denominator need counts around one word each, so the log
 probability of a text is a sum of parts that shards of words know by themselves.
 
-1. Words are counted; frequent ones come back, at most HEAVY (more with more shards, so that
-   no other word outgrows a shard). Two more scans count pairs and triples of frequent words.
+1. Words are counted; the frequent ones come back. A word, pair or triple that would fill a
+   good part of a shard is hot: one more scan counts the pairs of hot words, if there are hot
+   words, and one the triples of hot pairs, if there are any.
 2. Every document's n-grams go to the shard of the predicted word once; the shard builds its
    trie from the training n-grams and scores all documents' n-grams by it; partial sums go
    back to the documents' block, for the texts that have n-grams there.
-A frequent word's n-grams are dealt by the word before too, a frequent pair's by the word
-before that; frequent triples, whose counts all are known, are scored where they stand. So no
-n-gram makes a shard hot. Equal texts of a block are sent once. The number of shards follows
+A frequent word's n-grams are dealt by the word before too, a hot pair's by the word before
+that; hot triples, whose counts all are known, are scored where they stand. So no n-gram
+fills a shard. Equal texts of a block are sent once. The number of shards follows
 the bytes of the table; a shard is scored in slices of its words.
 
 Words are told apart by 64-bit hashes. The contexts of one word in one shard are told apart
@@ -38,14 +39,15 @@ from pyspark.sql import functions as F
 from . import memos, storage, words
 from .ngram_trie import Trie
 
-#: A word of more than one in HEAVY tokens has a weight of its own; n-grams of more than one in
-#: max(HEAVY, 4 * shards) are dealt apart or broadcast, at most MOST_HEAVY of each order.
-HEAVY, MOST_HEAVY = 2000, 200_000
+#: A word of more than one in HEAVY tokens has a weight of its own. Words of more than one in
+#: max(HEAVY, HOT * shards) tokens are dealt by pairs; pairs and triples of more than one in
+#: HOT * shards are hot. Of each at most MOST_HEAVY can be.
+HEAVY, HOT, MOST_HEAVY = 2000, 4, 200_000
 HEAVY_WEIGHT, RARE_WEIGHT, BETA = 20.0, 0.05, 2.0
 #: A block of documents: text bytes, and at most so many texts (their places are 16-bit numbers).
 BLOCK_BYTES, BLOCK_TEXTS = 10 << 20, 60_000
 #: Text bytes a shard is made for; its n-grams take about three times that.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Entries of a shard that a task works on at once, at some 200 bytes each.
 SLICE = 250_000
 
@@ -63,7 +65,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _column(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py() or b"", kind) for x in table.column(name)]
+    return [np.frombuffer(x.as_buffer() or b"", kind) for x in table.column(name)]
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -136,10 +138,6 @@ class Weights:
     def is_heavy(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _find(self.heavy, word)
 
-    def before_heavy(self, fingerprint: np.ndarray) -> np.ndarray:
-        """Whether a word before may be frequent, by its fingerprint; the start of a text may."""
-        return _find(self.heavy_fp, fingerprint)[1] | (fingerprint == START)
-
     def unigram(self, n: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.ones(len(n))
@@ -186,8 +184,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[i
     return np.concatenate(c), np.concatenate(b), np.concatenate(a), sizes
 
 
-def _count_frequent(parts: int, weights: Weights, order: int):
-    """Training counts of pairs of frequent words (order 2), or of triples of two frequent pairs (3).
+def _count_hot(parts: int, weights: Weights, hot: np.ndarray, order: int):
+    """Training counts of pairs of hot words (order 2), or of triples of two hot pairs (3).
 
     a: keys, b: counts, and for triples c: predicted words, d: words before, e: words before those."""
 
@@ -197,10 +195,13 @@ def _count_frequent(parts: int, weights: Weights, order: int):
             if not mine:
                 continue
             c, b, a, _ = _grams(mine)
-            some = weights.is_heavy(c)[1] & weights.before_heavy(b)
+            some = _find(hot, c)[1]
+            some[1:] &= some[:-1] | (b[1:] == START)  # the word before, unless the text starts
             if order == 3:
-                some &= _find(weights.pair, _pair_key(c, b))[1]
-                some[1:] &= (b[1:] == START) | _find(weights.pair, _pair_key(c[:-1], b[:-1]))[1]  # the pair before
+                pair = np.zeros(len(c), bool)
+                pair[some] = _find(weights.pair, _pair_key(c[some], b[some]))[1]
+                some = pair.copy()
+                some[1:] &= pair[:-1] | (b[1:] == START)
             key = (_pair_key(c[some], b[some]) if order == 2 else _triple_key(c[some], b[some], a[some])).astype(np.uint64)
             found, at, n = np.unique(key, return_index=True, return_counts=True)
             to = (found % np.uint64(parts)).astype(np.int64)
@@ -241,6 +242,8 @@ def _send(shards: int, weights: Weights):
     of each text, f: number of records with scores to come back. Part 2: see ``_score_shard``.
     """
 
+    place_of = storage.even_keys(shards)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, train, texts in _blocks(batches):
             place: dict[str, int] = {}
@@ -250,24 +253,28 @@ def _send(shards: int, weights: Weights):
             owner = np.repeat(np.arange(len(place), dtype=np.uint32), n_tokens)
             block = xxhash.xxh64_intdigest("\0".join(map(str, ids)) + "\1" + "\0".join(texts)) >> 1
             sent = 0
-            at, known = _find(weights.triple, _triple_key(c, b, a))
+            key = _triple_key(c, b, a)
+            at, known = _find(weights.triple, key)
             if known.any():  # every count is known: no shard is asked
                 score, base = weights.triple_score[at[known]], weights.triple_base[at[known]]
                 who, o = np.unique(owner[known], return_inverse=True)
-                yield _batch([(block % shards, block, 2, who.astype("<u2"), np.bincount(o).astype("<u4"), np.bincount(o, base), np.bincount(o, score))])
+                yield _batch([(int(place_of[block % shards]), block, 2, who.astype("<u2"), np.bincount(o).astype("<u4"), np.bincount(o, base), np.bincount(o, score))])
                 sent += 1
-                c, b, a, owner = c[~known], b[~known], a[~known], owner[~known]
+                c, b, a, owner, key = c[~known], b[~known], a[~known], owner[~known], key[~known]
             # equal n-grams of a text become one entry
-            key = _triple_key(c, b, a) + owner
+            key += owner
             order = np.argsort(key)
             at = _runs(key[order])
             times = np.diff(np.append(at, len(key))).astype("<u4")
             o = order[at]
             c, b, a, owner = c[o], b[o], a[o], owner[o]
-            pair = _pair_key(c, b)
-            to = np.where(weights.is_heavy(c)[1], pair, words.mix(c))
-            to = np.where(_find(weights.pair, pair)[1], words.mix(pair + a), to) % np.uint64(shards)
-            o = np.lexsort((c, to))
+            to, heavy = words.mix(c), np.flatnonzero(weights.is_heavy(c)[1])
+            to[heavy] = pair = _pair_key(c[heavy], b[heavy])
+            hot = _find(weights.pair, pair)[1]
+            to[heavy[hot]] = words.mix(pair[hot] + a[heavy[hot]])
+            to %= np.uint64(shards)
+            bits = np.uint64(64 - max(1, shards - 1).bit_length())
+            o = np.argsort(to << bits | c >> (np.uint64(64) - bits))
             c, b, a, owner, times, to = c[o], b[o], a[o], owner[o], times[o], to[o]
             edges = np.searchsorted(to, np.arange(shards + 1, dtype=np.uint64))
             for s in range(shards):
@@ -277,10 +284,10 @@ def _send(shards: int, weights: Weights):
                 cs = c[x:y]
                 starts = _runs(cs)
                 who, mine = np.unique(owner[x:y], return_inverse=True)
-                yield _batch([(s, block, 0, cs[starts], np.diff(np.append(starts, len(cs))).astype("<u4"), b[x:y], a[x:y], mine.astype("<u2"), times[x:y], who.astype("<u2"), copies[who])])
+                yield _batch([(int(place_of[s]), block, 0, cs[starts], np.diff(np.append(starts, len(cs))).astype("<u4"), b[x:y], a[x:y], mine.astype("<u2"), times[x:y], who.astype("<u2"), copies[who])])
                 sent += 1
             null = np.array([i is None for i in ids], np.uint8)
-            yield _batch([(block % shards, block, 1, np.array([i or 0 for i in ids], "<i8"), null, np.array(train, np.uint8), ref.astype("<u4"), np.array(n_tokens, "<u4"), np.array([sent], "<u4"))])
+            yield _batch([(int(place_of[block % shards]), block, 1, np.array([i or 0 for i in ids], "<i8"), null, np.array(train, np.uint8), ref.astype("<u4"), np.array(n_tokens, "<u4"), np.array([sent], "<u4"))])
 
     return run
 
@@ -294,21 +301,27 @@ def _score_shard(weights: Weights):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part").to_numpy()
         out = table.filter(pa.array(part != 0)).to_batches()
-        table = table.filter(pa.array(part == 0))
-        if not table.num_rows:
+        grams = np.flatnonzero(part == 0).tolist()
+        if not grams:
             return pa.Table.from_batches(out, _SCHEMA)
-        columns = [_column(table, n, t) for n, t in zip("abcdefgh", ("<u8", "<u4", "<u4", "<u4", "<u2", "<u4", "<u2", "<u4"))]
-        records = list(zip(*columns))
+        kinds = ("<u8", "<u4", "<u4", "<u4", "<u2", "<u4", "<u2", "<u4")
+        records = [tuple(np.frombuffer(table.column(n)[i].as_buffer(), t) for n, t in zip("abcdefgh", kinds)) for i in grams]
+        blocks = [table.column("block")[i].as_py() for i in grams]
         sums = [np.zeros((3, len(r[6]))) for r in records]
         slices = -(-sum(len(r[2]) for r in records) // SLICE)
         for i in range(slices):
             _score_slice(weights, records, sums, i * (1 << 64) // slices, (i + 1) * (1 << 64) // slices)
-        rows = [(block % (1 << 31), block, 2, r[6], t[0].astype("<u4"), t[1], t[2]) for block, r, t in zip(table.column("block").to_pylist(), records, sums)]
+        rows = [(block % (1 << 31), block, 2, r[6], t[0].astype("<u4"), t[1], _narrow(t[2])) for block, r, t in zip(blocks, records, sums)]
         return pa.Table.from_batches([*out, _batch(rows)], _SCHEMA)
 
     return run
 
 
+def _narrow(sums: np.ndarray) -> np.ndarray:
+    """Single precision where that is off by less than 1e-5."""
+    return sums.astype("<f4") if np.abs(sums).max(initial=0) < 128 else sums
+
+
 def _score_slice(weights: Weights, records: list[tuple], sums: list[np.ndarray], low: int, high: int) -> None:
     """Add the known tokens and both scores of the words from ``low`` to below ``high`` to each record's texts."""
     cut = []
@@ -390,7 +403,8 @@ def _gather(table: pa.Table) -> pa.Table:
     if table.num_rows != int(sent[0]) * head.num_rows:
         raise RuntimeError("a block of documents lacks scores: the input changed between attempts")
     known, base, score = np.zeros(len(sizes)), np.zeros(len(sizes)), np.zeros(len(sizes))
-    for who, k, x, y in zip(*(_column(table, n, kind) for n, kind in zip("abcd", ("<u2", "<u4", "<f8", "<f8")))):
+    scores = [np.frombuffer(z.as_buffer(), "<f4" if len(z.as_buffer()) == 2 * len(w.as_buffer()) else "<f8") for w, z in zip(table.column("a"), table.column("d"))]
+    for who, k, x, y in zip(*(_column(table, n, kind) for n, kind in zip("abc", ("<u2", "<u4", "<f8"))), scores):
         known[who] += k
         base[who] += x
         score[who] += y
@@ -428,7 +442,8 @@ def score(docs: DataFrame, train_when, *, id_col: str = "doc_id", text_col: str
     totals = np.zeros(4, np.int64)
     for r in counted.select("a").collect():
         totals += np.frombuffer(r.a, "<i8")
-    least = int(totals[0]) // min(MOST_HEAVY, max(HEAVY, 4 * shards))
+    least = int(totals[0]) // min(MOST_HEAVY, max(HEAVY, HOT * shards))
+    hot_n = int(totals[0]) // min(MOST_HEAVY, HOT * shards)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -439,10 +454,13 @@ def score(docs: DataFrame, train_when, *, id_col: str = "doc_id", text_col: str
     heavy = sorted((r.word % (1 << 64), r.n) for r in counted.mapInArrow(frequent, "word long, n long").collect())
     weights = Weights(totals, np.array([w for w, _ in heavy], np.uint64), np.array([n for _, n in heavy], np.int64), texts)
 
+    hot = weights.heavy[weights.heavy_n > hot_n]
+
     def recount(order: int) -> DataFrame:
-        return source.mapInArrow(_count_frequent(parts, weights, order), _DDL).groupBy("shard").applyInArrow(_sum_frequent(least), _DDL)
+        return source.mapInArrow(_count_hot(parts, weights, hot, order), _DDL).groupBy("shard").applyInArrow(_sum_frequent(hot_n), _DDL)
 
-    weights.pair, weights.pair_n = _frequent(spark, recount(2), "ab", ("<u8", "<i8"))
+    if len(hot):
+        weights.pair, weights.pair_n = _frequent(spark, recount(2), "ab", ("<u8", "<i8"))
     if len(weights.pair):
         weights.triple, n3, word, before, _ = _frequent(spark, recount(3), "abcde", ("<u8", "<i8", "<u8", "<u4", "<u4"))
         n1, n2 = weights.heavy_n[weights.is_heavy(word)[0]], weights.pair_n[_find(weights.pair, _pair_key(word, before))[0]]

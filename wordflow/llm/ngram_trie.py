@@ -32,8 +32,7 @@ def _words64(data: np.ndarray) -> np.ndarray:
     return padded.view("<u8")
 
 
-#: Ones of each byte, and the place of each byte's n-th one.
-_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
+#: The place of each byte's n-th one.
 _PLACE = np.zeros((256, 8), np.int64)
 for _b in range(256):
     _set = [i for i in range(8) if _b >> i & 1]
@@ -48,24 +47,23 @@ class Select:
     The directory holds the number of ones before every 8 bytes."""
 
     def __init__(self, data: np.ndarray):
-        self.bytes = _words64(data).view(np.uint8)
-        each = _ONES[self.bytes].reshape(-1, 8).sum(1)
-        self.before = np.concatenate([[0], np.cumsum(each)])
+        self.words = _words64(data)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
 
     def nth(self, n: np.ndarray, one: bool = True) -> np.ndarray:
         """Bit index of each ``n``-th (from 0) one or zero; a place past the end if there are fewer zeros."""
         before = self.before if one else np.arange(len(self.before)) * 64 - self.before
-        word = np.minimum(np.searchsorted(before, n, side="right") - 1, len(before) - 2)
-        left, at = n - before[word], word * 8
-        go = np.ones(len(n), bool)
-        for _ in range(7):  # on to the byte that holds it
-            ones = _ONES[self.bytes[at]]
-            here = ones if one else 8 - ones
-            go &= left >= here
-            left = left - here * go
-            at = at + go
-        byte = self.bytes[at] if one else ~self.bytes[at]
-        return at * 8 + _PLACE[byte, np.minimum(left, 7)]
+        at = np.minimum(np.searchsorted(before, n, side="right") - 1, len(before) - 2)
+        left, word = n - before[at], self.words[at] if one else ~self.words[at]
+        at = at * 64
+        for half in (32, 16, 8):  # halve the word until a byte holds it
+            ones = np.bitwise_count(word & np.uint64((1 << half) - 1))
+            on = left >= ones
+            left = left - ones * on
+            step = on * half
+            word >>= step.astype(np.uint64)
+            at += step
+        return at + _PLACE[(word & np.uint64(255)).astype(np.int64), np.minimum(left, 7)]
 
 
 class EliasFano:
@@ -224,13 +222,16 @@ class Trie:
         out = np.full(len(parent), -1, np.int64)
         if not self.contexts.n:
             return out
-        rank = self.contexts.successor(fingerprint.astype(np.uint64))
+        some, back = np.unique(fingerprint, return_inverse=True)
+        found = self.contexts.successor(some)
+        found[found < self.contexts.n] = np.where(self.contexts.get(found[found < self.contexts.n]) == some[found < self.contexts.n], found[found < self.contexts.n], self.contexts.n)
+        rank = found[back]
         rows = np.flatnonzero((parent >= 0) & (rank < self.contexts.n))
-        rows = rows[self.contexts.get(rank[rows]) == fingerprint[rows]]
         if not len(rows):
             return out
         level, p = self.levels[k], parent[rows]
-        first, last = (level["pointers"].get(x).astype(np.int64) for x in (p, p + 1))
+        new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))  # queries of a parent come together
+        first, last = (np.repeat(level["pointers"].get(x).astype(np.int64), np.diff(np.append(new, len(p)))) for x in (p[new], p[new] + 1))
         key = p.astype(np.uint64) * np.uint64(self.universe) + rank[rows].astype(np.uint64)
         at = level["ids"].successor(key, first, last)
         ok = np.flatnonzero(at < last)

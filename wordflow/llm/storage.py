@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +54,29 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _murmur(values: np.ndarray) -> np.ndarray:
+    """Spark's hash of ints (Murmur3, seed 42)."""
+    u = lambda x: np.uint32(x)
+    with np.errstate(over="ignore"):
+        k = values.astype(np.uint32) * u(0xCC9E2D51)
+        k = (k << u(15) | k >> u(17)) * u(0x1B873593)
+        h = u(42) ^ k
+        h = (h << u(13) | h >> u(19)) * u(5) + u(0xE6546B64)
+        h ^= u(4)
+        h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+        h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+        return (h ^ h >> u(16)).view(np.int32)
+
+
+def even_keys(n: int) -> np.ndarray:
+    """``n`` ints that hash partitioning deals to ``n`` partitions, one to each."""
+    found, at, step = np.full(n, -1, np.int64), 0, max(64, 2 * n)
+    while (found < 0).any():
+        some = np.arange(at, at + step)
+        to = _murmur(some).astype(np.int64) % n
+        new = found[to] < 0
+        found[to[new]] = some[new]
+        at += step
+    return found
