@@ -92,16 +92,36 @@ def test_affix_analyses_agree_with_checker(spark):
     assert got == {w for w in words_ if d.correct(w)}
 
 
+#: Rules that use every feature of a slot and of a suggestion.
+RULES = """
+- {id: THIRD, message: m, pattern: [{pos: PRON_3SG}, {pos: VERB_BASE, exception: [can]}], suggestions: [{template: "{{1|3sg}}"}]}
+- {id: GAP, message: m, pattern: [{word: from, skip: 2}, {word: to}]}
+- {id: MAYBE, message: m, pattern: [{word: very}, {word: quite, optional: true}, {word: calm}], suggestions: [{replace: {word: very, with: so}}]}
+- {id: LIST, message: m, matcher: word_list, pattern: {words: ["by and large", "as is"]}, suggestions: [{replace_span: {with: ""}}, plain]}
+- {id: FIRST, message: m, pattern: [{pos: SENT_START}, {regex: "[0-9]*"}]}
+- {id: CASE, message: m, pattern: [{word: EU, case_sensitive: true}]}
+- {id: NOT, message: m, pattern: [{word: zig}, {word: zag, negated: true}]}
+- {id: OFF, message: m, default: "off", pattern: [{word: zig}]}
+- {id: BOOL, message: m, pattern: [{word: no}]}
+"""
+
+
 def test_grammar(spark):
-    rules = load_rules(grammar.english_rules())
+    rules = load_rules(RULES)
     at = lambda t: [(e["rule_id"], e["start"], e["end"], e["suggestions"]) for e in check(t, rules)]
-    assert at("He go to school. They was late.") == [("SUBJECT_VERB_3SG", 0, 4, ["goes"]), ("PLURAL_WAS", 17, 24, ["They were"])]
-    assert at("Ça va — é. I could of gone.") == [("MODAL_OF", 15, 22, ["could have"])] or at("Ça va — é. I could of gone.")[0][0] == "MODAL_OF"
-    assert at("She speaks English and a little French.") == [] and at("") == []
+    assert at("He go to school. It can do.") == [("THIRD", 0, 4, ["goes"])]
+    assert at("Ça va — é. From here on to x.") == [("GAP", 15, 29, [])] or at("Ça va — é. From here on to x.")[0][0] == "GAP"
+    assert at("very calm, very quite calm") == [("MAYBE", 0, 8, ["so calm"]), ("MAYBE", 11, 25, ["so quite calm"])]
+    assert at("By and large it is.")[0] == ("LIST", 0, 11, ["", "plain"]) and at("12 a 13. eu EU") == [("FIRST", 0, 1, []), ("CASE", 12, 13, [])]
+    assert at("zig zag. zig x. No.") == [("NOT", 9, 13, []), ("BOOL", 16, 17, [])]
+    house = load_rules(grammar.english_rules())
+    assert [(e["rule_id"], e["suggestions"]) for e in check("The crew go. Oh no! In lieu of it, you may can go.", house)] == [
+        ("COLLECTIVE_BASE", ["crew goes"]), ("FILLER", [""]), ("MODAL_PAIR", ["may"]), ("LEGAL_LATIN", ["In place of"]),
+    ]
     assert compile_regex("[a-c]*x|ab.*").fullmatch("abcx") and not compile_regex("\\w+").fullmatch("abc")
-    texts = spark.createDataFrame([(1, "They was late."), (2, None), (3, "")], "i int, text string")
-    assert [(r.id, r.rule_id) for r in grammar.errors(texts, "i", grammar.english_rules()).collect()] == [(1, "PLURAL_WAS")]
-    assert grammar.tokens(texts, "i").count() == 4
+    texts = spark.createDataFrame([(1, "She may can go."), (2, None), (3, "")], "i int, text string")
+    assert [(r.id, r.rule_id) for r in grammar.errors(texts, "i", grammar.english_rules()).collect()] == [(1, "MODAL_PAIR")]
+    assert grammar.tokens(texts, "i").count() == 5
 
 
 def test_rerank(spark):

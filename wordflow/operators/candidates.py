@@ -108,7 +108,7 @@ def _keyboard_once(word: str) -> set[str]:
     """``keyboard_round`` of one word."""
     out = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
     for i, c in enumerate(word):
-        near = K.NEIGHBOURS.get(c.lower(), "").split()
+        near = K.NEIGHBOURS.get(c.lower(), ())
         if near:
             out.add(word[:i] + word[i + 1 :])
             out.update(word[:i] + n + word[i + 1 :] for n in near)
