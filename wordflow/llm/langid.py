@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from . import memos, words
 
 UNDETERMINED = "und"
-SAMPLE_DOCS = 250  # whole documents a language
+#: The fit takes so many whole documents a language, and as many of them as have so many bytes.
+SAMPLE_DOCS, SAMPLE_BYTES = 250, 4 << 20
 EM_ROUNDS = 3
-WORD_BYTES = 48  # longer words are scored as consecutive words of this length
+WORD_BYTES = 48  # longer words go through the forward algorithm one by one, in logarithms
 MEMO_WORDS = 300_000
 #: Probabilities are scaled by SCALE a byte so that products of many stay in range.
 SCALE = 1000.0
@@ -51,15 +52,8 @@ def read_pieces(model_path: str) -> list[bytes]:
 
 
 def text_words(text: str | None) -> list[bytes]:
-    """Lower-case words with a leading blank, cut at WORD_BYTES."""
-    out = []
-    for w in (text or "").lower().encode("utf-8").translate(words.LETTERS).split():
-        w = b" " + w
-        if len(w) <= WORD_BYTES:
-            out.append(w)
-        else:
-            out += [w[i : i + WORD_BYTES] for i in range(0, len(w), WORD_BYTES)]
-    return out
+    """Lower-case words with a leading blank."""
+    return [b" " + w for w in (text or "").lower().encode("utf-8").translate(words.LETTERS).split()]
 
 
 def has_letter(text: str | None) -> bool:
@@ -112,6 +106,29 @@ class Lattice:
                 yield j, n, live[some[ok]][fits], piece[fits]
 
 
+    def long_edges(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, lengths, pieces) of one long word by ascending end, and where each end's begin."""
+        raw = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
+        ends, sizes, found = [], [], []
+        for n in self.lengths:
+            if n > len(raw):
+                break
+            h = np.zeros(len(raw) - n + 1, np.uint64)
+            for i in range(n):
+                h = h * _BASE + raw[i : len(raw) - n + 1 + i]
+            h = words.mix(h + np.uint64(n))
+            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            piece = self.order[at]
+            ok = np.flatnonzero((self.sorted[at] == h) & (self.size[piece] == n))
+            ends.append(ok + n)
+            sizes.append(np.full(len(ok), n))
+            found.append(piece[ok])
+        end, size, piece = np.concatenate(ends), np.concatenate(sizes), np.concatenate(found)
+        order = np.argsort(end, kind="stable")
+        end, size, piece = end[order], size[order], piece[order]
+        return end, size, piece, np.searchsorted(end, np.arange(len(raw) + 2))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -131,11 +148,43 @@ def _forward(edges: list, prob: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _log_sum(values: np.ndarray) -> np.ndarray:
+    top = values.max(0)
+    return top + np.log(np.exp(values - top).sum(0))
+
+
+def _long_forward(edges: tuple, log_prob: np.ndarray, size: int) -> np.ndarray:
+    """log alpha[j, language] of one word: linear in its length, safe at any length."""
+    _, sizes, piece, at = edges
+    alpha = np.zeros((size + 1, log_prob.shape[1]))
+    for j in range(1, size + 1):
+        x, y = at[j], at[j + 1]
+        alpha[j] = _log_sum(alpha[j - sizes[x:y]] + log_prob[piece[x:y]])
+    return alpha
+
+
+def _long_expected(lattice: "Lattice", word: bytes, count: np.ndarray, prob: np.ndarray, expected: np.ndarray) -> None:
+    """Add a long word's expected pieces, times its count in each language."""
+    edges, log_prob = lattice.long_edges(word), np.log(prob)
+    ends, sizes, piece, _ = edges
+    alpha = _long_forward(edges, log_prob, len(word))
+    beta = np.full_like(alpha, -np.inf)
+    beta[-1] = 0
+    start = ends - sizes
+    order = np.argsort(start, kind="stable")
+    at = np.searchsorted(start[order], np.arange(len(word) + 1))
+    for j in range(len(word) - 1, -1, -1):
+        some = order[at[j] : at[j + 1]]
+        if len(some):
+            beta[j] = _log_sum(beta[ends[some]] + log_prob[piece[some]])
+    np.add.at(expected, piece, np.exp(alpha[start] + log_prob[piece] + beta[ends] - alpha[-1]) * count)
+
+
 class Scorer:
     """Log-likelihoods of texts, word results remembered."""
 
     def __init__(self, model: Model):
-        self.lattice, self.prob = Lattice(model.pieces), model.prob
+        self.lattice, self.prob, self.log_prob = Lattice(model.pieces), model.prob, np.log(model.prob)
         self.memo: dict[bytes, int] = {}
         self.rows = np.zeros((1024, len(model.langs)))
 
@@ -161,10 +210,21 @@ class Scorer:
         need = set()
         for w in split:
             need |= set(w).difference(self.memo)
+        long = {w: self.long_word(w) for w in need if len(w) > WORD_BYTES}  # not remembered: they may be many bytes
+        need.difference_update(long)
         if need:
             self.learn(list(need))
         get = self.memo.__getitem__
-        return np.array([self.rows[np.fromiter(map(get, w), np.int64, len(w))].sum(0) for w in split]).reshape(len(texts), -1)
+        out = np.zeros((len(texts), self.rows.shape[1]))
+        for i, w in enumerate(split):
+            if long and not long.keys().isdisjoint(w):
+                out[i] = sum(long[x] for x in w if x in long)
+                w = [x for x in w if x not in long]
+            out[i] += self.rows[np.fromiter(map(get, w), np.int64, len(w))].sum(0)
+        return out
+
+    def long_word(self, word: bytes) -> np.ndarray:
+        return _long_forward(self.lattice.long_edges(word), self.log_prob, len(word))[-1]
 
 
 def fit(samples: dict[str, Counter], pieces: list[bytes], *, rounds: int = EM_ROUNDS) -> Model:
@@ -175,9 +235,10 @@ def fit(samples: dict[str, Counter], pieces: list[bytes], *, rounds: int = EM_RO
     prob = np.full((len(pieces), len(langs)), 1.0 / len(pieces))
     lattice = Lattice(pieces)
     batches = []
-    for a in range(0, len(vocab), 20_000):
-        part = vocab[a : a + 20_000]
-        batches.append((list(lattice.edges(part)), np.array([len(w) for w in part]), count[a : a + 20_000]))
+    usual = next((i for i, w in enumerate(vocab) if len(w) > WORD_BYTES), len(vocab))
+    for a in range(0, usual, 20_000):
+        part = vocab[a : min(a + 20_000, usual)]
+        batches.append((list(lattice.edges(part)), np.array([len(w) for w in part]), count[a : a + len(part)]))
     for _ in range(rounds if vocab else 0):
         expected = np.zeros_like(prob)
         for edges, lens, c in batches:
@@ -191,6 +252,8 @@ def fit(samples: dict[str, Counter], pieces: list[bytes], *, rounds: int = EM_RO
                 flow = flow * alpha[j - n, rows]
                 for k in range(len(langs)):
                     expected[:, k] += np.bincount(piece, flow[:, k], len(pieces))
+        for w, c in zip(vocab[usual:], count[usual:]):
+            _long_expected(lattice, w, c, prob, expected)
         pooled = expected.sum(1, keepdims=True)
         own = expected / np.maximum(expected.sum(0), 1e-300)
         prob = (1 - POOLED) * own + POOLED * pooled / max(pooled.sum(), 1e-300) + FLOOR
@@ -201,15 +264,24 @@ def fit(samples: dict[str, Counter], pieces: list[bytes], *, rounds: int = EM_RO
 def train(docs: DataFrame, pieces: list[bytes], *, sample_docs: int = SAMPLE_DOCS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Fit on about ``sample_docs`` whole documents a language, drawn by a hash of id and text.
 
-    Rows with a null language or text teach nothing. Without any row there is no
+    Equal rows count once. Of a language's drawn documents, in the order of the hash, those are
+    taken that together have at most SAMPLE_BYTES; so a document longer than that teaches
+    nothing. Rows with a null language or text teach nothing either. Without any row there is no
     language, and every prediction is ``und``.
     """
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("mark")).where("text is not null and lang is not null")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("mark")).where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     samples: dict[str, Counter] = {x: Counter() for x in sizes}
     if sizes:
         cut = F.create_map(*[F.lit(v) for x, n in sizes.items() for v in (x, min(1 << 30, (sample_docs << 30) // n))])
-        for r in rows.where(F.pmod("mark", F.lit(1 << 30)) < cut[F.col("lang")]).select("text", "lang").collect():
+        drawn = rows.where(F.pmod("mark", F.lit(1 << 30)) < cut[F.col("lang")])
+        held: Counter = Counter()
+        taken = []
+        for r in sorted(drawn.groupBy("lang", "mark").agg(F.first(F.octet_length("text")).alias("size")).collect(), key=lambda r: r.mark):
+            if held[r.lang] + r.size <= SAMPLE_BYTES:
+                held[r.lang] += r.size
+                taken.append(r.mark)
+        for r in drawn.where(F.col("mark").isin(taken)).groupBy("lang", "mark").agg(F.first("text").alias("text")).collect() if taken else ():
             samples[r.lang].update(text_words(r.text))
     return fit(samples, pieces)
 
@@ -218,7 +290,8 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """doc_id, lang_pred, score (posterior, 0 to 1), and the columns named in ``carry``.
 
     ``und`` with score 0 where the text is null or has no letter, or no language was
-    learned; ties go to the language that is first in text order. Ids pass through, null
+    learned; ties go to the language that is first in text order. Words and texts of any length
+    are scored whole. Ids pass through, null
     or repeated; other columns are ignored; an empty table gives an empty result.
     """
     text = F.col(text_col).cast("string").alias("__text")
