@@ -2,7 +2,8 @@
 
 Features of a text are the distinct buckets (2**BITS) of its words, their stems
 (first bytes, for inflected forms), word pairs and pairs around one skipped word. The fit takes a bounded hash sample of the
-labelled rows (``sample_rows`` a class); L1 leaves few weights, which go to
+labelled rows (``sample_rows`` a class), the intercept then takes back the classes' unequal
+shares in it; L1 leaves few weights, which go to
 the executors as two small arrays whose size the sample bounds, and scoring is
 a scan without a shuffle.
 """
@@ -83,9 +84,11 @@ def fit(examples: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS, alpha:
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most about ``sample_rows`` labelled rows of each class, drawn by a hash of the id.
 
-    Only the drawn ids, bounded so, are broadcast to the documents.
-    Labels other than 0 and 1, null ids and unlabelled documents teach nothing; of several
-    labels of one id the largest counts. Without any labelled row every score is 0.5.
+    Only the drawn ids, bounded so, are broadcast to the documents; of an id's documents the one
+    with the smallest hash teaches, by its whole text, of which only the buckets come back (at
+    most 4 * 2**BITS bytes). Labels other than 0 and 1, null ids and unlabelled documents teach
+    nothing; of several labels of one id the largest counts. Without any labelled row every
+    score is 0.5. Where only part of a class is drawn, the intercept is corrected for it.
     """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("labelled")).agg(F.max(label_col).cast("int").alias("y"))
     sizes = {r.y: r.n for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -94,15 +97,27 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     cut = F.create_map(*[F.lit(v) for y_, n in sizes.items() for v in (y_, min(1 << 30, (sample_rows << 30) // n))])
     drawn = y.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)) < cut[F.col("y")])  # about 2 * sample_rows ids
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("labelled"))
-    rows = found.select("text", "y", F.xxhash64("id", F.lit(7)).alias("order")).collect()
-    rows.sort(key=lambda r: (r.order, r.text or ""))
-    return fit([(np.unique(buckets(r.text)), r.y) for r in rows])
+    one = found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.claim("words")
+        for batch in batches:
+            at = [np.unique(buckets(t.as_py())).astype("<i4").tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), pa.array(at, pa.binary())], ["order", "y", "at"])
+
+    rows = one.select("text", "y", F.xxhash64("id", F.lit(7)).alias("order")).mapInArrow(distinct, "order long, y int, at binary").collect()
+    rows.sort(key=lambda r: (r.order, bytes(r.at)))
+    model = fit([(np.frombuffer(r.at, "<i4").astype(np.int64), r.y) for r in rows])
+    if len(sizes) == 2:
+        share = {y_: min(1.0, sample_rows / n) for y_, n in sizes.items()}
+        model.intercept -= float(np.log(share[1] / share[0]))
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= 0.5), and the columns named in ``carry``.
 
-    Null and empty texts score the intercept alone. Ids pass through, null or repeated;
+    Null and empty texts score the intercept alone; texts of any length count whole. Ids pass through, null or repeated;
     other columns are ignored; an empty table gives an empty result.
     """
     text = F.col(text_col).cast("string").alias("__text")
