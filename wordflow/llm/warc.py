@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import storage
+from . import skew, storage
 
 DICT_MAGIC = 0x184D2A5D
 #: An empty skippable frame: magic 0x184D2A50 and length 0, little-endian.
@@ -37,6 +37,8 @@ MIN_REVISIT_BYTES = 1000
 SAMPLE_RECORDS = 1024
 SAMPLE_BYTES = 16 << 10
 DICT_BYTES = 64 << 10
+#: Payload bytes that an archive is made for.
+ARCHIVE_BYTES = 256 << 20
 
 _CRLF = b"\r\n"
 _PAGE, _NO_PAGE = 0x7AB1_C0DE_0000_8000, 0x7AB1_C0DE_0000_8001
@@ -126,25 +128,27 @@ def frames(archive: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES, parts: int | None = None) -> None:
-    """Write a record for every row of ``pages`` to archives ``part-*.warc.zst`` under ``path``.
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES, parts: int | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write a record for every row of ``pages`` to archives ``part-*`` under ``path``.
 
     Null html is an empty payload, a null URL leaves its header out. A null page_id is
     below every other. Rows that repeat the largest page_id of a payload are all responses.
-    Other columns are ignored; an empty table gives archives without records or none.
+    Payloads of any length are written whole; one record must fit a worker. Other columns are
+    ignored; an empty table gives archives without records or none.
 
-    Equal payloads meet by digest in a partial aggregate; only the digests of groups
-    come back in a join, which adaptive execution splits where one payload is hot.
+    Equal payloads meet by digest in a partial aggregate, which carries no payloads. Pages below
+    ``min_revisit_bytes`` and those of hot digests (of which there are few, so they are broadcast)
+    are written where they are read; only the others move, to meet their digest's response.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("body"))
     wanted = rows.withColumn("sha", F.when(F.length("body") >= min_revisit_bytes, F.unhex(F.sha1("body"))))
-    groups = wanted.where("sha is not null").groupBy("sha").agg(F.max("page").alias("kept"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("shared"), "kept")
-    total = rows.count()
-    mark = F.xxhash64("page", "url")
+    groups = wanted.where("sha is not null").groupBy("sha").agg(F.max("page").alias("kept"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("shared"), "kept", "n")
+    total, size = rows.agg(F.count("*"), F.sum(F.length("body"))).first()
+    mark = F.xxhash64("page", "url", F.xxhash64("body"))
     drawn = rows if total <= SAMPLE_RECORDS else rows.where(F.pmod(mark, F.lit(1 << 30)) < (SAMPLE_RECORDS << 30) // total)
-    picked = drawn.select("page", "url", F.substring("body", 1, SAMPLE_BYTES).alias("body")).collect()
+    picked = drawn.groupBy(mark.alias("mark")).agg(F.first("page").alias("page"), F.first("url").alias("url"), F.first(F.substring("body", 1, SAMPLE_BYTES)).alias("body")).orderBy("mark").collect()
     dictionary = train_dictionary([build_record(r.page, r.url, bytes(r.body), None) for r in picked])
     lead = struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary
 
@@ -162,16 +166,25 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
             first = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    joined = wanted.join(groups, F.col("sha") == F.col("shared"), "left").select("page", "url", "body", "kept", F.col("shared").isNotNull().alias("grouped"))
+    columns = ("page", "url", "body", "kept", F.col("shared").isNotNull().alias("grouped"))
+    limit = max(skew.LEAST, total // skew.SHARE)
+    marked = wanted.join(F.broadcast(groups.where(F.col("n") > limit).drop("n")), F.col("sha") == F.col("shared"), "left")
+    still = marked.where("sha is null or shared is not null").select(*columns)
+    moving = marked.where("sha is not null and shared is null").drop("kept", "shared")
+    number = max(storage.shuffle_parts(spark), -(-(size or 0) // archive_bytes))
+    met = moving.repartition(number, "sha").join(groups.where(F.col("n") <= limit).drop("n"), F.col("sha") == F.col("shared"), "left").select(*columns)
+    everything = still.unionByName(met)
     if parts:
-        joined = joined.repartition(parts)
-    packed = joined.mapInArrow(compress, "frame binary")
-    packed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+        everything = everything.repartition(parts)
+    packed = everything.mapInArrow(compress, "frame binary")
+    packed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 0).text(path)
     _rename(spark, path)
 
 
 def _rename(spark: SparkSession, path: str) -> None:
-    """Give the committed files the archives' usual ending; one metadata call a file."""
+    """Give the committed files the archives' usual ending; one metadata call a file.
+
+    Readers take both names, so archives are whole wherever this stops."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -202,7 +215,7 @@ def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = False)
                         rows, held = [], 0
                 yield _batch(rows, types, names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(unpack, ddl)
 
 
