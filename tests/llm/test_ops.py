@@ -397,6 +397,110 @@ def test_forward_sums_all_segmentations():
     assert scorer.score([""])[0, 0] == 0
 
 
+def test_long_words_are_summed_whole():
+    """Words beyond the batch's limit, also with a long piece in them, equal the plain sum over all segmentations."""
+    long_piece = b"abcdefghijklmnopqrst"
+    pieces = [b" ", *[bytes([c]) for c in b"abcdefghijklmnopqrst"], b"ab", b"cd", long_piece, "é".encode(), b"\xc3", b"\xa9"]
+    r = np.random.default_rng(3)
+    p = r.random((len(pieces), 2))
+    p /= p.sum(0)
+    scorer = langid.Model(["x", "y"], pieces, p).scorer()
+
+    def plain(w):
+        a = [np.zeros(2)]
+        for j in range(1, len(w) + 1):
+            terms = [a[j - len(q)] + np.log(v) for q, v in zip(pieces, p) if w[:j].endswith(q)]
+            a.append(np.logaddexp.reduce(terms))
+        return a[-1]
+
+    for w in ("abcd" * 125, "x" * 0 + "abcdefghijklmnopqrst" * 5, "é" * 40, "ab" * 23 + "é"):
+        assert scorer.score([w])[0] == pytest.approx(plain(b" " + w.encode()), rel=1e-9)
+    both = scorer.score(["abcd " + "abcd" * 125 + " ab"])[0]
+    assert both == pytest.approx(sum(plain(b" " + w) for w in (b"abcd", b"abcd" * 125, b"ab")), rel=1e-9)
+
+
+def test_langid_fit_is_plain_em():
+    """One round of expectation and maximisation, and the posterior, against all segmentations listed."""
+    pieces = [b" ", b"a", b"b", b"ab", b"ba"]
+    words_ = {"x": Counter({b" ab": 3, b" aab": 1}), "y": Counter({b" ba": 2, b" " + b"ba" * 30: 1})}
+
+    def ways(w):
+        return [[]] if not w else [[q, *rest] for q in pieces if w.startswith(q) for rest in ways(w[len(q) :])]
+
+    words_["y"][b" " + b"ba" * 30] = 0  # too many segmentations to list
+    model = langid.fit(words_, pieces, rounds=1)
+    expected = np.zeros((5, 2))
+    for k, lang in enumerate("xy"):
+        for w, n in words_[lang].items():
+            if n:
+                found = ways(w)
+                weight = np.array([0.2 ** len(x) for x in found])
+                for x, v in zip(found, weight / weight.sum()):
+                    for q in x:
+                        expected[pieces.index(q), k] += n * v
+    prob = (1 - langid.POOLED) * expected / expected.sum(0) + langid.POOLED * expected.sum(1, keepdims=True) / expected.sum() + langid.FLOOR
+    assert model.prob == pytest.approx(prob / prob.sum(0))
+
+
+def test_long_and_short_words_fit_alike():
+    pieces = [b" ", b"a", b"b", b"ab", b"ba"]
+    counts = {"x": Counter({b" " + b"ab" * 30: 2}), "y": Counter({b" " + b"ba" * 31: 1, b" a": 3})}
+    alike = langid.fit(counts, pieces, rounds=2).prob
+    old, langid.WORD_BYTES = langid.WORD_BYTES, 100
+    try:
+        assert langid.fit(counts, pieces, rounds=2).prob == pytest.approx(alike)
+    finally:
+        langid.WORD_BYTES = old
+
+
+def test_classifiers_take_odd_tables(spark):
+    """Empty tables, repeated rows, null ids and columns named like the results."""
+    pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(1, "der Hund", "de", "z", 1.0, 7)] * 40 + [(None, "the dog", "en", "z", 1.0, 7)] * 40 + [(2, None, "en", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, predicted int")
+    model = langid.train(docs, pieces)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == 81 and {(r.doc_id, r.lang_pred) for r in got} == {(1, "de"), (None, "en"), (2, "und")}
+    assert langid.predict(docs.limit(0), model).count() == 0 and langid.predict(docs.limit(0), langid.train(docs.limit(0), pieces)).count() == 0
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    judge = toxicity.train(docs, labels)
+    assert toxicity.score(docs, judge).count() == 81 and toxicity.score(docs.limit(0), judge).count() == 0
+    assert toxicity.score(docs, toxicity.train(docs.limit(0), labels)).count() == 81
+
+
+def test_ftrl_is_the_plain_algorithm():
+    r = np.random.default_rng(0)
+    examples = [(np.unique(r.integers(0, 50, 8)), int(r.integers(0, 2))) for _ in range(60)]
+    model = toxicity.fit(examples, epochs=2, l1=0.3, bits=6)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if i == "b":
+            return -z[i] / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+        return 0.0 if abs(z[i]) <= 0.3 else -math.copysign(abs(z[i]) - 0.3, z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for at, y in examples * 2:
+        at = [*at.tolist(), "b"]
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in at:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    assert model.intercept == pytest.approx(weight("b"))
+    got = dict(zip(model.at.tolist(), model.weight.tolist()))
+    assert got == pytest.approx({i: weight(i) for i in range(50) if weight(i)}, rel=1e-5)
+
+
+def test_toxicity_undoes_the_sample(spark):
+    """With few of many clean rows drawn, the score still follows the table's shares."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(6)), int(i % 20 == 0)) for i in range(4000)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    mean = lambda n: toxicity.score(docs, toxicity.train(docs, labels, sample_rows=n)).agg(F.avg("score")).first()[0]
+    assert mean(200) == pytest.approx(0.05, abs=0.04) and mean(10_000) == pytest.approx(0.05, abs=0.03)
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
@@ -600,9 +704,33 @@ def test_warc(spark, tmp_path):
     assert one[:4] == b"\x5d\x2a\x4d\x18" and len(list(warc.frames(one))) >= 1
     assert zstandard.get_frame_parameters(one[16 + int.from_bytes(one[4:8], "little") :]).content_size > 0
     warc.write_archives(pages.limit(0), str(tmp_path / "e"))
+    assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
     assert warc.parse_record(warc.build_record(-5, None, b"x", None))[0] == -5
 
 
+def test_warc_hot_payload_and_long_ones(spark, tmp_path, monkeypatch):
+    """A digest that most pages share, small pages, a payload of 5 MB; files that Spark would cut after 3 rows."""
+    monkeypatch.setattr(warc.skew, "LEAST", 10)
+    rows = [(i, "u", "h" * 2000) for i in range(60)] + [(100 + i, "u", f"s{i % 3}") for i in range(20)] + [(200, "u", "ü" * 2_500_000), (201, "u", "p" * 1500), (202, "u", "p" * 1500)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "h"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "h")).collect()}
+    want = {i: (2000, "revisit", 59) for i in range(59)} | {59: (2000, "response", None), 200: (5_000_000, "response", None), 201: (1500, "revisit", 202), 202: (1500, "response", None)}
+    assert got == want | {100 + i: (2, "response", None) for i in range(20)}
+
+
+def test_storage_is_shared_and_removed(spark):
+    with storage.scope(spark):
+        path = storage.new_path(spark, "test")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_segments_are_exact():
     for name, joins in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
         path = public_tokenizers.path(name)

@@ -9,17 +9,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that this process made, oldest first.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Where none is set, a local master gets a temporary folder; a cluster raises, since its
+    executors would write to folders that no other sees."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="wordflow-shared-")
         sc.setCheckpointDir(configured)
     elif not sc.getCheckpointDir():
@@ -28,7 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/wordflow-{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/wordflow-{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def cleanup(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables and archives that this process wrote to the shared folder, from the
+    ``since``-th on. Results are read from them lazily, so call it when these are done with."""
+    while len(_made) > since:
+        remove(spark, _made.pop())
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written inside."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        cleanup(spark, since)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
