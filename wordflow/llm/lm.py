@@ -438,7 +438,8 @@ def score(docs: DataFrame, train_when, *, id_col: str = "doc_id", text_col: str
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train_when, F.lit(False)).alias("training"), F.col(text_col).cast("string").alias("text"))
     size, texts = source.agg(F.sum(F.octet_length("text")), F.count_if("training")).first()
     shards = shards or max(1, -(-(size or 0) // shard_bytes))
-    counted = storage.checkpoint(source.mapInArrow(_count_words(parts), _DDL).groupBy("shard").applyInArrow(_sum_words, _DDL))
+    parts = max(parts, shards)
+    counted = storage.checkpoint(source.mapInArrow(_count_words(parts), _DDL).repartition(parts, "shard").groupBy("shard").applyInArrow(_sum_words, _DDL))
     totals = np.zeros(4, np.int64)
     for r in counted.select("a").collect():
         totals += np.frombuffer(r.a, "<i8")
@@ -467,7 +468,7 @@ def score(docs: DataFrame, train_when, *, id_col: str = "doc_id", text_col: str
         weights.triple_score, weights.triple_base = weights.parts(n1, n2, n3, word, before), np.log10(n1 + 0.5)
     sent = source.mapInArrow(_send(shards, weights), _DDL).repartition(shards, "shard")
     scored = sent.groupBy("shard").applyInArrow(_score_shard(weights), _DDL)
-    rows = scored.groupBy("block").applyInArrow(_gather, "doc_id long, training boolean, n_tokens long, n_known long, base_sum double, score_sum double")
+    rows = scored.repartition(parts, "block").groupBy("block").applyInArrow(_gather, "doc_id long, training boolean, n_tokens long, n_known long, base_sum double, score_sum double")
     unit = math.log10(weights.n + 0.5 * (weights.v + 1))
     return rows.select(
         "doc_id", "training", "n_tokens", "n_known", F.lit(weights.n).cast("long").alias("train_tokens"),
