@@ -75,6 +75,10 @@ def test_symspell_and_composite(spark):
         ("PFX U Y 1\nPFX U 0 un .\nSFX D Y 2\nSFX D 0 ed [^y]\nSFX D y ied [^aeiou]y\n", "2\ndry/D\nlock/UD", "dried unlocked locked", "dryed undried unlockeds"),
         ("FORBIDDENWORD X\nNEEDAFFIX N\nKEEPCASE K\nSFX S Y 1\nSFX S 0 s .\n", "3\nbad/X\nroot/NS\nkm/K\n", "roots km", "bad root Km"),
         ("CHECKSHARPS\nLANG de_DE\n", "1\nstraße\n", "STRASSE Straße", "strasse"),
+        ("COMPOUNDRULE 1\nCOMPOUNDRULE N*.%?\nCOMPOUNDMIN 1\n", "3\none/N\npc/%\nxx/X\n", "oneone oneonepc onepc", "onexx xxone"),
+        ("FLAG long\nCOMPOUNDRULE 1\nCOMPOUNDRULE (aa)(bb)?(cc)\nCOMPOUNDMIN 1\n", "3\nx/aa\ny/bb\nz/cc\n", "xz xyz", "xy zx"),
+        ("COMPOUNDFLAG C\nCOMPOUNDMIN 2\nCHECKCOMPOUNDPATTERN 1\nCHECKCOMPOUNDPATTERN o b.\n", "3\nfoo/C\nbar/C\ncar/C\n", "foocar barfoo", "foobar"),
+        ("COMPOUNDFLAG C\nCOMPOUNDMIN 2\nCHECKCOMPOUNDCASE\nCHECKCOMPOUNDPATTERN 1\nCHECKCOMPOUNDPATTERN o b z\n", "2\nfoo/C\nbar/C\n", "fozar barfoo", "foobar"),
     ],
 )
 def test_dictionary(spark, aff, dic, right, wrong):
@@ -84,6 +88,39 @@ def test_dictionary(spark, aff, dic, right, wrong):
     assert not got[""] and not got[None]
 
 
+def test_speller(spark, tmp_path):
+    aff, dic = "SET UTF-8\nTRY helowrdst\nSFX S Y 1\nSFX S 0 s .\n", "4\nhello\nworld/S\nhelp/S\nHell\n"
+    (tmp_path / "d.aff").write_text(aff)
+    (tmp_path / "d.dic").write_text(dic)
+    speller = dictionary.Speller.load(spark, str(tmp_path / "d.aff"), str(tmp_path / "d.dic"))
+    q = table(spark, ["hlelo", "worlds", "wolds", "help", "zzzz", "", None])
+    assert {r.word for r in speller.accepted(q).collect()} == {"worlds", "help"}
+    got = {(r.query, r.word) for r in speller.suggest(q).collect()}
+    assert ("hlelo", "hello") in got and ("wolds", "worlds") in got  # a form that is no stem
+    assert {a for a, _ in got} == {"hlelo", "wolds"}
+    lex = spark.createDataFrame([("hello", 1), ("world", 2)], "word string, rank int")
+    top = {r.query: (r.word, r.source) for r in speller.suggest(q, lexicon=lex).where("rank = 1").collect()}
+    assert top["hlelo"] == ("hello", "symspell")
+    requests = spark.createDataFrame([(1, "check", "en", ["help", "hlep"]), (2, "suggest", "en", ["hlelo"]), (3, "check", "xx", ["a"]), (4, "check", None, None)], "req_id int, kind string, language string, words array<string>")
+    rows = dictionary.by_language(requests, {"en": speller}).collect()
+    assert {(r.word, r.correct) for r in rows if r.req_id == 1} == {("help", True), ("hlep", False)}
+    assert [r.suggestion for r in rows if r.req_id == 2 and r["rank"] == 1] == ["hello"]
+    assert [r.status for r in rows if r.req_id in (3, 4)] == ["unknown_language"] * 2
+    dictionary.register(spark, "is_word", aff, dic)
+    assert [r[0] for r in spark.sql("SELECT is_word(w) FROM VALUES ('help'), ('hlep') t(w)").collect()] == [True, False]
+
+
+def test_edit_sweep_is_the_sweep(spark, words):
+    """Words one edit away, by joins, are those of the edits written out; letters outside the alphabet count for nothing."""
+    from wordflow.functions import edits as E
+
+    q, lex = table(spark, [*words[0][:60], "abcd", "abcde"]), table(spark, [*words[1], "badc", "bacde", "bacd", "abdec", "axcd"])
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "aeiou"):
+        made = q.select(F.col("word").alias("query"), F.explode(E.sweep(F.col("word"), letters)).alias("word")).distinct()
+        want = {(r.query, r.word) for r in made.join(lex.distinct(), "word", "left_semi").collect()}
+        assert {(r.query, r.word) for r in C.edit_sweep(q, lex, letters).collect()} == want
+
+
 def test_affix_analyses_agree_with_checker(spark):
     aff, dic = "PFX U Y 1\nPFX U 0 un .\nSFX D Y 2\nSFX D 0 ed [^y]\nSFX D y ied [^aeiou]y\n", "2\ndry/D\nlock/UD"
     d = dictionary.Dictionary(aff, dic)
@@ -181,6 +218,69 @@ def test_artifacts():
         A.decode_request(request[:-1])
 
 
+def test_responses_registry_and_cache(spark, tmp_path):
+    for kind, rows in ((0, [True, False]), (1, [("héllo", 1, 0.5, "symspell"), ("x", 2, 0.25, "semantic")]), (1, [])):
+        data = A.encode_response(kind, rows)
+        assert A.decode_response(data) == (kind, rows)
+        for bad in (data[:-1], data + b"x", b"nope" + data):
+            with pytest.raises(A.ArtifactError):
+                A.decode_response(bad)
+    import hashlib
+    import json
+
+    digest = hashlib.sha256(b"data").hexdigest()
+    text = json.dumps({"spec": "x.resources/v1", "resources": {"en-mini": {"language": "en", "tier": {"name": "mini"}, "sha256": digest.upper(), "url": "a", "mirror": "b"}, "de-mini": {"language": "en", "tier": "mini", "sha256": "", "url": ""}}})
+    found = A.resolve_one(text, "en", "mini")
+    for language in ("de", "fr"):
+        with pytest.raises(A.ArtifactError):
+            A.resolve_one(text, language, "mini")
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        if url == "a":
+            raise OSError("gone")
+        return b"data"
+
+    assert A.cached(str(tmp_path), found, fetch) == A.cached(str(tmp_path), found, fetch) == b"data" and asked == ["a", "b"]
+    (tmp_path / digest).write_bytes(b"broken")
+    assert A.cached(str(tmp_path), found, fetch) == b"data" and len(asked) == 4
+    with pytest.raises(A.ArtifactError):
+        A.cached(str(tmp_path), found | {"sha256": "00"}, fetch)
+
+
+def test_checked_readers(spark):
+    q, s = np.array([[1, -2], [3, 4], [5, 6]], np.int8), np.array([0.5, 1.0, 2.0], np.float32)
+    files = spark.createDataFrame([("p", A.write_matrix(q, s))], "path string, content binary")
+    assert [(r.row, r.q, r.scale) for r in A.read_matrices(files).orderBy("row").collect()] == [(0, [1, -2], 0.5), (1, [3, 4], 1.0), (2, [5, 6], 2.0)]
+    tier = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("b", 1, [1.0])], "word string, row_id int, vec array<double>")
+    assert A.check_tier(tier.limit(1), 2).count() == 1
+    with pytest.raises(Exception, match="broken row of a tier: b"):
+        A.check_tier(tier, 2).collect()
+    buckets = spark.createDataFrame([(0, [1.0]), (4, [2.0])], "bucket_id long, vec array<double>")
+    assert A.check_buckets(buckets, 5).count() == 2
+    for bad, n in ((buckets, 4), (buckets.union(buckets), 5)):
+        with pytest.raises(Exception, match="bucket ids repeat"):
+            A.check_buckets(bad, n).collect()
+
+
+def test_embeddings_fall_back_to_parts(spark):
+    tier = spark.createDataFrame([("cat", [3.0, 4.0]), ("dog", [0.0, 2.0])], "word string, vec array<double>")
+    got = {r.word: (r.vec, r.source) for r in rerank.embeddings(table(spark, ["Cat", "xdogx", "zz"]), tier).collect()}
+    assert got == {"Cat": ([3.0, 4.0], "word"), "xdogx": ([0.0, 1.0], "oov"), "zz": (None, None)}
+
+
+def test_lid_reads_its_sidecar():
+    import json
+
+    side = {"labels": ["a", "b"], "label_counts": [3, 1], "words": {"x": 0, "</s>": 1}, "pruneidx": {"5": 0}, "args": {"bucket": 8, "minn": 2, "maxn": 3}}
+    model = lid.read_model(json.dumps(side), np.ones((3, 2), np.float32), np.ones((1, 2), np.float32))
+    assert (model.bucket, model.low, model.high, model.prune) == (8, 2, 3, {5: 0}) and model.detect("x")[0] in "ab"
+    for change in ({"pruneidx": {"5": 1}}, {"words": {"x": 0, "y": 2}}, {"labels": ["a", "b", "c", "d"]}):
+        with pytest.raises(ValueError):
+            lid.read_model(json.dumps(side | change), np.ones((3, 2), np.float32), np.ones((1, 2), np.float32))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(1, "aa bb"), (2, "cc aa")], "i int, text string")
     rows.write.parquet(str(tmp_path / "in"))

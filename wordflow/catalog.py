@@ -23,8 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Letters that the edit sweep tries.
-ALPHABET = "esianrtolcdugmphbyfvkw"
 #: A small affix table over whatever lexicon there is: every word may take every affix.
 AFFIXES = [(0, "SFX", "S", True, "", "s", "[^sy]$"), (1, "SFX", "S", True, "y", "ies", "[^aeiou]y$"), (2, "SFX", "D", True, "", "ed", "[^ey]$"), (3, "SFX", "G", True, "e", "ing", "e$"), (4, "PFX", "R", True, "", "re", "")]
 
@@ -33,7 +31,7 @@ W = r"[\p{L}\p{M}]+(?:[''’][\p{L}\p{M}]+)*"
 BASE = f"""
     tok AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '{W}')) AS raw FROM documents),
     cnt AS (SELECT lower(raw) AS word, count(*) AS n FROM tok WHERE length(raw) >= 2 GROUP BY 1),
-    lex AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word)::INTEGER AS rank FROM cnt WHERE n >= 3),
+    lex AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM cnt WHERE n >= 3),
     ctok AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{W}')) AS raw FROM conversations),
     q AS (SELECT DISTINCT lower(raw) AS word FROM ctok WHERE length(raw) >= 2 AND lower(raw) NOT IN (SELECT word FROM lex))"""
 
@@ -58,6 +56,11 @@ def docs_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lexicon(table(spark, sf_dir, "documents"))
 
 
+def shared_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon for plans that read it more than once: kept on the executors' disks, its lineage stays."""
+    return docs_lexicon(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+
+
 def unknown_words(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
     return L.misspelled(table(spark, sf_dir, "conversations"), lexicon if lexicon is not None else docs_lexicon(spark, sf_dir))
 
@@ -67,7 +70,7 @@ def token_counts_by_lang(spark, sf):
     return L.counts(table(spark, sf, "documents"), "lang")
 
 
-@query(f"WITH {BASE} SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word)::INTEGER AS rank FROM (SELECT lang, lower(raw) AS word, count(*)::BIGINT AS n FROM tok WHERE length(raw) >= 2 GROUP BY 1, 2) WHERE n >= 3")
+@query(f"WITH {BASE} SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM (SELECT lang, lower(raw) AS word, count(*)::BIGINT AS n FROM tok WHERE length(raw) >= 2 GROUP BY 1, 2) WHERE n >= 3")
 def lexicon_ranked(spark, sf):
     return L.lexicon(table(spark, sf, "documents"), "lang")
 
@@ -133,7 +136,7 @@ def edit_swaps(spark, sf):
     return unknown_words(spark, sf).select(F.col("word").alias("query"), F.explode(E.transpositions(F.col("word"))).alias("variant"))
 
 
-_SWEEP = f"""r AS (SELECT word, unnest(string_split('{ALPHABET}', '')) AS c FROM q),
+_SWEEP = """abc AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM lex), r AS (SELECT word, c FROM q CROSS JOIN abc),
     v AS (SELECT word, word[1:i - 1] || c || word[i + 1:] AS v FROM (SELECT word, c, unnest(range(1, length(word) + 1)) AS i FROM r)
         UNION SELECT word, word[1:i - 1] || c || word[i:] FROM (SELECT word, c, unnest(range(1, length(word) + 2)) AS i FROM r)
         UNION SELECT word, word[1:i - 1] || word[i + 1:] FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM q)
@@ -145,13 +148,13 @@ _SWEEP = f"""r AS (SELECT word, unnest(string_split('{ALPHABET}', '')) AS c FROM
 
 @query(f"WITH {BASE}, {_SWEEP} SELECT word AS query, v AS word FROM v WHERE v <> word AND v IN (SELECT word FROM lex)")
 def edit_sweep_hits(spark, sf):
-    lex = docs_lexicon(spark, sf)
-    return C.edit_sweep(unknown_words(spark, sf, lex), lex, ALPHABET).select("query", "word")
+    lex = shared_lexicon(spark, sf)
+    return C.edit_sweep(unknown_words(spark, sf, lex), lex).select("query", "word")
 
 
 @query()
 def edit_candidates(spark, sf):
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     return C.edit_pairs(unknown_words(spark, sf, lex), lex)
 
 
@@ -165,7 +168,7 @@ _DEL = "SELECT word, i, word[1:i - 1] || word[i + 1:] AS key FROM (SELECT word,
         UNION SELECT s.word, lex.word FROM s JOIN lex ON s.key = lex.word)
     SELECT query, word, 1 AS distance FROM r WHERE query <> word""")
 def osa_within_1(spark, sf):
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     return C.edit_pairs(unknown_words(spark, sf, lex), lex, 1)
 
 
@@ -176,19 +179,19 @@ def deletion_index(spark, sf):
 
 @query()
 def symspell_slate(spark, sf):
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     return C.symspell_slate(unknown_words(spark, sf, lex), lex)
 
 
 @query()
 def phonetic_candidates(spark, sf):
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     return C.phonetic_pairs(unknown_words(spark, sf, lex), lex)
 
 
 @query()
 def ngram_candidates(spark, sf):
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     return C.ngram_pairs(unknown_words(spark, sf, lex), lex)
 
 
@@ -202,7 +205,7 @@ def ngram_candidates(spark, sf):
     SELECT query, word, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, shared::DOUBLE / longest + front * 0.15::DOUBLE + back * 0.05::DOUBLE - gap * 0.1::DOUBLE)), 6) AS similarity FROM m""")
 def typo_similarity(spark, sf):
     """Of the pairs that share a word less one letter."""
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     q = unknown_words(spark, sf, lex).select(F.col("word").alias("query"), F.explode(E.extra_char(F.col("word"))).alias("key"))
     k = lex.select("word", F.explode(E.extra_char(F.col("word"))).alias("key"))
     pairs = q.join(k, "key").select("query", "word").distinct()
@@ -232,7 +235,7 @@ def keyboard_variants(spark, sf):
 
 @query()
 def edit_confidence(spark, sf):
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     return suggest.edit_confidence(unknown_words(spark, sf, lex), lex, lex)
 
 
@@ -244,7 +247,7 @@ _FORM = "SELECT word, stem, {p} AS prefix, id AS suffix FROM (SELECT word, rest[
     f AS ({_FORM.format(p="NULL::INTEGER", q="", t="w")} UNION SELECT word, rest, pid, NULL FROM p UNION {_FORM.format(p="pid", q=", pid", t="p")})
     SELECT DISTINCT word, stem, prefix, suffix FROM f WHERE stem IN (SELECT word FROM lex)""")
 def affix_analyses(spark, sf):
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     entries = lex.select(F.col("word").alias("stem"), F.array(*[F.lit(x) for x in "SDGR"]).alias("flags"))
     affixes = spark.createDataFrame([(*a, []) for a in AFFIXES], "affix_id int, kind string, flag string, crossproduct boolean, strip string, add string, cond_regex string, cont_flags array<string>")
     return dictionary.analyses(unknown_words(spark, sf, lex), entries, affixes)
@@ -256,10 +259,10 @@ DEMO_DIC = "8\nthe/C\nand\nin/CR\ner/CS\non/C\ntion/CS\nen/C\nre/C\n"
 
 
 @query(f"""WITH {BASE}, c AS (SELECT word, unnest(range(3, length(word) - 2)) AS k FROM q)
-    SELECT word, word[1:k] AS head, word[k + 1:] AS tail FROM c WHERE word[1:k] IN (SELECT word FROM lex) AND word[k + 1:] IN (SELECT word FROM lex)""")
+    SELECT c.word, a.word AS head, b.word AS tail FROM c JOIN lex a ON c.word[1:k] = a.word JOIN lex b ON c.word[k + 1:] = b.word""")
 def two_part_compounds(spark, sf):
     """Unknown words that two lexicon words of three letters or more make up."""
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     w, k = F.col("word"), F.col("k")
     cuts = unknown_words(spark, sf, lex).where("length(word) >= 6").select("word", F.explode(F.sequence(F.lit(3), F.length(w) - 3)).alias("k"))
     cuts = cuts.select("word", F.left(w, k).alias("head"), F.substring(w, k + 1, F.length(w)).alias("tail"))
@@ -285,13 +288,13 @@ def substring_ngrams(spark, sf):
 @query()
 def suggest_legacy(spark, sf):
     """The four strategies ranked together."""
-    lex = docs_lexicon(spark, sf).persist(StorageLevel.DISK_ONLY)
+    lex = shared_lexicon(spark, sf)
     return suggest.suggest(unknown_words(spark, sf, lex), lex.select("word"))
 
 
 @query()
 def keyboard_candidates(spark, sf):
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     return C.keyboard_pairs(unknown_words(spark, sf, lex), lex)
 
 
@@ -393,7 +396,7 @@ def hit_rates(spark, sf):
 
 @query()
 def oov_embedding(spark, sf):
-    lex = docs_lexicon(spark, sf)
+    lex = shared_lexicon(spark, sf)
     return rerank.oov_vector(unknown_words(spark, sf, lex), rerank.tier(table(spark, sf, "embeddings"), lex))
 
 
@@ -442,7 +445,7 @@ def events_sessions(spark, sf):
 @query()
 def suggest_ranked(spark, sf):
     """The frequency slate, filled up by the four strategies."""
-    lex = docs_lexicon(spark, sf).persist(StorageLevel.DISK_ONLY)
+    lex = shared_lexicon(spark, sf)
     return suggest.suggest(unknown_words(spark, sf, lex), lex, lexicon=lex)
 
 

@@ -34,12 +34,17 @@ def transpositions(w: Column) -> Column:
     return _over(1, F.length(w) - 1, lambda i: _cut(w, i, 2, F.concat(F.substring(w, i + 1, F.lit(1)), F.substring(w, i, F.lit(1)))))
 
 
-def swap_char(w: Column) -> Column:
-    """All swaps of neighbours, and both of two outer swaps for words of four and five letters."""
+def double_swaps(w: Column) -> Column:
+    """Both swaps of words of four letters, and the two pairs of outer swaps of words of five."""
     at = lambda k: F.substring(w, F.lit(k), F.lit(1))
     four = F.array(F.concat(at(2), at(1), at(4), at(3)))
     five = F.array(F.concat(at(2), at(1), at(3), at(5), at(4)), F.concat(at(1), at(3), at(2), at(5), at(4)))
-    return F.concat(transpositions(w), F.when(F.length(w) == 4, four).when(F.length(w) == 5, five).otherwise(F.array().cast(_NONE)))
+    return F.when(F.length(w) == 4, four).when(F.length(w) == 5, five).otherwise(F.array().cast(_NONE))
+
+
+def swap_char(w: Column) -> Column:
+    """All swaps of neighbours, and the double swaps."""
+    return F.concat(transpositions(w), double_swaps(w))
 
 
 def bad_char(w: Column, alphabet: str) -> Column:

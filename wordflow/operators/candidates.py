@@ -72,11 +72,23 @@ def edit_pairs(queries: DataFrame, words: DataFrame, most: int = 2) -> DataFrame
     return pairs.withColumn("distance", D.osa_fast(F.col("query"), F.col("word"))).where(F.col("distance") <= most)
 
 
-def edit_sweep(queries: DataFrame, accepted: DataFrame, alphabet: str) -> DataFrame:
-    """query, word, distance: single edits of each query that are accepted words."""
-    made = queries.select(F.col("word").alias("query"), F.explode(E.sweep(F.col("word"), alphabet)).alias("word"))
-    hits = made.join(accepted.select("word").distinct(), "word", "left_semi")
-    return hits.withColumn("distance", D.osa_fast(F.col("query"), F.col("word"))).where("distance between 1 and 2").select("query", "word", "distance")
+def edit_sweep(queries: DataFrame, accepted: DataFrame, alphabet: str | None = None) -> DataFrame:
+    """query, word, distance: accepted words that a single edit of each query makes: a swap of
+    neighbours, one letter less, more or other, or two outer swaps of a word of four or five letters.
+
+    ``alphabet``: the letters that may be put in; by default all. The words meet on deletion
+    keys (all words one edit away); no edit is written out but the double swaps."""
+    words = accepted.select("word").distinct()
+    one = edit_pairs(queries, words, 1)
+    if alphabet is not None:
+        q, w = F.col("query"), F.col("word")
+        same = F.length(F.regexp_extract(F.concat_ws("\x00", q, w), "^(.*)[^\x00]*\x00\\1", 1))  # the common front
+        put = F.substring(w, same + 1, F.lit(1))
+        swapped = (F.length(q) == F.length(w)) & (F.array_sort(T.chars(q)) == F.array_sort(T.chars(w)))
+        one = one.where((F.length(w) < F.length(q)) | swapped | F.contains(F.lit(alphabet), put))
+    twice = queries.select(F.col("word").alias("query"), F.explode(E.double_swaps(F.col("word"))).alias("word")).distinct()
+    both = twice.join(words, "word", "left_semi").where("query <> word").select("query", "word", D.osa_fast(F.col("query"), F.col("word")).alias("distance"))
+    return one.unionByName(both.where("distance = 2"))
 
 
 def phonetic_pairs(queries: DataFrame, words: DataFrame, near: DataFrame | None = None) -> DataFrame:

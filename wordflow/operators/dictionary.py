@@ -256,33 +256,33 @@ class Dictionary:
             return False
         if (self.aff.flag("compound_begin") or self.aff.flag("compound")) and any(not self._bad_compound(p, kind) for p in self._by_flags(word, kind, 0)):
             return True
-        return bool(self.aff.compound_rules) and any(not self._bad_compound([(w, None, None) for w in p], kind) for p in self._by_rules(word, []))
+        return bool(self.aff.compound_rules) and any(not self._bad_compound([(w, None, None, False) for w in p], kind) for p in self._by_rules(word, []))
 
     def _by_flags(self, rest: str, kind: str, depth: int) -> Iterator[list[tuple]]:
-        """Lists of (text, form, entry)."""
+        """Lists of (text, form, entry, whether a replacement rebuilt the seam after it)."""
         if depth:
             for f, e in self._forms(rest, kind, "end"):
-                yield [(rest, f, e)]
+                yield [(rest, f, e, False)]
         least = self.aff.compound_min
         if len(rest) < 2 * least or (self.aff.compound_words and depth >= self.aff.compound_words):
             return
         place = "middle" if depth else "begin"
         for cut in range(least, len(rest) - least + 1):
-            for left, right in self._junctions(rest, cut):
+            for left, right, rebuilt in self._junctions(rest, cut):
                 readings = list(self._forms(left, kind, place))
                 if readings:
                     for tail in self._by_flags(right, kind, depth + 1):
                         for f, e in readings:
-                            yield [(left, f, e), *tail]
+                            yield [(left, f, e, rebuilt), *tail]
 
-    def _junctions(self, rest: str, cut: int) -> Iterator[tuple[str, str]]:
+    def _junctions(self, rest: str, cut: int) -> Iterator[tuple[str, str, bool]]:
         left, right = rest[:cut], rest[cut:]
-        yield left, right
+        yield left, right, False
         if "simplified_triple" in self.aff.switches and left[-1] == left[-2:-1]:
-            yield left + left[-1], right
+            yield left + left[-1], right, False
         for a, b, put in self.aff.compound_patterns:
             if put and rest.startswith(put, cut):
-                yield left + a.split("/")[0], b.split("/")[0] + rest[cut + len(put) :]
+                yield left + a.split("/")[0], b.split("/")[0] + rest[cut + len(put) :], True
 
     def _by_rules(self, rest: str, before: list[str]) -> Iterator[list[str]]:
         if before and rest in self.by_stem and self._rules([*before, rest], True):
@@ -297,16 +297,18 @@ class Dictionary:
                     yield [left, *tail]
 
     def _rules(self, parts: list[str], whole: bool) -> bool:
-        """Whether the parts' flags can follow a rule (to its end, if whole)."""
+        """Whether the parts' flags can follow a rule (to its end, if whole). ``.`` takes any flag
+        that the rule names."""
         flags = [set().union(*(e.flags for e in self.by_stem[p])) for p in parts]
 
         def run(rule: list[tuple[str, str]], at: int, i: int) -> bool:
+            named = {f for f, _ in rule if f != "."}
             if i == len(flags):
                 return not whole or all(q for _, q in rule[at:])
             if at == len(rule):
                 return False
             flag, q = rule[at]
-            if flag in flags[i] and run(rule, at if q == "*" else at + 1, i + 1):
+            if not flags[i].isdisjoint(named) and (flag == "." or flag in flags[i]) and run(rule, at if q == "*" else at + 1, i + 1):
                 return True
             return bool(q) and run(rule, at + 1, i)
 
@@ -321,22 +323,31 @@ class Dictionary:
             forbid = aff.flag("compound_forbid")
             if forbid and any(forbid in e.flags for e in self.by_stem.get(left, ())):
                 return True
-            if "check_triple" in aff.switches and len({*left[-2:], right[:1]}) == 1 and len(left) > 1 or "check_triple" in aff.switches and len({left[-1:], *right[:2]}) == 1 and len(right) > 1:
+            rebuilt = parts[i][3]  # its letters are none that anybody typed: no check of the seam
+            tripled = (len(left) > 1 and len({*left[-2:], right[:1]}) == 1) or (len(right) > 1 and len({left[-1:], *right[:2]}) == 1)
+            if "check_triple" in aff.switches and not rebuilt and tripled:
                 return True
-            if "check_case" in aff.switches and (left[-1:].isupper() or right[:1].isupper()) and "-" not in (left[-1:], right[:1]):
+            if "check_case" in aff.switches and not rebuilt and (left[-1:].isupper() or right[:1].isupper()) and "-" not in (left[-1:], right[:1]):
                 return True
-            if any(not put and self._matches(a, parts[i], left.endswith) and self._matches(b, parts[i + 1], right.startswith) for a, b, put in aff.compound_patterns):
+            if not rebuilt and any(self._ends(a, parts[i]) and self._begins(b, parts[i + 1]) for a, b, _ in aff.compound_patterns):
                 return True
             if "check_dup" in aff.switches and left == right and i == len(texts) - 2:
                 return True
         return "check_rep" in aff.switches and any(self._misread("".join(texts[a:b])) for a in range(len(texts)) for b in range(a + 2, len(texts) + 1))
 
-    @staticmethod
-    def _matches(pattern: str, part: tuple, touches) -> bool:
+    def _flagged(self, flag: str, part: tuple) -> bool:
+        return not flag or (part[2] is not None and flag in self._flags(part[1], part[2]))
+
+    def _ends(self, pattern: str, part: tuple) -> bool:
+        """Left side of a seam's pattern: text it ends with, or after a ``0`` its bare stem; and a flag."""
+        text, _, flag = pattern.partition("/")
+        end = part[1].stem if text[:1] == "0" and part[1] is not None else "" if text[:1] == "0" else text
+        return part[0].endswith(end) and self._flagged(flag, part)
+
+    def _begins(self, pattern: str, part: tuple) -> bool:
+        """Right side: text it begins with, in which a ``.`` stands for nothing; and a flag."""
         text, _, flag = pattern.partition("/")
-        if text == "0":
-            return part[1] is None or not part[1].affixes()
-        return touches(text) and (not flag or (part[2] is not None and flag in part[2].flags))
+        return part[0].startswith(text.replace(".", "")) and self._flagged(flag, part)
 
     def _misread(self, text: str) -> bool:
         """A replacement or a blank makes it a word of the dictionary."""
@@ -405,3 +416,77 @@ def correct(words: DataFrame, aff: str, dic: str, column: str = "word") -> DataF
         return w.map(d.correct)
 
     return words.select(F.col(column).alias("word")).distinct().withColumn("correct", check("word"))
+
+
+class Speller:
+    """A dictionary over tables: ``correct`` and ``suggest`` of word columns.
+
+    Files are read by Spark, from any store it knows; a dictionary is a fixed-size input."""
+
+    def __init__(self, spark, aff: bytes | str, dic: bytes | str):
+        self.spark, self.compiled = spark, Dictionary(aff, dic)
+        encoding = encoding_of(aff if isinstance(aff, bytes) else aff.encode())
+        self.aff, self.dic = (x.decode(encoding, "replace") if isinstance(x, bytes) else x for x in (aff, dic))
+
+    @classmethod
+    def load(cls, spark, aff_path: str, dic_path: str) -> "Speller":
+        read = lambda path: bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
+        return cls(spark, read(aff_path), read(dic_path))
+
+    @property
+    def words(self) -> DataFrame:
+        """word: distinct lower-case stems."""
+        return self.spark.createDataFrame([(w,) for w in self.compiled.words], "word string")
+
+    def correct(self, words: DataFrame, column: str = "word") -> DataFrame:
+        """Distinct words with ``correct``."""
+        return correct(words, self.aff, self.dic, column)
+
+    def accepted(self, words: DataFrame) -> DataFrame:
+        """word: the distinct words that the dictionary takes."""
+        return self.correct(words).where("correct").select("word")
+
+    def suggest(self, words: DataFrame, column: str = "word", limit: int = 5, *, lexicon: DataFrame | None = None) -> DataFrame:
+        """query, rank, word, distance, confidence, source for each distinct word that the dictionary
+        does not take. Besides its stems, forms that a single edit (letters of TRY) makes and the
+        dictionary takes are candidates. With a ``lexicon`` (word, rank) its words lead."""
+        from ..functions import edits as E
+        from . import suggest as S
+
+        asked = self.correct(words, column).where("not correct and word is not null and word <> ''").select("word")
+        letters = self.compiled.aff.try_
+        made = asked.select(F.explode(E.sweep(F.col("word"), letters)).alias("word")) if letters else asked
+        forms = self.accepted(made).union(self.words).distinct()
+        return S.suggest(asked, self.words, lexicon=lexicon, accepted=forms, alphabet=letters, limit=limit)
+
+
+def by_language(requests: DataFrame, spellers: dict[str, Speller], limit: int = 5) -> DataFrame:
+    """Answers to requests (req_id, kind, language, words): check gives word, correct; suggest gives
+    word, rank, suggestion, distance, confidence, source. Requests in a language without a
+    dictionary get one row with the status ``unknown_language``."""
+    each = requests.select("req_id", "kind", "language", F.explode_outer("words").alias("word"))
+    none = {"correct": "boolean", "rank": "int", "suggestion": "string", "distance": "int", "confidence": "double", "source": "string"}
+    columns = ["req_id", "kind", "language", "word", *none, "status"]
+    fill = lambda t, **have: t.select(*[have[c].alias(c) if c in have else F.lit(None).cast(none[c]).alias(c) if c in none else F.col(c) for c in columns])
+    known = F.col("language").isin(list(spellers)) if spellers else F.lit(False)
+    out = fill(each.where(~F.coalesce(known, F.lit(False))).select("req_id", "kind", "language").distinct().withColumn("word", F.lit(None).cast("string")), status=F.lit("unknown_language"))
+    for language, speller in spellers.items():
+        mine = each.where(F.col("language") == language).where("word is not null")
+        told = speller.correct(mine.where("kind = 'check'")).withColumnRenamed("word", "w")
+        checked = mine.where("kind = 'check'").join(told, F.col("word") == F.col("w"))
+        out = out.unionByName(fill(checked, correct=F.col("correct"), status=F.lit("ok")))
+        found = speller.suggest(mine.where("kind = 'suggest'"), limit=limit).withColumnRenamed("word", "suggestion")
+        met = mine.where("kind = 'suggest'").join(found, F.col("word") == F.col("query"))
+        out = out.unionByName(fill(met, **{c: F.col(c) for c in ("rank", "suggestion", "distance", "confidence", "source")}, status=F.lit("ok")))
+    return out
+
+
+def register(spark, name: str, aff: str, dic: str) -> None:
+    """SQL function ``name(word)``: whether the dictionary takes a word."""
+
+    @F.pandas_udf(BooleanType())
+    def check(w: pd.Series) -> pd.Series:
+        d = _compiled(aff, dic)
+        return w.map(d.correct)
+
+    spark.udf.register(name, check)

@@ -9,6 +9,8 @@ from ..functions import text as T
 
 #: Ranks up to which a word is very common, common, known, and their bonuses.
 TIERS = ((50, 200), (200, 100), (1000, 50))
+#: Characters that part the words of a count.
+FRONT = 3
 
 
 def tokens(docs: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
@@ -26,20 +28,22 @@ def lexicon(docs: DataFrame, *by: str, least: int = 3) -> DataFrame:
     """Words of at least ``least`` occurrences, with rank from 1 (count, then word), by group."""
     table = counts(docs, *by, least=least)
     if by:
-        return table.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word")))
+        return table.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word")).cast("long"))
     return with_global_rank(table)
 
 
 def with_global_rank(table: DataFrame) -> DataFrame:
     """rank over a whole table without moving it to one task.
 
-    Counts follow a power law: few distinct values. Words are ranked inside their count,
-    counts by the number of words above, both over small tables.
-    """
-    sizes = table.groupBy("n").agg(F.count("*").alias("size"))
-    above = sizes.withColumn("above", F.coalesce(F.sum("size").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy("n").orderBy("word"))
-    return table.withColumn("inner", inner).join(above.select("n", "above"), "n").select("word", "n", (F.col("above") + F.col("inner")).cast("int").alias("rank"))
+    Words are ranked inside their count and their first FRONT characters, which order them;
+    the number of words before such a group comes from a small table of the groups' sizes."""
+    front = F.left("word", F.lit(FRONT)).alias("front")
+    sizes = table.groupBy("n", front).agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy(F.desc("n"), "front").rowsBetween(Window.unboundedPreceding, -1))
+    above = sizes.select("n", "front", F.coalesce(before, F.lit(0)).alias("above"))
+    inner = F.row_number().over(Window.partitionBy("n", "front").orderBy("word"))
+    ranked = table.select("word", "n", front).withColumn("inner", inner)
+    return ranked.join(above, ["n", "front"]).select("word", "n", (F.col("above") + F.col("inner")).cast("long").alias("rank"))
 
 
 def tier_bonus(rank) -> F.Column:

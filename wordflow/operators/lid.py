@@ -12,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: The end-of-line token, and the multiplier of word n-gram hashes.
 EOS, NGRAM_PRIME = "</s>", 116049371
+#: Tokens whose rows a task remembers.
+MEMO_TOKENS = 200_000
 
 _SPACE = re.compile("[ \t\n\r\f\v\0]+")
 
@@ -84,42 +88,87 @@ class LidModel:
         at = self.prune.get(h) if self.prune else h
         return [] if at is None else [len(self.words) + at]
 
-    def features(self, text: str) -> list[int]:
-        """Rows of a text's tokens and their n-grams, then of the end of the line."""
-        out, hashes = [], []
-        for token in [t for t in _SPACE.split(text) if t] + [EOS]:
-            out += [self.words[token]] if token in self.words else []
-            if token != EOS:
-                for g in subwords(token, self.low, self.high):
-                    out += self._hashed(fnv1a(g.encode()) % self.bucket)
-            hashes.append(fnv1a(token.encode()))
-        for i, h in enumerate(hashes if self.word_ngrams > 1 else ()):
+    def token_rows(self, token: str) -> list[int]:
+        """Rows of one token and of its n-grams; the end of the line has no n-grams."""
+        out = [self.words[token]] if token in self.words else []
+        for g in subwords(token, self.low, self.high) if token != EOS else ():
+            out += self._hashed(fnv1a(g.encode()) % self.bucket)
+        return out
+
+    def features(self, text: str, memo: dict[str, list[int]] | None = None) -> list[int]:
+        """Rows of a text's tokens and their n-grams, then of the end of the line, then of word n-grams."""
+        tokens, out = [t for t in _SPACE.split(text) if t] + [EOS], []
+        memo = {} if memo is None else memo
+        for token in tokens:
+            if token not in memo:
+                memo[token] = self.token_rows(token)
+            out += memo[token]
+        hashes = [fnv1a(t.encode()) for t in tokens] if self.word_ngrams > 1 else []
+        for i, h in enumerate(hashes):
             for nxt in hashes[i + 1 : i + self.word_ngrams]:
                 h = (h * NGRAM_PRIME + nxt) & (2**64 - 1)
                 out += self._hashed(h % self.bucket)
         return out
 
-    def hidden(self, text: str) -> np.ndarray | None:
-        found = self.features(text)
+    def hidden(self, text: str, memo: dict[str, list[int]] | None = None) -> np.ndarray | None:
+        found = self.features(text, memo)
         if not found:
             return None
         return np.add.reduce(self.rows[found].astype(np.float32), axis=0) * np.float32(1 / len(found))
 
-    def detect(self, text: str) -> tuple[str, float]:
-        """(label, probability); ties go to the first label, no feature gives no label."""
-        h = self.hidden(text)
-        if h is None:
-            return "", 0.0
-        p = (1 / (1 + np.exp(-(self.tree.astype(np.float32) @ h).astype(np.float64)))).astype(np.float32)
-        best = ("", -1.0)
-        for label, route in zip(self.labels, self.routes):
-            log = np.float32(0)
+    def detect_all(self, texts: list[str], memo: dict[str, list[int]] | None = None) -> list[tuple[str, float]]:
+        """(label, probability) of each text; ties go to the first label, no feature gives no label."""
+        hidden = [self.hidden(t, memo) for t in texts]
+        known = [i for i, h in enumerate(hidden) if h is not None]
+        out = [("", 0.0)] * len(texts)
+        if not known or not self.labels:
+            return out
+        h = np.array([hidden[i] for i in known], np.float32)
+        logit = np.stack([self.tree.astype(np.float32) @ x for x in h]).astype(np.float64)
+        p = (1 / (1 + np.exp(-logit))).astype(np.float32)
+        sides = (np.log((np.float32(1) - p).astype(np.float64) + 1e-5).astype(np.float32), np.log(p.astype(np.float64) + 1e-5).astype(np.float32))
+        scores = np.zeros((len(known), len(self.labels)), np.float32)
+        for k, route in enumerate(self.routes):  # sums in single precision, from the leaf to the root
             for node, side in route:
-                log += np.float32(np.log(float(p[node] if side else np.float32(1) - p[node]) + 1e-5))
-            score = float(np.float32(np.exp(float(log))))
-            if score > best[1]:
-                best = (label, score)
-        return best
+                scores[:, k] += sides[side][:, node]
+        scores = np.exp(scores.astype(np.float64)).astype(np.float32)
+        for i, row in zip(known, scores):
+            best = int(row.argmax())
+            out[i] = (self.labels[best], float(row[best]))
+        return out
+
+    def detect(self, text: str) -> tuple[str, float]:
+        return self.detect_all([text])[0]
+
+
+def token_features(texts: DataFrame, id_col: str, text_col: str = "text", *, low: int = 2, high: int = 4, bucket: int = 2_000_000) -> DataFrame:
+    """id, token, gram, bucket of every n-gram of each distinct bracketed token of a text, as expressions."""
+    tokens = F.array_distinct(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), T.LID_SPACE), lambda t: t != ""))
+    each = texts.select(F.col(id_col).alias("id"), F.explode(tokens).alias("token")).withColumn("w", F.concat(F.lit("<"), "token", F.lit(">")))
+    grams = F.flatten(F.array(*[T.grams(F.col("w"), n) for n in range(max(low, 2), high + 1)]))
+    if low < 2:  # single characters, but not the brackets
+        grams = F.concat(T.chars(F.col("token")), grams)
+    return each.select("id", "token", F.explode(grams).alias("gram")).withColumn("bucket", F.pmod(T.fnv1a(F.col("gram")), F.lit(bucket)))
+
+
+def read_model(sidecar: str, rows: np.ndarray, tree: np.ndarray, bucket: int | None = None) -> LidModel:
+    """A model from its JSON sidecar (labels, label_counts, words, pruneidx, args) and its weights.
+
+    ``words`` is a list or a map to row numbers, ``pruneidx`` a map or pairs; args give bucket,
+    minn, maxn and wordNgrams. Sizes and row numbers are checked."""
+    import json
+
+    data = json.loads(sidecar)
+    args = data.get("args", {})
+    words = data["words"]
+    words = {w: i for i, w in enumerate(words)} if isinstance(words, list) else {str(w): int(i) for w, i in words.items()}
+    prune = data.get("pruneidx") or {}
+    prune = {int(a): int(b) for a, b in (prune.items() if isinstance(prune, dict) else prune)}
+    if sorted(words.values()) != list(range(len(words))) or sorted(prune.values()) != list(range(len(prune))):
+        raise ValueError("words or pruned n-grams don't number their rows from 0 on")
+    if len(tree) != len(data["labels"]) and len(tree) != len(data["labels"]) - 1:
+        raise ValueError("the tree has neither a row a label nor one an inner node")
+    return LidModel(words, rows, tree, list(data["labels"]), list(data["label_counts"]), bucket or int(args.get("bucket", 2_000_000)), int(args.get("minn", 2)), int(args.get("maxn", 4)), int(args.get("wordNgrams", 1)), prune)
 
 
 def detect(texts: DataFrame, model: LidModel, id_col: str, text_col: str = "text") -> DataFrame:
@@ -127,8 +176,13 @@ def detect(texts: DataFrame, model: LidModel, id_col: str, text_col: str = "text
     source = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, list[int]] = {}
         for batch in batches:
-            found = [model.detect(t or "") for t in batch.column("text").to_pylist()]
+            found = []
+            for a in range(0, batch.num_rows, 1000):
+                found += model.detect_all([t or "" for t in batch.column("text")[a : a + 1000].to_pylist()], memo)
+                if len(memo) > MEMO_TOKENS:
+                    memo.clear()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c for c, _ in found], pa.string()), pa.array([s for _, s in found], pa.float32())], ["id", "code", "score"])
 
     return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, code string, score float")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import blocks
 
 #: Characters that the encoder sees, and the least size of a slate.
 WINDOW, SLATE = 24, 20
@@ -107,29 +108,10 @@ def index(vectors: DataFrame) -> DataFrame:
 
 def slate(queries: DataFrame, index_: DataFrame, k: int = SLATE) -> DataFrame:
     """query, rank, word, score: the ``max(20, k)`` largest quantised products, ties by word,
-    never the query itself. Queries that the index lacks have none (their slate is null)."""
+    never the query itself or its lower case. Queries that the index lacks have none (their slate is null)."""
     q = queries.select(F.col("word").alias("query")).distinct().join(index_.select(F.col("word").alias("query"), F.col("q").alias("qq"), F.col("scale").alias("qs")), "query")
-    asked = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(64)).alias("b")).agg(F.collect_list(F.struct("query", "qq", "qs")).alias("q"))
-    data = index_.groupBy(F.pmod(F.xxhash64("word"), F.lit(16)).alias("d")).agg(F.collect_list(F.struct("word", "q", "scale")).alias("t"))
-    most = max(SLATE, k)
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, other in zip(batch.column("q").to_pylist(), batch.column("t").to_pylist()):
-                other.sort(key=lambda x: x["word"])
-                names = [x["word"] for x in other]
-                dots = np.array([x["qq"] for x in one], np.int64) @ np.array([x["q"] for x in other], np.int64).T
-                score = dots * np.array([x["qs"] for x in one])[:, None] * np.array([x["scale"] for x in other])
-                rows = []
-                for row, x in zip(score, one):
-                    place = [j for j in np.argsort(-row, kind="stable")[: most + 1] if names[j] != x["query"]][:most]
-                    rows += [(x["query"], names[j], float(row[j])) for j in place]
-                cols = list(zip(*rows)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["query", "word", "score"])
-
-    found = asked.join(data).select("q", "t").mapInArrow(solve, "query string, word string, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "word")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query", "rank", "word", "score")
+    data = index_.select("word", F.col("q").alias("v"), F.col("scale").alias("s"))
+    return blocks.search(q.select("query", F.col("qq").alias("v"), F.col("qs").alias("s")), data, max(SLATE, k), divide=False)
 
 
 def rescore(slate_: DataFrame, tier: DataFrame, k: int = 5) -> DataFrame:

@@ -113,6 +113,112 @@ def decode_request(data: bytes) -> tuple[int, str, list[str], int]:
     return out
 
 
+#: Sources by their code in responses.
+SOURCE_CODES = ("symspell", "edit_distance", "phonetic", "keyboard_proximity", "ngram", "semantic")
+
+
+def encode_response(kind: int, results: list) -> bytes:
+    """Answers to a check (0): a list of booleans; to a suggest (1): a list of (word, distance, confidence, source)."""
+    out = [WIRE, bytes([1, kind]), struct.pack("<I", len(results))]
+    for r in results:
+        if kind == 0:
+            out.append(bytes([bool(r)]))
+        else:
+            word = r[0].encode()
+            out += [struct.pack("<I", len(word)), word, struct.pack("<BdB", min(r[1], 255), r[2], SOURCE_CODES.index(r[3]))]
+    return b"".join(out)
+
+
+def decode_response(data: bytes) -> tuple[int, list]:
+    if data[:5] != WIRE + b"\1" or len(data) < 10 or data[5] not in (0, 1):
+        raise ArtifactError("not a response of this version")
+    kind, (n,), at, out = data[5], struct.unpack_from("<I", data, 6), 10, []
+    try:
+        for _ in range(n):
+            if kind == 0:
+                out.append(data[at] != 0)
+                at += 1
+            else:
+                (size,) = struct.unpack_from("<I", data, at)
+                word = data[at + 4 : at + 4 + size].decode()
+                distance, confidence, source = struct.unpack_from("<BdB", data, at + 4 + size)
+                out.append((word, distance, confidence, SOURCE_CODES[source]))
+                at += 14 + size
+    except (IndexError, struct.error) as e:
+        raise ArtifactError("truncated response") from e
+    if at != len(data):
+        raise ArtifactError("bytes after the response")
+    return kind, out
+
+
+def read_matrices(files: DataFrame) -> DataFrame:
+    """path, row, q, scale of every row of the int8 matrices in ``binaryFile`` rows."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                q, scale = read_matrix(content)
+                for a in range(0, len(q), 4096):
+                    some = q[a : a + 4096]
+                    cols = [pa.array([path] * len(some), pa.string()), pa.array(np.arange(a, a + len(some)), pa.int64())]
+                    cols += [pa.FixedSizeListArray.from_arrays(pa.array(some.reshape(-1).astype(np.int32)), some.shape[1]).cast(pa.list_(pa.int32())), pa.array(scale[a : a + 4096], pa.float32())]
+                    yield pa.RecordBatch.from_arrays(cols, ["path", "row", "q", "scale"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, row long, q array<int>, scale float")
+
+
+def check_tier(tier: DataFrame, dims: int) -> DataFrame:
+    """A tier (word, row_id, vec), raising at run time on a row whose vector has another length or whose
+    number is negative; null words and vectors count as broken too."""
+    ok = F.col("word").isNotNull() & (F.col("row_id") >= 0) & (F.size("vec") == dims)
+    return tier.where(F.assert_true(F.coalesce(ok, F.lit(False)), F.concat(F.lit("broken row of a tier: "), F.coalesce("word", F.lit("null")))).isNull())
+
+
+def check_buckets(buckets: DataFrame, bucket_count: int) -> DataFrame:
+    """A bucket table (bucket_id, vec), raising at run time on ids out of range or standing twice."""
+    repeated = buckets.groupBy("bucket_id").agg(F.count("*").alias("n"), F.first("vec").alias("vec"))
+    ok = (F.col("n") == 1) & (F.col("bucket_id") >= 0) & (F.col("bucket_id") < bucket_count)
+    return repeated.where(F.assert_true(F.coalesce(ok, F.lit(False)), F.lit("bucket ids repeat or are out of range")).isNull()).select("bucket_id", "vec")
+
+
+def resolve_one(text: str, language: str, tier: str) -> dict:
+    """The resource of a language and tier; its id must be ``language-tier`` and its fields say the same."""
+    found = parse_registry(text).get(f"{language}-{tier}")
+    if found is None:
+        raise ArtifactError(f"no resource {language}-{tier}")
+    named = found["tier"]["name"] if isinstance(found.get("tier"), dict) else found.get("tier")
+    if found.get("language") != language or named != tier:
+        raise ArtifactError(f"resource {language}-{tier} says {found.get('language')}-{named}")
+    return found
+
+
+def cached(folder: str, resource: dict, fetch) -> bytes:
+    """A resource's bytes: from the folder while their digest holds, else by ``fetch(url)`` from the
+    resource's url, then its mirror; verified before they are put in place (driver only)."""
+    import os
+
+    want = resource["sha256"].lower()
+    path = os.path.join(folder, want)
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            data = f.read()
+        if hashlib.sha256(data).hexdigest() == want:
+            return data
+    for url in filter(None, (resource.get("url"), resource.get("mirror"))):
+        try:
+            data = fetch(url)
+        except OSError:
+            continue
+        if hashlib.sha256(data).hexdigest() == want:
+            part = f"{path}.{os.getpid()}.part"
+            with open(part, "wb") as f:
+                f.write(data)
+            os.replace(part, path)
+            return data
+    raise ArtifactError("no source gives the resource's bytes")
+
+
 def parse_registry(text: str) -> dict[str, dict]:
     """Resources of a registry by id; the spec's name is checked."""
     data = json.loads(text)

@@ -170,9 +170,8 @@ def parse_aff(data: bytes | str) -> Affixes:
 
 
 def _rule(text: str, style: str) -> list[tuple[str, str]]:
-    """(flag, quantifier) items of a compound rule."""
-    found = re.findall(r"\(([^)]+)\)([*?]?)", text) if "(" in text else re.findall(r"(.)([*?]?)", text)
-    return [(flag, quantifier) for flag, quantifier in found]
+    """(flag, quantifier) items of a compound rule; flags of more than one character in brackets."""
+    return [(long or one, quantifier) for long, one, quantifier in re.findall(r"(?:\(([^)]+)\)|(.))([*?]?)", text)]
 
 
 @dataclass(frozen=True)
