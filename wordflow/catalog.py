@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from .functions import keyboard as K
 from .functions import text as T
 from .functions import vectors as V
 from .operators import candidates as C
-from .operators import dictionary, grammar, rerank, suggest, typo
+from .operators import dictionary, grammar, lid, rerank, suggest, typo
 from .operators import lexicon as L
 from .sources import artifacts
 from .streaming import spelling
@@ -48,6 +50,52 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _deleted(source: str) -> str:
+    """SQL: every key of a (word, key) table less one character."""
+    return f"SELECT DISTINCT word, key[1:i - 1] || key[i + 1:] AS key FROM (SELECT word, key, unnest(range(1, length(key) + 1)) AS i FROM {source})"
+
+
+#: Conditions under which two cores (words less their common ends) are two edits apart: one edit
+#: at the front, one at the end, the same between. (characters taken from x, from y, condition)
+_FRONT = [(1, 1, ""), (1, 0, ""), (0, 1, ""), (2, 2, " AND x[1] = y[2] AND x[2] = y[1]")]
+_BACK = [(1, 1, ""), (1, 0, ""), (0, 1, ""), (2, 2, " AND x[length(x)] = y[length(y) - 1] AND x[length(x) - 1] = y[length(y)]")]
+_TWO = " OR ".join(f"(length(x) >= {i + k} AND length(y) >= {j + m} AND x[{i + 1}:length(x) - {k}] = y[{j + 1}:length(y) - {m}]{a}{b})" for i, j, a in _FRONT for k, m, b in _BACK)
+#: SQL: osa(a, b, d): pairs of an unknown word and a lexicon word with their distance, 3 for more than 2.
+EDIT = f"""q0 AS (SELECT word, word AS key FROM q), q1 AS ({_deleted("q0")}), q2 AS ({_deleted("q1")}),
+    l0 AS (SELECT word, word AS key FROM lex), l1 AS ({_deleted("l0")}), l2 AS ({_deleted("l1")}),
+    qk AS (SELECT * FROM q0 UNION SELECT * FROM q1 UNION SELECT * FROM q2), lk AS (SELECT * FROM l0 UNION SELECT * FROM l1 UNION SELECT * FROM l2),
+    cand AS (SELECT DISTINCT qk.word AS a, lk.word AS b FROM qk JOIN lk USING (key) WHERE qk.word <> lk.word),
+    pre AS (SELECT a, b, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[1:i] = b[1:i])) AS p FROM cand),
+    suf AS (SELECT a, b, p, len(list_filter(range(1, least(length(a), length(b)) - p + 1), lambda i: right(a, i) = right(b, i))) AS s FROM pre),
+    core AS (SELECT a, b, a[p + 1:length(a) - s] AS x, b[p + 1:length(b) - s] AS y FROM suf),
+    osa AS (SELECT a, b, CASE WHEN greatest(length(x), length(y)) = 1 OR (length(x) = 2 AND length(y) = 2 AND x[1] = y[2] AND x[2] = y[1]) THEN 1
+        WHEN greatest(length(x), length(y)) = 2 OR {_TWO} THEN 2 ELSE 3 END AS d FROM core)"""
+
+
+def _similarity(a: str, b: str) -> str:
+    """SQL: typo similarity of two different, non-empty lower-case words."""
+    ends = "len(list_filter(range(1, 5), lambda i: i <= length({a}) AND i <= length({b}) AND {f}))"
+    front, back = ends.format(a=a, b=b, f=f"{a}[1:i] = {b}[1:i]"), ends.format(a=a, b=b, f=f"right({a}, i) = right({b}, i)")
+    shared = f"len(list_filter(string_split({a}, ''), lambda c: contains({b}, c)))::DOUBLE"
+    return f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {shared} / greatest(length({a}), length({b})) + {front} * 0.15::DOUBLE + {back} * 0.05::DOUBLE - abs(length({a}) - length({b})) * 0.1::DOUBLE))"
+
+
+_COLLAPSE = "regexp_replace(" * 6 + "{x}" + "".join(f", '{d}+', '{d}', 'g')" for d in "123456")
+
+
+def _soundex(source: str) -> str:
+    """SQL: word, code of a table of words."""
+    digits = "translate({l}, 'AEIOUYHWBFPVCGJKQSXZDTLMNR', '00000000111122222222334556')"
+    runs = _COLLAPSE.format(x=f"replace({digits.format(l='l')}, '0', '')")
+    return f"""SELECT word, CASE WHEN l = '' THEN NULL ELSE rpad((l[1] || CASE WHEN r[1] = c1 THEN r[2:] ELSE r END)[1:4], 4, '0') END AS code
+        FROM (SELECT word, l, {digits.format(l="l[1]")} AS c1, {runs} AS r FROM (SELECT word, regexp_replace(replace(upper(word), 'ẞ', 'SS'), '[^A-Z]', '', 'g') AS l FROM {source}))"""
+
+
+def rounded(column: str, digits: int = 6):
+    """Rounded numbers, without negative zeros."""
+    return F.round(column, digits) + F.lit(0.0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,13 +163,7 @@ def case_variants(spark, sf):
     return d.select("word", F.explode(T.case_variants(F.col("word"))).alias("variant"))
 
 
-_COLLAPSE = "regexp_replace(" * 6 + "{x}" + "".join(f", '{d}+', '{d}', 'g')" for d in "123456")
-
-
-@query(f"""WITH {BASE}, s AS (SELECT word, regexp_replace(replace(upper(word), 'ẞ', 'SS'), '[^A-Z]', '', 'g') AS l FROM lex),
-    c AS (SELECT word, l, translate(l[1], 'AEIOUYHWBFPVCGJKQSXZDTLMNR', '00000000111122222222334556') AS c1,
-        {_COLLAPSE.format(x="replace(translate(l, 'AEIOUYHWBFPVCGJKQSXZDTLMNR', '00000000111122222222334556'), '0', '')")} AS r FROM s)
-    SELECT word, CASE WHEN l = '' THEN NULL ELSE rpad((l[1] || CASE WHEN r[1] = c1 THEN r[2:] ELSE r END)[1:4], 4, '0') END AS code FROM c""")
+@query(f"WITH {BASE} {_soundex('lex')}")
 def soundex_codes(spark, sf):
     return docs_lexicon(spark, sf).select("word", T.soundex(F.col("word")).alias("code"))
 
@@ -152,7 +194,7 @@ def edit_sweep_hits(spark, sf):
     return C.edit_sweep(unknown_words(spark, sf, lex), lex).select("query", "word")
 
 
-@query()
+@query(f"WITH {BASE}, {EDIT} SELECT a AS query, b AS word, d::INTEGER AS distance FROM osa WHERE d <= 2")
 def edit_candidates(spark, sf):
     lex = shared_lexicon(spark, sf)
     return C.edit_pairs(unknown_words(spark, sf, lex), lex)
@@ -172,7 +214,15 @@ def osa_within_1(spark, sf):
     return C.edit_pairs(unknown_words(spark, sf, lex), lex, 1)
 
 
-@query()
+_SRC, _DST = T._folds()
+_PLAIN = f"regexp_replace(translate(word, '{_SRC}', '{_DST}'), '{T.VOWEL_MARKS}', '', 'g')"
+
+
+@query(f"""WITH {BASE}, u AS (SELECT word, list_transform(string_split({_PLAIN}, ''), lambda c: CASE WHEN c = 'ß' THEN 'ss' ELSE c END) AS f FROM lex),
+    k AS (SELECT word, word[1:i - 1] || word[i + 1:] AS key FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM lex)
+        UNION SELECT word, word[1:i - 1] || word[i + 1] || word[i] || word[i + 2:] FROM (SELECT word, unnest(range(1, length(word))) AS i FROM lex) WHERE word[i] <> word[i + 1]
+        UNION SELECT word, array_to_string(list_concat(f[1:i - 1], f[i + 1:]), '') FROM (SELECT word, f, unnest(range(1, len(f) + 1)) AS i FROM u WHERE array_to_string(f, '') <> word))
+    SELECT key, word FROM k WHERE key <> ''""")
 def deletion_index(spark, sf):
     return C.deletion_index(docs_lexicon(spark, sf))
 
@@ -183,16 +233,25 @@ def symspell_slate(spark, sf):
     return C.symspell_slate(unknown_words(spark, sf, lex), lex)
 
 
-@query()
+@query(f"""WITH {BASE}, {EDIT}, code AS ({_soundex("(SELECT word FROM q UNION SELECT word FROM lex)")})
+    SELECT a AS query, b AS word, d::INTEGER AS distance FROM osa JOIN code x ON x.word = a JOIN code y ON y.word = b WHERE d <= 2 AND x.code IS NOT DISTINCT FROM y.code""")
 def phonetic_candidates(spark, sf):
     lex = shared_lexicon(spark, sf)
     return C.phonetic_pairs(unknown_words(spark, sf, lex), lex)
 
 
-@query()
+_GRAMS = "SELECT word, word[i:i + 2] AS gram, count(*) AS c FROM (SELECT word, unnest(range(1, length(word) - 1)) AS i FROM {t} WHERE length(word) >= 3) GROUP BY 1, 2"
+
+
+@query(f"""WITH {BASE}, g AS ({_GRAMS.format(t="q")}), h AS ({_GRAMS.format(t="lex")}),
+    b AS (SELECT g.word AS a, h.word AS b, sum(least(g.c, h.c)) AS n FROM g JOIN h USING (gram) WHERE g.word <> h.word GROUP BY 1, 2),
+    j AS (SELECT a, b, n::DOUBLE / (length(a) + length(b) - 4 - n) AS jaccard FROM b),
+    r AS (SELECT a, b, jaccard, {_similarity("a", "b")} AS similarity, floor((1.0::DOUBLE - jaccard) * 10)::INTEGER AS distance FROM j WHERE jaccard >= 0.3::DOUBLE)
+    SELECT a AS query, b AS word, round(jaccard, 6) AS jaccard, round(similarity, 6) AS similarity, distance FROM r WHERE similarity >= 0.7::DOUBLE AND distance <> 0""")
 def ngram_candidates(spark, sf):
     lex = shared_lexicon(spark, sf)
-    return C.ngram_pairs(unknown_words(spark, sf, lex), lex)
+    found = C.ngram_pairs(unknown_words(spark, sf, lex), lex)
+    return found.withColumn("jaccard", F.round("jaccard", 6)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH {BASE}, k AS (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: word[1:i - 1] || word[i + 1:])) AS key FROM lex),
@@ -226,17 +285,42 @@ def keyboard_distance(spark, sf):
     return pairs.select("a", "b", K.distance(F.col("a"), F.col("b")).cast("int").alias("distance"))
 
 
-@query()
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_NEAR = ", ".join(f"({_quoted(k)}, {_quoted(n)})" for k, near in K.NEIGHBOURS.items() for n in near)
+
+
+@query(f"""WITH {BASE}, near(k, n) AS (VALUES {_NEAR}), p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM q),
+    m AS (SELECT word, i, n FROM p JOIN near ON k = lower(word[i]))
+    SELECT word AS query, word[1:i - 1] || word[i + 1:] AS variant FROM m UNION SELECT word, word[1:i - 1] || n || word[i + 1:] FROM m UNION SELECT word, word[1:i - 1] || n || word[i:] FROM m
+    UNION SELECT word, word[1:i - 1] || word[i + 1] || word[i] || word[i + 2:] FROM p WHERE i < length(word)""")
 def keyboard_variants(spark, sf):
     """One round of keyboard mutations of every unknown word."""
     q = unknown_words(spark, sf).select(F.col("word").alias("query"), F.col("word").alias("variant"))
     return C.keyboard_round(q)
 
 
-@query()
+_CHARS = "SELECT a, b, unnest(range(1, length(a) + 1)) AS i FROM osa WHERE length(a) = length(b) AND d <= 2"
+_DOUBLED = "length({l}) = length({s}) + 1 AND len(list_filter(range(1, length({l})), lambda i: {l}[i] = {l}[i + 1] AND {l}[1:i] || {l}[i + 2:] = {s})) > 0"
+
+
+@query(f"""WITH {BASE}, {EDIT}, grid(k, r, c) AS (VALUES {_GRID}),
+    pos AS ({_CHARS}),
+    pen AS (SELECT a, b, sum(CASE WHEN a[i] = b[i] THEN 0 WHEN g.k IS NULL OR h.k IS NULL THEN 50 WHEN abs(g.r - h.r) + abs(g.c - h.c) = 1 THEN 10 WHEN abs(g.r - h.r) + abs(g.c - h.c) = 2 THEN 30 ELSE 100 END) AS penalty
+        FROM pos LEFT JOIN grid g ON g.k = a[i] LEFT JOIN grid h ON h.k = b[i] GROUP BY 1, 2),
+    later AS (SELECT a, b, i, position(a[i] IN b[i + 1:]) AS n FROM pos WHERE a[i] <> b[i]),
+    cross_ AS (SELECT a, b, count(*) AS n FROM later WHERE n > 0 AND (n = 1 OR (i + n <= length(a) AND a[i + n] = b[i])) GROUP BY 1, 2),
+    s AS (SELECT osa.a, osa.b, d, d::DOUBLE * 1000 - CASE WHEN rank <= 50 THEN 200 WHEN rank <= 200 THEN 100 WHEN rank <= 1000 THEN 50 ELSE 0 END + coalesce(penalty, 0)
+            - CASE WHEN cross_.n = 1 THEN 200 ELSE 100 * coalesce(cross_.n, 0) END
+            - CASE WHEN {_DOUBLED.format(s="osa.a", l="osa.b")} THEN 300 ELSE 0 END - CASE WHEN length(osa.b) > length(osa.a) AND starts_with(osa.a, osa.b[1:3]) THEN 30 ELSE 0 END
+            + abs(length(osa.a) - length(osa.b)) * 50 AS score
+        FROM osa LEFT JOIN lex ON lex.word = osa.b LEFT JOIN pen ON pen.a = osa.a AND pen.b = osa.b LEFT JOIN cross_ ON cross_.a = osa.a AND cross_.b = osa.b
+        WHERE d <= 2 AND (NOT regexp_full_match(osa.a, '\\p{{L}}*') OR regexp_full_match(osa.b, '\\p{{L}}*'))),
+    e AS (SELECT *, min(score) OVER (PARTITION BY a) AS low, max(score) OVER (PARTITION BY a) AS high FROM s)
+    SELECT a AS query, b AS word, d::INTEGER AS distance, score, round(CASE WHEN high > low THEN 1.0::DOUBLE - (score - low) / (high - low) ELSE 1.0::DOUBLE END, 6) AS confidence, round({_similarity("a", "b")}, 6) AS similarity FROM e""")
 def edit_confidence(spark, sf):
     lex = shared_lexicon(spark, sf)
-    return suggest.edit_confidence(unknown_words(spark, sf, lex), lex, lex)
+    found = suggest.edit_confidence(unknown_words(spark, sf, lex), lex, lex)
+    return found.withColumn("confidence", F.round("confidence", 6)).withColumn("similarity", F.round("similarity", 6))
 
 
 _FORM = "SELECT word, stem, {p} AS prefix, id AS suffix FROM (SELECT word, rest[1:length(rest) - length(a_add)] || strip AS stem, id, cond{q} FROM {t} JOIN a ON kind = 'SFX' AND right(rest, length(a_add)) = a_add) WHERE (cond = '' OR regexp_matches(stem, cond))"
@@ -386,24 +470,56 @@ def context_score(spark, sf):
 
 
 @query(f"""WITH {BASE}, {_CTX}, m AS (SELECT conv_id, turn, lower(regexp_extract(text, '{_CW}')) AS word, context FROM x JOIN conversations USING (conv_id, turn))
-    SELECT conv_id, count(*)::BIGINT AS n, avg(CASE WHEN list_contains(context, word) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS top1 FROM m GROUP BY 1""")
-def hit_rates(spark, sf):
+    SELECT conv_id, count(*)::BIGINT AS n, avg(CASE WHEN list_contains(context, word) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM m GROUP BY 1""")
+def first_word_in_context(spark, sf):
     """How often a turn's first word is among the words around it, by conversation."""
     first = table(spark, sf, "conversations").select("conv_id", "turn", F.lower(F.regexp_extract("text", T.CONTEXT_WORD, 0)).alias("word"))
     rows = _contexts(spark, sf).select("conv_id", "turn", rerank.context_words(F.col("before"), F.col("after")).alias("context")).join(first, ["conv_id", "turn"])
-    return rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg(F.array_contains("context", F.col("word")).cast("double")).alias("top1"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg(F.array_contains("context", F.col("word")).cast("double")).alias("share"))
 
 
-@query()
+#: SQL: t (word, v, norm) is the tier; of parts (word, v) the unit sum of each word's vectors.
+_TIER = f"t AS (SELECT word, rank, embedding::DOUBLE[] AS v, {_NORM} FROM lex JOIN embeddings ON rank - 1 = vec_id)"
+_UNIT = """dims AS (SELECT word, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM parts), sums AS (SELECT word, i, sum(x) AS x FROM dims GROUP BY 1, 2),
+    unit AS (SELECT word, sqrt(sum(x * x)) AS n, list(x ORDER BY i) AS v FROM sums GROUP BY 1)
+    SELECT q.word, CASE WHEN n > 0 THEN list_transform(unit.v, lambda x: round(x / n, 6) + 0.0::DOUBLE) END AS vec FROM q LEFT JOIN unit USING (word)"""
+_SUBSTRINGS = "SELECT DISTINCT word, {w}[i:i + n - 1] AS gram FROM (SELECT word, n, unnest(range(1, length({w}) - n + 2)) AS i FROM (SELECT word, unnest(range(3, 7)) AS n FROM q) WHERE length({w}) >= n)"
+
+
+def _round_all(found: DataFrame) -> DataFrame:
+    return found.select("word", F.transform("vec", lambda x: rounded(x)).alias("vec"))
+
+
+@query(f"WITH {BASE}, {_TIER}, g AS ({_SUBSTRINGS.format(w='word')}), parts AS (SELECT g.word, t.v FROM g JOIN t ON t.word = gram), {_UNIT}")
 def oov_embedding(spark, sf):
     lex = shared_lexicon(spark, sf)
-    return rerank.oov_vector(unknown_words(spark, sf, lex), rerank.tier(table(spark, sf, "embeddings"), lex))
+    return _round_all(rerank.oov_vector(unknown_words(spark, sf, lex), rerank.tier(table(spark, sf, "embeddings"), lex)))
 
 
-@query()
+#: Buckets of the demonstration: as many as the smaller tables have vectors.
+BUCKETS = 500
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, strlen(gram) + 1), lambda i: ('0x' || hex(gram)[2 * i - 1:2 * i])::BIGINT)), lambda h, x: (xor(h, CASE WHEN x > 127 THEN x + 4294967040 ELSE x END) * 16777619) & 4294967295)"
+
+
+@query(f"""WITH {BASE}, {_TIER}, g AS ({_SUBSTRINGS.format(w="word")}), m AS ({_SUBSTRINGS.format(w="('<' || word || '>')")}),
+    hashed AS (SELECT word, {_FNV} % {BUCKETS} AS id FROM m),
+    parts AS (SELECT g.word, t.v FROM g JOIN t ON t.word = gram UNION ALL SELECT word, embedding::DOUBLE[] FROM hashed JOIN embeddings ON id = vec_id), {_UNIT}""")
+def bucket_oov(spark, sf):
+    """Vectors of unknown words from known parts and from hash buckets."""
+    lex, vectors = shared_lexicon(spark, sf), table(spark, sf, "embeddings")
+    buckets = vectors.select(F.col("vec_id").alias("bucket_id"), F.col("embedding").alias("vec"))
+    return _round_all(rerank.oov_vector(unknown_words(spark, sf, lex), rerank.tier(vectors, lex), artifacts.check_buckets(buckets.where(F.col("bucket_id") < BUCKETS), BUCKETS), BUCKETS))
+
+
+@query(f"""WITH {BASE}, {_TIER}, x AS (SELECT word, list_max(list_transform(v, lambda x: abs(x))) / 127 AS scale FROM t),
+    i AS (SELECT t.word, v, norm, scale, list_transform(v, lambda x: round(x / scale)) AS q8 FROM t JOIN x USING (word)),
+    s AS (SELECT a.word AS query, b.word, list_inner_product(a.q8, b.q8) * a.scale * b.scale AS dot, {_COS} AS cosine FROM i a JOIN i b ON a.word <> b.word),
+    slate AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dot DESC, word) AS place FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, place)::INTEGER AS rank FROM slate WHERE place <= 20)
+    SELECT query, rank, word, round(cosine, 6) + 0.0::DOUBLE AS score FROM r WHERE rank <= 5""")
 def typo_rescored(spark, sf):
-    tier = _tier(spark, sf)
-    return typo.rescore(typo.slate(tier, typo.index(tier)), tier)
+    tier = _tier(spark, sf).withColumn("vec", F.col("vec").cast("array<double>"))
+    return typo.rescore(typo.slate(tier, typo.index(tier)), tier).withColumn("score", rounded("score"))
 
 
 @query()
@@ -437,7 +553,9 @@ def events_tumbling(spark, sf):
     return spelling.windowed_counts(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
 
 
-@query()
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
 def events_sessions(spark, sf):
     return spelling.session_counts(table(spark, sf, "events"))
 
@@ -449,6 +567,133 @@ def suggest_ranked(spark, sf):
     return suggest.suggest(unknown_words(spark, sf, lex), lex, lexicon=lex)
 
 
+_ROWS = f"{BASE}, {_TIER}, s AS (SELECT a.word AS query, a.rank AS place, b.word, {_COS} AS score FROM t a JOIN t b ON a.word <> b.word), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, word) AS rank FROM s)"
+
+
+@query(f"""WITH {_ROWS}, g AS (SELECT a.word AS query, b.word FROM t a JOIN t b ON b.rank = a.rank + 1), h AS (SELECT CASE WHEN n.rank <= 20 THEN n.rank END AS rank FROM g JOIN n USING (query, word))
+    SELECT count(*)::BIGINT AS n, avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS top1, avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS top5, avg(CASE WHEN rank <= 20 THEN 1.0::DOUBLE ELSE 0 END) AS top20 FROM h""")
+def hit_at_k(spark, sf):
+    """How often the next word in rank is among the 1, 5 and 20 nearest."""
+    tier = _tier(spark, sf)
+    gold = tier.select(F.col("word").alias("query"), "row_id").join(tier.select("word", (F.col("row_id") - 1).alias("row_id")), "row_id").select("query", "word")
+    return rerank.hit_rates(gold.join(rerank.semantic_neighbors(tier, tier, 20), ["query", "word"], "left"))
+
+
+@query(f"""WITH {_ROWS}, d AS (SELECT query, replace(upper(word), 'ẞ', 'SS') AS word FROM n WHERE rank = 2)
+    SELECT query, 1 AS rank, word, 0.9::DOUBLE AS confidence FROM d
+    UNION ALL SELECT query, (1 + row_number() OVER (PARTITION BY query ORDER BY rank))::INTEGER, word, round(least(greatest(score, 0.0::DOUBLE), 1.0::DOUBLE), 6) + 0.0::DOUBLE FROM n WHERE rank <= 5 AND rank <> 2""")
+def semantic_merge(spark, sf):
+    """The second neighbour in capitals as the dictionary's answer, then the neighbours that are not it."""
+    tier = _tier(spark, sf)
+    near = rerank.semantic_neighbors(tier, tier).persist(StorageLevel.DISK_ONLY)
+    said = near.where("rank = 2").select("query", F.lit(1).alias("rank"), F.upper("word").alias("word"), F.lit(0.9).alias("confidence"))
+    return rerank.semantic_merge(said, near).withColumn("confidence", rounded("confidence"))
+
+
+@query(f"""WITH {BASE}, {_CTX}, {_TIER}, m AS (SELECT conv_id, turn, context, list_transform(regexp_extract_all(text, '{_CW}')[1:3], lambda w: lower(w)) AS found FROM x JOIN conversations USING (conv_id, turn)),
+    o AS (SELECT conv_id, turn, context, unnest(found) AS word, generate_subscripts(found, 1) AS r FROM m),
+    e AS (SELECT conv_id, turn, r, word, unnest(context) AS cw FROM o),
+    b AS (SELECT conv_id, turn, r, sum({_COS}) AS total FROM e JOIN t a ON a.word = e.word JOIN t b ON b.word = cw GROUP BY 1, 2, 3),
+    w AS (SELECT conv_id, turn, r, word, len(context) AS size, 1.0::DOUBLE - r / 10.0::DOUBLE + 0.02::DOUBLE * coalesce(total, 0) AS confidence FROM o LEFT JOIN b USING (conv_id, turn, r))
+    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE WHEN size > 0 THEN round(confidence, 9) ELSE 0 END DESC, r)::INTEGER AS rank, word, round(confidence, 6) AS confidence FROM w""")
+def context_rerank(spark, sf):
+    """The first three words of each turn as suggestions, reranked by the turns around it."""
+    c = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), F.posexplode(F.slice(T.words(F.col("text"), T.CONTEXT_WORD), F.lit(1), F.lit(3))).alias("i", "word"))
+    rank = (F.col("i") + 1).alias("rank")
+    offered = c.select("query_id", rank, F.lower("word").alias("word"), (F.lit(1.0) - (F.col("i") + 1) / F.lit(10.0)).alias("confidence"))
+    around = _contexts(spark, sf).select(F.struct("conv_id", "turn").alias("query_id"), "before", "after")
+    tier = _tier(spark, sf).withColumn("vec", F.col("vec").cast("array<double>"))
+    return rerank.rerank(offered, around, tier).select("query_id.conv_id", "query_id.turn", "rank", "word", F.round("confidence", 6).alias("confidence"))
+
+
+#: Letters of a small dictionary's TRY line.
+TRY = "esianrtolcdugmphbyfvkw"
+_LETTERS = f"(SELECT unnest(string_split('{TRY}', '')) AS c)"
+
+
+@query(f"""WITH {BASE}, v AS (SELECT word, word[1:i - 1] || c || word[i + 1:] AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM q) CROSS JOIN {_LETTERS} WHERE c <> word[i])
+    SELECT word AS query, count(DISTINCT v)::BIGINT AS n, min(v) AS first, max(v) AS last FROM v GROUP BY 1""")
+def bad_char_variants(spark, sf):
+    """How many words one other letter makes of each unknown word, and the first and last of them."""
+    made = unknown_words(spark, sf).select(F.col("word").alias("query"), F.array_distinct(E.bad_char(F.col("word"), TRY)).alias("v"))
+    return made.select("query", F.size("v").cast("long").alias("n"), F.array_min("v").alias("first"), F.array_max("v").alias("last"))
+
+
+@query(f"""WITH {BASE}, v AS (SELECT word, word[1:i - 1] || c || word[i:] AS v FROM (SELECT word, unnest(range(1, length(word) + 2)) AS i FROM q) CROSS JOIN {_LETTERS})
+    SELECT word AS query, count(DISTINCT v)::BIGINT AS n, min(v) AS first, max(v) AS last FROM v GROUP BY 1""")
+def forgotten_char_variants(spark, sf):
+    """How many words one more letter makes of each unknown word, and the first and last of them."""
+    made = unknown_words(spark, sf).select(F.col("word").alias("query"), F.array_distinct(E.forgotten_char(F.col("word"), TRY)).alias("v"))
+    return made.select("query", F.size("v").cast("long").alias("n"), F.array_min("v").alias("first"), F.array_max("v").alias("last"))
+
+
+@query("""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 7 AS scale FROM embeddings),
+    q AS (SELECT vec_id, list_transform(v, lambda x: round(x / scale)::INTEGER) AS q FROM s)
+    SELECT vec_id, list_transform(range(1, len(q) + 1, 2), lambda i: (((q[i] & 15) << 4) | (q[i + 1] & 15))::INTEGER) AS packed, q AS unpacked FROM q""")
+def int4_roundtrip(spark, sf):
+    v = F.col("embedding").cast("array<double>")
+    packed = table(spark, sf, "embeddings").select("vec_id", V.int4_quantize(v).alias("packed"), F.size("embedding").alias("n"))
+    return packed.select("vec_id", "packed", V.int4_unpack(F.col("packed"), F.col("n")).alias("unpacked"))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v\\x00]+')) AS token FROM conversations),
+    w AS (SELECT token, '<' || token || '>' AS w FROM d WHERE token <> ''),
+    g AS (SELECT token, w[i:i + n - 1] AS gram FROM (SELECT token, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT token, w, unnest(range(2, 5)) AS n FROM w) WHERE length(w) >= n))
+    SELECT token, count(*)::BIGINT AS n, sum({_FNV} % 2000000)::BIGINT AS total FROM g GROUP BY 1""")
+def lid_token_buckets(spark, sf):
+    """Each token's hashed n-grams: how many, and the sum of their buckets."""
+    tokens = table(spark, sf, "conversations").select(F.explode(F.split("text", T.LID_SPACE)).alias("token")).where("token <> ''").distinct()
+    return lid.token_features(tokens, "token", "token").groupBy("token").agg(F.count("*").alias("n"), F.sum("bucket").alias("total"))
+
+
+@query()
+def lid_detect(spark, sf):
+    """A demonstration model: the most frequent words and the buckets take vectors, four labels a tree."""
+    lex = docs_lexicon(spark, sf)
+    known = [r.word for r in lex.where("rank <= 100").orderBy("rank").collect()]
+    rows = np.array([r.embedding for r in table(spark, sf, "embeddings").where("vec_id < 164").orderBy("vec_id").collect()], np.float32)
+    model = lid.LidModel({w: i for i, w in enumerate([*known[:99], lid.EOS])}, rows[: 100 + 61], rows[161:164], ["en", "de", "fr", "es"], [40, 30, 20, 10], 61)
+    return lid.detect(table(spark, sf, "documents"), model, "doc_id").select(F.col("id").alias("doc_id"), "code", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+@query("""SELECT page_id::VARCHAR AS path, 1 AS tag, sha256(coalesce(url, '')) AS digest FROM pages UNION ALL SELECT page_id::VARCHAR, 2, sha256(coalesce(html, '')) FROM pages""")
+def pack_sections(spark, sf):
+    """Each page as a pack of two sections, read back."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), *[F.coalesce(c, F.lit("")).cast("binary").alias(c) for c in ("url", "html")])
+
+    def pack(batches):
+        for batch in batches:
+            content = [artifacts.write_pack([(1, u), (2, h)]) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(content, pa.binary())], ["path", "content"])
+
+    return artifacts.read_packs(pages.mapInArrow(pack, "path string, content binary")).select("path", "tag", "digest")
+
+
+@query("""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding, lambda x: abs(x)))::FLOAT / 127::FLOAT AS scale FROM embeddings)
+    SELECT vec_id, round(scale::DOUBLE, 7) AS scale, list_max(list_transform(v, lambda x: abs(x - round(x / scale) * scale))) <= scale / 2 + 1e-6 AS within FROM s""")
+def matrix_rows(spark, sf):
+    """Vectors as int8 matrices of up to 1000 rows in bytes, read back."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 1000).cast("string").alias("path"))
+
+    def pack(tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by("vec_id")
+        x = np.array(tab.column("embedding").to_pylist(), np.float32)
+        return pa.table({"path": tab.column("path")[:1], "content": pa.array([artifacts.write_matrix(*typo.quantize_rows(x))], pa.binary()), "ids": pa.array([tab.column("vec_id").to_pylist()], pa.list_(pa.int64()))})
+
+    files = vectors.groupBy("path").applyInArrow(pack, "path string, content binary, ids array<long>")
+    rows = artifacts.read_matrices(files).join(files.select("path", F.posexplode("ids").alias("row", "vec_id")), ["path", "row"])
+    both = rows.join(vectors.select("vec_id", "embedding"), "vec_id")
+    worst = F.array_max(F.zip_with("embedding", "q", lambda x, q: F.abs(x.cast("double") - q * F.col("scale").cast("double"))))
+    within = worst <= F.col("scale").cast("double") / 2 + F.lit(1e-6)
+    return both.withColumn("within", within).select("vec_id", F.round(F.col("scale").cast("double"), 7).alias("scale"), "within")
+
+
+@query()
+def dictionary_suggest(spark, sf):
+    """Suggestions of a small dictionary for the words of conversations that it does not take."""
+    return dictionary.Speller(spark, DEMO_AFF, DEMO_DIC).suggest(L.tokens(table(spark, sf, "conversations")))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: ranked suggestions for the words of conversations that the documents' lexicon lacks."""
     return symspell_slate(spark, sf_dir)
