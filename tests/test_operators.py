@@ -88,6 +88,33 @@ def test_dictionary(spark, aff, dic, right, wrong):
     assert not got[""] and not got[None]
 
 
+def test_keyboard_pairs_are_the_variants(spark):
+    """Pruning the first operation's results loses no word."""
+    from wordflow.operators.candidates import _keyboard_once, _twice
+
+    r = random.Random(9)
+    for query in ("hello", "teh", "qwe", "a", "tb"):
+        second = set().union(*map(_keyboard_once, _keyboard_once(query)))
+        some = [*r.sample(sorted(second), min(60, len(second))), query, "zzzz", "tabh", "enterx"]
+        assert _twice(query, some) == second & set(some)
+
+
+def test_batch_scores_are_the_expressions(spark):
+    from collections import Counter
+
+    from wordflow.functions import distance as D
+
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcé") for _ in range(r.randint(0, 9)))
+    pairs = [(word(), word()) for _ in range(400)] + [("Abab", "abAB"), ("", ""), ("aaaaa", "aaaa")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", D.typo_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    a, b = zip(*pairs)
+    assert [x.s for x in sorted(rows)] == D.typo_similarity_batch(list(a), list(b)).tolist()
+    for x, y, got in zip(a, b, D.trigram_jaccard_batch(list(a), list(b)).tolist()):
+        g, h = (Counter(w[i : i + 3] for i in range(len(w) - 2)) for w in (x, y))
+        assert got == (sum((g & h).values()) / sum((g | h).values()) if g or h else 0)
+
+
 def test_speller(spark, tmp_path):
     aff, dic = "SET UTF-8\nTRY helowrdst\nSFX S Y 1\nSFX S 0 s .\n", "4\nhello\nworld/S\nhelp/S\nHell\n"
     (tmp_path / "d.aff").write_text(aff)

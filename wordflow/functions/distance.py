@@ -77,6 +77,60 @@ def osa_fast(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(osa_batch(a.tolist(), b.tolist()), dtype="int32")
 
 
+def _ends(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of the common prefixes of rows of code points, at most ``most``."""
+    out, same = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for k in range(min(most, a.shape[1], b.shape[1])):
+        same &= (n > k) & (m > k) & (a[:, k] == b[:, k])
+        out += same
+    return out
+
+
+def typo_similarity_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """``typo_similarity`` of many pairs at once."""
+    if not left:
+        return np.empty(0)
+    x, y = [w.lower() for w in left], [w.lower() for w in right]
+    (a, n), (b, m) = _table(x), _table(y)
+    shared = np.zeros(len(a), np.int64)
+    for i in range(a.shape[1]):
+        shared += (n > i) & ((a[:, i : i + 1] == b) & (np.arange(b.shape[1]) < m[:, None])).any(1)
+    front = _ends(a, n, b, m, 4)
+    (c, _), (d, _) = _table([w[-4:][::-1] for w in x]), _table([w[-4:][::-1] for w in y])
+    back = _ends(c, np.minimum(n, 4), d, np.minimum(m, 4), 4)
+    score = shared / np.maximum(np.maximum(n, m), 1) + front * 0.15 + back * 0.05 - np.abs(n - m) * 0.1
+    equal = np.array([p == q for p, q in zip(x, y)])
+    return np.where((n == 0) | (m == 0), 0.0, np.where(equal, 1.0, np.clip(score, 0.0, 1.0)))
+
+
+def _gram_ids(words: list[str]) -> np.ndarray:
+    """Trigrams of each word with the number of equal ones before, as ids; -1 past the end."""
+    codes, n = _table(words)
+    if codes.shape[1] < 3:
+        return np.full((len(words), 1), -1, np.int64)
+    c = codes.astype(np.int64)
+    g = (c[:, :-2] << 42) | (c[:, 1:-1] << 21) | c[:, 2:]
+    copies = np.zeros(g.shape, np.int64)
+    for i in range(1, g.shape[1]):
+        copies[:, i] = (g[:, :i] == g[:, i : i + 1]).sum(1)
+    grams, ids = np.unique(g, return_inverse=True)
+    ids = ids.reshape(g.shape) + copies * len(grams)  # a copy is an id of its own
+    return np.where(np.arange(g.shape[1]) < n[:, None] - 2, ids, -1)
+
+
+def trigram_jaccard_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaccard of the trigram multisets of many pairs; 0 where both are empty."""
+    if not left:
+        return np.empty(0)
+    both = _gram_ids([*left, *right])
+    a, b = both[: len(left)], both[len(left) :]
+    shared = np.zeros(len(a), np.int64)
+    for i in range(a.shape[1]):
+        shared += ((a[:, i : i + 1] == b) & (a[:, i : i + 1] >= 0)).any(1)
+    union = (a >= 0).sum(1) + (b >= 0).sum(1) - shared
+    return shared / np.maximum(union, 1)
+
+
 def _common(a: Column, b: Column, most: int, end: bool) -> Column:
     """Length of the common prefix (or suffix), at most ``most``."""
     part = (lambda w, k: F.right(w, F.lit(k))) if end else (lambda w, k: F.left(w, F.lit(k)))

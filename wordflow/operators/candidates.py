@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
@@ -12,23 +13,27 @@ from ..functions import keyboard as K
 from ..functions import text as T
 
 
+def _folded_keys(t: DataFrame, w: Column) -> DataFrame:
+    """``t`` with the words' folded units (``units``, computed once) and the deletions of these, where folding changes a word."""
+    t = t.withColumn("units", T.fold_units(w))
+    units = F.col("units")
+    less = F.transform(F.sequence(F.lit(1), F.size(units)), lambda i: F.array_join(F.concat(F.slice(units, F.lit(1), i - 1), F.slice(units, i + 1, F.size(units))), ""))
+    return t.withColumn("folded", F.when(F.array_join(units, "") != w, less).otherwise(F.array().cast("array<string>")))
+
+
 def deletion_index(lexicon: DataFrame) -> DataFrame:
     """key, word: deletions, swaps, and deletions of the folded form, of each lexicon word."""
     w = F.col("word")
-    units = T.fold_units(w)
-    folded = F.transform(F.sequence(F.lit(1), F.size(units)), lambda i: F.array_join(F.concat(F.slice(units, F.lit(1), i - 1), F.slice(units, i + 1, F.size(units))), ""))
-    keys = F.concat(E.deletes(w), F.filter(E.transpositions(w), lambda x: x != w), F.when(T.fold(w) != w, folded).otherwise(F.array().cast("array<string>")))
-    return lexicon.select(F.explode(F.filter(F.array_distinct(keys), lambda x: x != "")).alias("key"), "word")
+    keys = F.concat(E.deletes(w), F.filter(E.transpositions(w), lambda x: x != w), F.col("folded"))
+    return _folded_keys(lexicon.select("word"), w).select(F.explode(F.array_distinct(keys)).alias("key"), "word").where("key <> ''")
 
 
 def query_keys(queries: DataFrame) -> DataFrame:
     """word, key: what a query looks up: itself, one and two deletions, deletions of its folded form."""
-    w = F.lower("word")
-    units = T.fold_units(w)
-    folded = F.transform(F.sequence(F.lit(1), F.size(units)), lambda i: F.array_join(F.concat(F.slice(units, F.lit(1), i - 1), F.slice(units, i + 1, F.size(units))), ""))
-    once = E.deletes(w)
-    keys = F.concat(F.array(w), once, F.flatten(F.transform(once, E.deletes)), F.when(T.fold(w) != w, folded).otherwise(F.array().cast("array<string>")))
-    return queries.select("word", F.explode(F.filter(F.array_distinct(keys), lambda x: x != "")).alias("key"))
+    low = F.col("low")
+    t = _folded_keys(queries.select("word", F.lower("word").alias("low")), low).withColumn("once", F.array_distinct(E.deletes(low)))
+    keys = F.concat(F.array(low), F.col("once"), F.flatten(F.transform("once", E.deletes)), F.col("folded"))
+    return t.select("word", F.explode(F.array_distinct(keys)).alias("key")).where("key <> ''")
 
 
 def symspell_pairs(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -128,12 +133,34 @@ def _keyboard_once(word: str) -> set[str]:
     return out
 
 
+def _shorter(word: str) -> set[str]:
+    """The word and all its deletions of one character."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+#: Names of keys that are longer than a character: an operation may put in one of these.
+_NAMES = sorted({n for near in K.NEIGHBOURS.values() for n in near if len(n) > 1})
+
+
+def _twice(query: str, words: list[str]) -> set[str]:
+    """Those of the words that exactly two keyboard operations make of the query.
+
+    Of the first operation's results only those go on from which a word is one edit away (they share
+    a deletion), unless the word holds a key's name."""
+    first = _keyboard_once(query.lower())
+    near = set().union(*map(_shorter, words))
+    if not any(n in w for w in words for n in _NAMES):
+        first = {v for v in first if not near.isdisjoint(_shorter(v))}
+    return set().union(*map(_keyboard_once, first)).intersection(words)
+
+
 def keyboard_pairs(queries: DataFrame, words: DataFrame, least_similarity: float = 0.70, near: DataFrame | None = None) -> DataFrame:
     """query, word, distance, similarity: words that exactly two keyboard operations reach.
 
     Only words within two edits may count, so the variants (some ten thousand a query) are
-    never joined: each query's candidates (``near``, by default ``edit_pairs``) are held
-    against its variants, which live for that query alone.
+    never joined: a query's candidates (``near``, by default ``edit_pairs``) are held against
+    its variants, which live for that query alone. A query's candidates are the lexicon's words
+    within two edits: their number follows the language, not the size of the texts.
     """
     near = edit_pairs(queries, words) if near is None else near
     asked = near.where("distance <= 2").groupBy("query").agg(F.collect_list(F.struct("word", "distance")).alias("found"))
@@ -142,7 +169,7 @@ def keyboard_pairs(queries: DataFrame, words: DataFrame, least_similarity: float
         for batch in batches:
             rows = []
             for query, found in zip(batch.column("query").to_pylist(), batch.column("found").to_pylist()):
-                second = set().union(*map(_keyboard_once, _keyboard_once(query.lower()))) if query else set()
+                second = _twice(query, [f["word"] for f in found]) if query else set()
                 rows += [(query, f["word"], f["distance"]) for f in found if f["word"] in second]
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["query", "word", "distance"])
@@ -155,29 +182,34 @@ def ngram_pairs(queries: DataFrame, words: DataFrame, least: float = 0.3, least_
     """query, word, jaccard, similarity, distance: words whose trigram multisets overlap enough.
 
     A pair at the threshold shares one of the rarest trigrams of each (prefix filter), so
-    frequent trigrams, which most words hold, never make join groups.
+    frequent trigrams, which most words hold, never make join groups. Both scores of a
+    candidate pair are computed in Arrow batches.
     """
 
     def grammed(t: DataFrame, name: str) -> DataFrame:
         # the r-th copy of a gram is an element of its own, so that multisets become sets
-        g = T.grams(F.col("word"), 3)
-        copy = lambda x, i: F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string")
-        numbered = F.transform(g, lambda x, i: F.concat(x, F.lit("#"), copy(x, i)))
-        return t.where(F.length("word") >= 3).select(F.col("word").alias(name), numbered.alias("grams"))
+        t = t.where(F.length("word") >= 3).select(F.col("word").alias(name), T.grams(F.col("word"), 3).alias("g"))
+        copy = lambda x, i: F.size(F.filter(F.slice("g", F.lit(1), i + 1), lambda y: y == x)).cast("string")
+        return t.select(name, F.size("g").alias("n"), F.explode(F.transform("g", lambda x, i: F.concat(x, F.lit("#"), copy(x, i)))).alias("gram"))
 
     q, w = grammed(queries.select("word").distinct(), "query"), grammed(words.select("word").distinct(), "word")
-    freq = w.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("f"))
+    freq = w.groupBy("gram").agg(F.count("*").alias("f"))
 
     def prefix(t: DataFrame, name: str) -> DataFrame:
         # overlap of at least ceil(least * size) leaves size - that + 1 grams that must hold a shared one
-        each = t.select(name, F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(freq, "gram", "left")
         rank = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("f", F.lit(0)), "gram"))
-        return each.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).select(name, "gram", F.col("n").alias(f"{name}_n"))
+        return t.join(freq, "gram", "left").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).select(name, "gram", F.col("n").alias(f"{name}_n"))
 
     pairs = prefix(q, "query").join(prefix(w, "word"), "gram").where(F.least("query_n", "word_n") >= F.lit(least) * F.greatest("query_n", "word_n"))
     pairs = pairs.where("query <> word").select("query", "word").distinct()
-    pairs = pairs.withColumn("similarity", D.typo_similarity(F.col("query"), F.col("word"))).where(F.col("similarity") >= least_similarity)
-    full = pairs.join(q, "query").join(w.withColumnRenamed("grams", "word_grams"), "word")
-    both = F.size(F.array_intersect("grams", "word_grams"))
-    full = full.withColumn("jaccard", both.cast("double") / (F.size("grams") + F.size("word_grams") - both)).where(F.col("jaccard") >= least)
+
+    def score(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("query", "word"))
+            jaccard, similarity = D.trigram_jaccard_batch(a, b), D.typo_similarity_batch(a, b)
+            ok = np.flatnonzero((jaccard >= least) & (similarity >= least_similarity))
+            some = batch.take(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(jaccard[ok]), pa.array(similarity[ok])], ["query", "word", "jaccard", "similarity"])
+
+    full = pairs.mapInArrow(score, "query string, word string, jaccard double, similarity double")
     return full.withColumn("distance", F.floor((F.lit(1.0) - F.col("jaccard")) * 10).cast("int")).where("distance <> 0").select("query", "word", "jaccard", "similarity", "distance")
