@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings", "events"):
+    for t in ("documents", "conversations", "embeddings", "events", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -48,7 +48,7 @@ def test_keyboard_candidates_are_two_operations_away(spark):
 
 
 def test_plans_have_no_nested_loops(spark):
-    for name in ("edit_candidates", "symspell_slate", "ngram_candidates", "osa_within_1"):
+    for name in ("edit_candidates", "symspell_slate", "ngram_candidates", "osa_within_1", "semantic_neighbors", "typo_rescored", "hit_at_k", "edit_sweep_hits", "two_part_compounds", "latency_stats", "bucket_oov", "phonetic_candidates"):
         assert inspect.quadratic_nodes(catalog.QUERIES[name](spark, SF)) == []
 
 

@@ -87,7 +87,7 @@ def suggest(queries: DataFrame, words: DataFrame, *, lexicon: DataFrame | None =
     """
     accepted = words if accepted is None else accepted
     q = queries.select(T.strip_vowel_marks(F.col("word")).alias("word")).where("word <> ''").distinct()
-    q = q.join(accepted.select("word"), "word", "left_anti")
+    q = q.join(accepted.select("word"), "word", "left_anti").persist(StorageLevel.DISK_ONLY)  # read by every strategy
     ranks = lexicon if lexicon is not None else words.select("word", F.lit(None).cast("int").alias("rank"))
     near = C.edit_pairs(q, words).persist(StorageLevel.DISK_ONLY)  # three strategies start from it; lineage stays
     pool = None
