@@ -258,8 +258,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest id reachable; kept holds where it is the row's own. ``mark`` adds a hash of the text
     and the group's root, which is null where a row has no equal or near set. A null or wordless text has
     an empty set and links with nothing. A null id never names a component that has another;
-    rows that share an id are judged each on its own. Other columns are ignored; an empty
-    table gives an empty result.
+    rows that share an id are judged each on its own. Texts of any length are taken whole; one
+    text's shingles must fit a worker, at some 40 bytes a word. Other columns are ignored; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("mark"))

@@ -153,7 +153,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     with ``keep_text`` also ``kept_text`` (the text itself where nothing was removed), and
     the columns named in ``carry``. Words are runs without ASCII white space. A null text has
     none. A null id comes after all others and is never a smaller one; rows that share an id
-    don't count as each other's source. Other columns are ignored; an empty table gives an
+    don't count as each other's source. Texts of any length are judged whole; one text must fit
+    a worker, at about 25 times its bytes. Other columns are ignored; an empty table gives an
     empty result.
     """
     spark = docs.sparkSession
