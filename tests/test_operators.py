@@ -319,6 +319,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(1, "bb"), (2, "cc")} == {(r.i, r.word) for r in spelling.misspelled_stream(rows, lex, "i").collect()}
 
 
+def test_service(spark, tmp_path):
+    from wordflow.streaming import service
+
+    speller = dictionary.Speller(spark, "SET UTF-8\nTRY helo\n", "3\nhello\nworld\nParis\n")
+    tier = spark.createDataFrame([("cat", [1.0, 0.0]), ("lion", [1.0, 0.2])], "word string, vec array<double>")
+    model = lid.LidModel({"hi": 0, lid.EOS: 1}, np.ones((4, 2), np.float32), np.ones((1, 2), np.float32), ["en", "de"], [2, 1], 2)
+    rows = [(1, "s", "check", "Hello wrld paris WRLD x", None, None), (2, "s", "suggest", "hlelo", 1, None), (3, "s", "semantic", "cat", 1, None), (4, "s", "detect", "hi", None, None), (5, "s", "nope", None, None, None),
+            (6, "s", "suggest-batch", "wrld", 3, 1), (7, "s", "suggest-batch", "wolrd", 3, 2), (8, "s", "check", None, None, None)]
+    ddl = "request_id long, session string, type string, text string, limit int, batch_id long"
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(path)
+    seen = []
+    stream = service.serve(spark.readStream.schema(ddl).parquet(path), lambda events, _: seen.extend(events.collect()), speller, tier, model)
+    stream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {i: [(r["rank"], r.word) for r in sorted((r for r in seen if r.request_id == i), key=lambda r: r["rank"] or 0)] for i in range(1, 9)}
+    assert got[1] == [(1, "wrld"), (2, "paris")] and got[2] == [(1, "hello")] and got[3] == [(1, "lion")]
+    assert got[6] == [] and got[7] == [(1, "world")] and got[5] == got[8] == [(None, None)]
+    assert [r.code for r in seen if r.request_id == 4][0] in ("en", "de") and all(r.type for r in seen)
+
+
 def test_route_supersedes_batches(spark):
     rows = spark.createDataFrame([("s", 1, "suggest-batch", 1), ("s", 2, "suggest-batch", 2), ("s", 3, "suggest", None)], "session string, request_id int, type string, batch_id int")
     assert [r.request_id for r in spelling.route(rows).orderBy("place").collect()] == [3, 2]
