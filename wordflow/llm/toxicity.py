@@ -102,12 +102,15 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos.claim("words")
         for batch in batches:
-            at = [np.unique(buckets(t.as_py())).astype("<i4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), pa.array(at, pa.binary())], ["order", "y", "at"])
-
-    rows = one.select("text", "y", F.xxhash64("id", F.lit(7)).alias("order")).mapInArrow(distinct, "order long, y int, at binary").collect()
-    rows.sort(key=lambda r: (r.order, bytes(r.at)))
-    model = fit([(np.frombuffer(r.at, "<i4").astype(np.int64), r.y) for r in rows])
+            steps = [np.diff(np.unique(buckets(t.as_py())), prepend=0) for t in batch.column("text")]
+            wide = [bool(x.max(initial=0) >= 1 << 16) for x in steps]
+            at = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(steps, wide)]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), pa.array(at, pa.binary()), pa.array(wide)], ["order", "y", "steps", "wide"])
+
+    # steps between buckets, mostly of two bytes, and 32-bit buckets keep the driver's memory small
+    rows = one.select("text", "y", F.xxhash64("id", F.lit(7)).alias("order")).mapInArrow(distinct, "order long, y int, steps binary, wide boolean").collect()
+    rows.sort(key=lambda r: (r.order, bytes(r.steps)))
+    model = fit([(np.cumsum(np.frombuffer(r.steps, "<u4" if r.wide else "<u2"), dtype=np.int32), r.y) for r in rows])
     if len(sizes) == 2:
         share = {y_: min(1.0, sample_rows / n) for y_, n in sizes.items()}
         model.intercept -= float(np.log(share[1] / share[0]))
