@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -139,6 +140,33 @@ def test_lm_score_is_the_plain_trigram_model(spark, corpus):
             assert got[i] == pytest.approx(want, rel=error)
 
 
+def test_lm_words_are_hashed_together(corpus, monkeypatch):
+    """Same words, same hashes, whatever stands beside them; and no Python call for each word."""
+    r = random.Random(5)
+    wide = [" ".join("".join(r.choice("abé\0Z") for _ in range(n)) for n in range(1, 140)) for _ in range(3)]
+    texts = ODD + corpus + wide + ["a\x0bb\x0cc\x1fd", "x" * 64 + " " + "x" * 65, "a \0 a\0 \0a \0\0"]
+    split = [(t or "").encode().lower().split() for t in texts]
+    for size in (words.AT_ONCE, 1, 300):
+        monkeypatch.setattr(words, "AT_ONCE", size)
+        found, n = words.text_hashes([t or "" for t in texts])
+        assert n.tolist() == [len(s) for s in split]
+        pairs = set(zip(found.tolist(), [w for s in split for w in s], strict=True))
+        assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
+    c, b, a, sizes = lm._grams(["x y x", "", "y"])
+    x, y = words.text_hashes(["x y"])[0].tolist()
+    assert (c.tolist(), sizes.tolist()) == ([x, y, x, int(lm.END), int(lm.END), y, int(lm.END)], [4, 1, 2])
+    s, x, y = int(lm.START), x >> 32, y >> 32
+    assert (b.tolist(), a.tolist()) == ([s, x, y, x, s, s, y], [s, s, x, y, s, s, s])
+    monkeypatch.undo()
+    calls, text = Counter(), " ".join(f"w{i}" for i in range(20_000))
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        lm._grams([text])
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] < 500
+
+
 def test_lm_frequent_ngrams(spark, monkeypatch):
     """A passage that most texts share: its pairs and triples are scored without a shard, alike."""
     r = random.Random(3)

@@ -68,13 +68,9 @@ def _column(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer() or b"", kind) for x in table.column(name)]
 
 
-def _tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8").lower().split()
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
     """(ids, training flags, texts), about BLOCK_BYTES at a time."""
-    memos.claim("words")
+    memos.claim("lm")
     ids, train, texts, held = [], [], [], 0
     for batch in batches:
         for d, t, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -100,7 +96,7 @@ def _count_words(shards: int):
             mine = [t for t, y in zip(texts, train) if y]
             if not mine:
                 continue
-            found, n = np.unique(np.concatenate([words.HASHER.array(_tokens(t)) for t in mine]), return_counts=True)
+            found, n = np.unique(words.text_hashes(mine)[0], return_counts=True)
             found, n = np.append(found, END), np.append(n, len(mine))
             to = (words.mix(found) % np.uint64(shards)).astype(np.int64)
             yield _batch([(s, 0, 0, found[to == s], n[to == s].astype("<u4")) for s in np.unique(to).tolist()])
@@ -171,17 +167,22 @@ def _triple_key(c: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return words.mix(_pair_key(c, b) + a)
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Predicted words, words before them, words before those, and how many tokens each text has."""
-    c, b, a, sizes = [], [], [], []
-    for t in texts:
-        h = np.append(words.HASHER.array(_tokens(t)), END)
-        fp = np.concatenate([[START, START], (h[:-1] >> np.uint64(32)).astype(np.uint32)]).astype(np.uint32)
-        c.append(h)
-        b.append(fp[1:])
-        a.append(fp[:-1])
-        sizes.append(len(h))
-    return np.concatenate(c), np.concatenate(b), np.concatenate(a), sizes
+    h, n = words.text_hashes(texts)
+    sizes = n + 1
+    last = np.cumsum(sizes) - 1
+    inner = np.ones(len(h) + len(n), bool)
+    inner[last] = False
+    c = np.full(len(inner), END)
+    c[inner] = h
+    b = np.empty(len(c), np.uint32)
+    b[1:] = c[:-1] >> np.uint64(32)
+    b[last - n] = START
+    a = np.empty(len(c), np.uint32)
+    a[1:] = b[:-1]
+    a[last - n] = START
+    return c, b, a, sizes
 
 
 def _count_hot(parts: int, weights: Weights, hot: np.ndarray, order: int):
@@ -287,7 +288,7 @@ def _send(shards: int, weights: Weights):
                 yield _batch([(int(place_of[s]), block, 0, cs[starts], np.diff(np.append(starts, len(cs))).astype("<u4"), b[x:y], a[x:y], mine.astype("<u2"), times[x:y], who.astype("<u2"), copies[who])])
                 sent += 1
             null = np.array([i is None for i in ids], np.uint8)
-            yield _batch([(int(place_of[block % shards]), block, 1, np.array([i or 0 for i in ids], "<i8"), null, np.array(train, np.uint8), ref.astype("<u4"), np.array(n_tokens, "<u4"), np.array([sent], "<u4"))])
+            yield _batch([(int(place_of[block % shards]), block, 1, np.array([i or 0 for i in ids], "<i8"), null, np.array(train, np.uint8), ref.astype("<u4"), n_tokens.astype("<u4"), np.array([sent], "<u4"))])
 
     return run
 

@@ -70,6 +70,54 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
+#: Words of more bytes are hashed one by one, all others together, AT_ONCE characters of text at a time.
+LONG, AT_ONCE = 64, 1 << 19
+_BLANKS = bytes(b == 0x20 or 0x09 <= b <= 0x0D for b in range(256))
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ONE, _THREE, _MOST = np.uint64(1), np.uint64(3), np.uint64(63)
+
+
+def _hash_some(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = b" " + b" ".join(texts)
+    data += b" " * (16 - len(data) % 8)  # at least one blank and one more word of 64 bits
+    blank = np.frombuffer(data.translate(_BLANKS), bool)
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    bits = np.frombuffer(data, "<u8")
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The bytes of a word from each place, 8 at most, as a number."""
+        word, shift = at >> 3, (at & 7).astype(np.uint64) << _THREE
+        return (bits[word] >> shift | bits[word + 1] << _ONE << (_MOST - shift)) & _LOW[np.minimum(left, 8)]
+
+    out = mix(eight(first, size) + size.astype(np.uint64) * _BASE)
+    some = np.flatnonzero((size > 8) & (size <= LONG))
+    at, left = first[some] + 8, size[some] - 8
+    while len(some):
+        out[some] = mix(out[some] * _BASE + eight(at, left))
+        on = np.flatnonzero(left > 8)
+        some, at, left = some[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[first[i] : first[i] + size[i]])
+    return out, np.diff(np.searchsorted(first, begins))
+
+
+def text_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, end to end, and how many each text has.
+
+    No step is taken for each word. The hashes are not those of ``WordHasher``."""
+    found, some, held = [], [], 0
+    for t in texts:
+        some.append(t.encode("utf-8").lower())
+        held += len(t)
+        if held >= AT_ONCE:
+            found.append(_hash_some(some))
+            some, held = [], 0
+    if some or not found:
+        found.append(_hash_some(some))
+    return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+
 
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Distinct hashes of all runs of ``size`` words, of all words as one if there are fewer."""
