@@ -701,6 +701,15 @@ def test_ivfpq_recall_at_20000(spark):
     assert hits / total >= 0.9
 
 
+def test_ivfpq_recall_in_tight_clusters(spark):
+    """Codes can't tell the rows of a cluster apart; the exact test must reach all of them."""
+    r = np.random.default_rng(14)
+    x = r.normal(size=(8, 32))[r.integers(0, 8, 4000)] + 0.01 * r.normal(size=(4000, 32))
+    data = dict(enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)))
+    recall, got, want = recall_of(ann_ivfpq.search(vectors_of(spark, [(i, v.tolist()) for i, v in data.items()]), F.col("id") % 20 == 0).collect(), data)
+    assert recall >= 0.98 and all(len(got[q]) == 20 for q in want)
+
+
 def test_ivfpq_visits_follow_the_data():
     r = np.random.default_rng(4)
     clustered = r.normal(size=(16, 8))[r.integers(0, 16, 2000)] * 5 + r.normal(size=(2000, 8)) * 0.01
