@@ -351,3 +351,27 @@ def test_hit_rates_and_latency(spark):
     s = rerank.latency_stats(rows, "k", "v").first()
     assert (s.p50, s.p95, s.worst) == (6.0, 10.0, 10.0)
     assert rows.where(F.col("v") > 99).count() == 0
+
+
+def test_ngram_pairs_by_blocks(spark, monkeypatch):
+    """All pairs, whatever the blocks, and no join on trigrams that many words share."""
+    from wordflow.functions import distance as D
+    from wordflow.operators import suggest as S
+    from wordflow.operators import trigrams
+
+    r = random.Random(5)
+    some = lambda n: {"".join(r.choice(("ing", "ban", "ana", "é", "x", "𝔸")) for _ in range(r.randint(1, 5))) for _ in range(n)}
+    q, w = sorted(some(150) | {"aaaa", "x" * 400, "Banana"}), sorted(some(200) | {"aaaaa", "x" * 401, "banana", "BANANA"})
+    monkeypatch.setattr(trigrams, "QUERY_ROWS", 40)
+    monkeypatch.setattr(trigrams, "WORD_ROWS", 70)
+    queries, words = (spark.createDataFrame([(x,) for x in t], "word string") for t in (q, w))
+    found = C.ngram_pairs(queries, words)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "gram#" not in plan and "Window" not in plan
+    pairs = [(a, b) for a in q for b in w if a != b and min(len(a), len(b)) >= 3]
+    jaccard, similarity = D.trigram_jaccard_batch(*map(list, zip(*pairs))), D.typo_similarity_batch(*map(list, zip(*pairs)))
+    want = {(a, b): (j, s) for (a, b), j, s in zip(pairs, jaccard.tolist(), similarity.tolist()) if j >= 0.3 and s >= 0.7 and int((1 - j) * 10)}
+    got = {(x.query, x.word): (x.jaccard, x.similarity) for x in found.collect()}
+    assert len(want) > 300 and got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-12) for x in want)
+    cut, whole = S.ngram_strategy(queries, words), S._by_distance(C.ngram_pairs(queries, words), "ngram")
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
