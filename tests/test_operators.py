@@ -375,3 +375,21 @@ def test_ngram_pairs_by_blocks(spark, monkeypatch):
     assert len(want) > 300 and got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-12) for x in want)
     cut, whole = S.ngram_strategy(queries, words), S._by_distance(C.ngram_pairs(queries, words), "ngram")
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_deletion_pairs_stay_packed(spark, monkeypatch):
+    """Keys and untested pairs are no rows: nothing is exploded or joined, codes see only pairs within two edits."""
+    from wordflow.operators import deletions
+
+    r = random.Random(8)
+    made = sorted({"".join(r.choice("abc\U0001d538") for _ in range(r.randint(0, 7))) for _ in range(300)})
+    left = deletions.flat(made)
+    i, j = np.divmod(np.arange(len(made) ** 2), len(made))
+    assert deletions.distances(left, i, left, j).tolist() == [min(3, osa(made[a], made[b])) for a, b in zip(i, j)]
+    monkeypatch.setattr(deletions, "PAIRS_AT_ONCE", 50)
+    found = C.phonetic_pairs(table(spark, [*made[::2], None]), table(spark, made))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    got = {(x.query, x.word, x.distance) for x in C.edit_pairs(table(spark, made[::2]), table(spark, made)).collect()}
+    assert got == {(a, b, osa(a, b)) for a in made[::2] for b in made if a != b and osa(a, b) <= 2}
+    assert {(x.query, x.word, x.distance) for x in found.collect()} <= got
