@@ -393,3 +393,40 @@ def test_deletion_pairs_stay_packed(spark, monkeypatch):
     got = {(x.query, x.word, x.distance) for x in C.edit_pairs(table(spark, made[::2]), table(spark, made)).collect()}
     assert got == {(a, b, osa(a, b)) for a in made[::2] for b in made if a != b and osa(a, b) <= 2}
     assert {(x.query, x.word, x.distance) for x in found.collect()} <= got
+
+
+def test_grammar_counts_each_character_once(monkeypatch):
+    """Offsets of a text of many sentences take no encoding of all that lies before each of them."""
+    from wordflow.grammar import tagger
+
+    class Text(str):
+        def __getitem__(self, at):
+            assert not (isinstance(at, slice) and at.start is None), "the text before a sentence was copied"
+            return str.__getitem__(self, at)
+
+    text = "Straße is is good. He go it's! " * 50
+    assert [e["start"] for e in check(Text(text), load_rules(grammar.english_rules()))] == sorted(e["start"] for e in check(text, load_rules(grammar.english_rules())))
+    for at, sentence in tagger.placed(Text(text)):
+        assert text.encode()[at : at + len(sentence.encode())].decode() == sentence
+
+
+def test_grammar_and_language_work_by_pieces(spark, monkeypatch):
+    """Rows leave in bounded batches, small tables are dealt over all cores, and sums take bounded pieces."""
+    texts = spark.createDataFrame([(i, "He go there. " * 40) for i in range(6)], "doc_id long, text string").coalesce(1)
+    whole = grammar.tokens(texts, "doc_id").orderBy("id", "sentence", "idx").collect()
+    monkeypatch.setattr(grammar, "ROWS", 7)
+    run = grammar._emitted(lambda t: ((w,) for w in t.split()), ["word"], [__import__("pyarrow").string()])
+    import pyarrow as pa
+
+    out = list(run(iter([pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["a b c d e f g h i", None]})])))
+    assert max(b.num_rows for b in out) <= 7 and sum(b.num_rows for b in out) == 9
+    assert grammar.tokens(texts, "doc_id").orderBy("id", "sentence", "idx").collect() == whole
+    r = np.random.default_rng(1)
+    model = lid.LidModel({"he": 0, lid.EOS: 1}, r.normal(size=(2 + 50, 4)).astype(np.float32), r.normal(size=(1, 4)).astype(np.float32), ["a", "b"], [2, 1], 50)
+    found = lid.detect(texts, model, "doc_id")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plain = model.hidden("he go there " * 60)
+    monkeypatch.setattr(lid, "PIECE", 10)
+    assert (model.hidden("he go there " * 60) == plain).all()
+    rows = model.features("he go there " * 60)
+    assert (plain == np.add.reduce(model.rows[rows], axis=0) * np.float32(1 / len(rows))).all()
