@@ -430,3 +430,23 @@ def test_grammar_and_language_work_by_pieces(spark, monkeypatch):
     assert (model.hidden("he go there " * 60) == plain).all()
     rows = model.features("he go there " * 60)
     assert (plain == np.add.reduce(model.rows[rows], axis=0) * np.float32(1 / len(rows))).all()
+
+
+def test_dictionary_edits_skip_what_no_edit_mends(spark, monkeypatch):
+    """The right words a single edit makes are those of the whole sweep; words that stay wrong are not tried out."""
+    d = dictionary.Dictionary("SET UTF-8\nTRY einosrt\nCOMPOUNDMIN 2\nCOMPOUNDFLAG C\nPFX R Y 1\nPFX R 0 re .\nSFX S Y 2\nSFX S 0 s [^sy]\nSFX S y ies [^aeiou]y\n", "6\nin/CR\ner/CS\non/C\nparty/S\nMünze\nen/C\n")
+    made = ["inxon", "pxrties", "reinon", "erson", "Inern", "parti", "inno", "nier", "éinon", "in-on", "x1", "partes", "oner", ""]
+    letters = d.aff.try_
+    swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+    found = [d.edits(w) for w in made]
+    links, d._links = d._links, None
+    for w, got in zip(made, found):
+        n = len(w)
+        want = {swap(w, i) for i in range(n - 1)} | {w[:i] + w[i + 1 :] for i in range(n)} | {w[:i] + c + w[i + k :] for c in letters for k in (0, 1) for i in range(n + 1 - k)}
+        want |= {swap(swap(w, a), b) for a, b in {4: ((0, 2),), 5: ((0, 3), (1, 3))}.get(n, ())}
+        assert got == {x for x in want - {w} if d.correct(x)}
+    assert sum(map(len, found)) > 5
+    d._links, tried = links, []
+    monkeypatch.setattr(dictionary.Dictionary, "correct", lambda self, w: tried.append(w))
+    d.edits("qqxwqqwxqqwq")
+    assert not tried
