@@ -450,3 +450,12 @@ def test_dictionary_edits_skip_what_no_edit_mends(spark, monkeypatch):
     monkeypatch.setattr(dictionary.Dictionary, "correct", lambda self, w: tried.append(w))
     d.edits("qqxwqqwxqqwq")
     assert not tried
+
+
+def test_oov_vectors_stay_rows(spark):
+    """Components are no rows, and vectors of unequal lengths count where they have components."""
+    tier = spark.createDataFrame([("abc", [1.0, 2.0]), ("bcd", [2.0, 0.0, 4.0]), ("xyz", [0.0, 0.0])], "word string, vec array<float>")
+    found = rerank.oov_vector(table(spark, ["abcd", "xyzq", "none"]), tier)
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.word: r.vec for r in found.collect()}
+    assert got["abcd"] == pytest.approx([3 / 29**0.5, 2 / 29**0.5, 4 / 29**0.5]) and got["none"] is None
